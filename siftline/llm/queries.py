@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import license_scan, secret_scan, url_filter
+from . import bpe, license_scan, packing, secret_scan, url_filter
 
 QUERIES = {
     "op2_url_filter": url_filter.query,
     "op3_secret_scan": secret_scan.query,
+    "op5_bpe_codec": bpe.query,
+    "op6_best_two_fit": packing.query,
     "op9_license_scan": license_scan.query,
 }
 ORACLE_SQL = {"op2_url_filter": url_filter.ORACLE_SQL}
