@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, license_scan, packing, secret_scan, url_filter
+from . import bpe, license_scan, lm_score, packing, secret_scan, url_filter
 
 QUERIES = {
     "op2_url_filter": url_filter.query,
@@ -10,5 +10,6 @@ QUERIES = {
     "op5_bpe_codec": bpe.query,
     "op6_best_two_fit": packing.query,
     "op9_license_scan": license_scan.query,
+    "op10_lm_score": lm_score.query,
 }
 ORACLE_SQL = {"op2_url_filter": url_filter.ORACLE_SQL}
