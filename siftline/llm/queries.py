@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, license_scan, lm_score, packing, secret_scan, url_filter
+from . import bpe, language_id, license_scan, lm_score, packing, secret_scan, url_filter
 
 QUERIES = {
     "op2_url_filter": url_filter.query,
     "op3_secret_scan": secret_scan.query,
+    "op4_language_id": language_id.query,
     "op5_bpe_codec": bpe.query,
     "op6_best_two_fit": packing.query,
     "op9_license_scan": license_scan.query,
