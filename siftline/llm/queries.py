@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, language_id, license_scan, lm_score, packing, secret_scan, url_filter
+from . import bpe, embedding_dedup, language_id, license_scan, lm_score, near_dedup, packing, secret_scan, url_filter
 
 QUERIES = {
     "op2_url_filter": url_filter.query,
@@ -10,6 +10,8 @@ QUERIES = {
     "op4_language_id": language_id.query,
     "op5_bpe_codec": bpe.query,
     "op6_best_two_fit": packing.query,
+    "op7_embedding_dedup": embedding_dedup.query,
+    "op8_near_dedup": near_dedup.query,
     "op9_license_scan": license_scan.query,
     "op10_lm_score": lm_score.query,
 }
