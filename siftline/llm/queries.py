@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, language_id, license_scan, lm_score, near_dedup, packing, secret_scan, url_filter
+from . import bpe, embedding_dedup, language_id, license_scan, lm_score, media, near_dedup, packing, secret_scan, url_filter
 
 QUERIES = {
+    "op1_media_webp": media.query,
     "op2_url_filter": url_filter.query,
     "op3_secret_scan": secret_scan.query,
     "op4_language_id": language_id.query,
