@@ -63,11 +63,6 @@ def entropy_windows(s: str, window: int, bits: float, mixed: tuple[frozenset, ..
     held = [0] * len(mixed)
     total, out = 0.0, []
     for i, c in enumerate(s):
-        n = counts.get(c, 0)
-        total += x_log[n + 1] - x_log[n]
-        counts[c] = n + 1
-        for k, m in enumerate(mixed):
-            held[k] += c in m
         if i >= window:
             o = s[i - window]
             n = counts[o]
@@ -75,6 +70,11 @@ def entropy_windows(s: str, window: int, bits: float, mixed: tuple[frozenset, ..
             counts[o] = n - 1
             for k, m in enumerate(mixed):
                 held[k] -= o in m
+        n = counts.get(c, 0)
+        total += x_log[n + 1] - x_log[n]
+        counts[c] = n + 1
+        for k, m in enumerate(mixed):
+            held[k] += c in m
         if i >= window - 1 and math.log2(window) - total / window >= bits - 1e-9 and all(held):
             a, b = i - window + 1, i + 1
             if out and out[-1][1] >= a:
