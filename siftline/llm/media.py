@@ -20,8 +20,9 @@ from .common import small_batches, table
 
 ROW_PIXELS, STRIP_ROWS = 64, 64
 ROW_BYTES = 3 * ROW_PIXELS
-#: Payload bytes that are encoded or decoded together, about; a larger payload goes in several turns.
-TOGETHER = 12 << 20
+#: Payload bytes that are encoded, and decoded, together, about; a larger payload goes in several turns. Encoding takes
+#: about 90 bytes of memory for each, decoding 20.
+ENCODE_TOGETHER, DECODE_TOGETHER = 2 << 20, 6 << 20
 
 
 def padded(data: bytes) -> bytes:
@@ -50,7 +51,7 @@ def to_files(payloads: list[bytes], options: webp.Options = webp.Options()) -> l
             strips.append(np.concatenate([rgb, np.full((*rgb.shape[:2], 1), 255, np.uint8)], axis=2))
             owner.append(i)
             size += rgb.size
-            if size >= TOGETHER:
+            if size >= ENCODE_TOGETHER:
                 flush()
                 size = 0
     flush()
@@ -88,7 +89,7 @@ def from_files(media: list[bytes]) -> list[np.ndarray]:
             owner.append(i)
             width, height = _sides(f)
             size += 3 * width * height
-            if size >= TOGETHER:
+            if size >= DECODE_TOGETHER:
                 flush()
                 size = 0
     flush()
@@ -139,7 +140,7 @@ def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     src = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
     def run(batches):
-        for t in _gathered(batches, "text", TOGETHER):
+        for t in _gathered(batches, "text", ENCODE_TOGETHER):
             data = [(x or "").encode("utf-8", "replace") for x in t.column("text").to_pylist()]
             media = to_files([padded(x) for x in data], options)
             for at in range(0, len(data), 1000):
@@ -158,7 +159,7 @@ def decode_media(media: DataFrame, id_col: str = "doc_id", media_col: str = "med
     src = media.select(media[id_col].alias("doc_id"), media[media_col].alias("media"))
 
     def run(batches):
-        for t in _gathered(batches, "media", TOGETHER // 2):
+        for t in _gathered(batches, "media", DECODE_TOGETHER // 2):
             got = from_files([x or b"" for x in t.column("media").to_pylist()])
             for at in range(0, len(got), 1000):
                 some = got[at : at + 1000]
@@ -174,7 +175,7 @@ def digests(stored: DataFrame) -> DataFrame:
     """Reads media back and describes it: what the registered query returns. stored: doc_id, n_bytes, media."""
 
     def run(batches):
-        for t in _gathered(batches, "media", TOGETHER // 2):
+        for t in _gathered(batches, "media", DECODE_TOGETHER // 2):
             media = t.column("media").to_pylist()
             images = from_files(media)
             payload = [x.tobytes() for x in images]

@@ -539,6 +539,10 @@ def _from_palette(image: np.ndarray, packed: int, table: np.ndarray, width: int)
 # ---------------------------------------------------------------- encoding
 
 
+#: Bits for a pixel's place among those encoded together.
+_PLACE = np.uint64((1 << 24) - 1)
+
+
 class Tokens:
     """(image, value, bits), in order for each image; a value has 32 bits at most."""
 
@@ -642,10 +646,12 @@ def _matches(argb: np.ndarray, image: np.ndarray, place: np.ndarray) -> tuple[np
     key = a[at] * np.uint64(0x9E3779B97F4A7C15) + a[at + 1]
     for k in (2, 3):
         key = (key ^ key >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) + a[at + k]
-    order = np.lexsort((at, key, image[at]))
-    at = at[order]
+    key = (key ^ image[at].astype(np.uint64)) * np.uint64(0x94D049BB133111EB)
+    # The place in the low bits: equal keys are in order after one plain sort. Pixels are compared below.
+    key = np.sort(key & ~_PLACE | at.astype(np.uint64))
+    at = (key & _PLACE).astype(np.int64)
     prev, here = at[:-1], at[1:]
-    same = (key[order][1:] == key[order][:-1]) & (image[prev] == image[here])
+    same = (key[1:] ^ key[:-1] <= _PLACE) & (image[prev] == image[here])
     prev, here = prev[same], here[same]
     for k in range(4):
         same = argb[prev + k] == argb[here + k]
@@ -692,8 +698,9 @@ def _entropy_tokens(tokens: Tokens, argb: np.ndarray, pixels: np.ndarray, width:
     with_cache = np.flatnonzero(cache_bits[image] > 0)
     if len(with_cache):
         slot[with_cache] = argb[with_cache] * CACHE_MULTIPLIER >> shift[image[with_cache]]
-        order = with_cache[np.argsort(image[with_cache] << 12 | slot[with_cache], kind="stable")]
-        same = (slot[order][1:] == slot[order][:-1]) & (image[order][1:] == image[order][:-1]) & (argb[order][1:] == argb[order][:-1])
+        key = np.sort(image[with_cache] << 35 | slot[with_cache] << 24 | with_cache)
+        order = key & (1 << 24) - 1
+        same = (key[1:] >> 24 == key[:-1] >> 24) & (argb[order][1:] == argb[order][:-1])
         hit[order[1:][same]] = True
     hit &= ~covered
     literal = ~hit & ~covered
@@ -734,19 +741,22 @@ def _entropy_tokens(tokens: Tokens, argb: np.ndarray, pixels: np.ndarray, width:
     (gw, gb), (rw, rb), (bw, bb), (aw, ab), (dw, dbits) = map(code_words, lengths)
     # Data in the order of pixels: two values for each literal and copy, one for each cached pixel.
     c, g, r, b, a = code[lit], ch[lit, 1], ch[lit, 2], ch[lit, 0], ch[lit, 3]
-    at = [2 * lit, 2 * lit + 1, 2 * cached, 2 * begin, 2 * begin + 1]
     cc, cb = code[cached], code[begin]
-    value = [
-        gw[c, g].astype(np.uint64) | rw[c, r].astype(np.uint64) << gb[c, g],
-        bw[c, b].astype(np.uint64) | aw[c, a].astype(np.uint64) << bb[c, b],
-        gw[cc, LITERALS + LENGTHS + slot[cached]],
-        gw[cb, LITERALS + lp].astype(np.uint64) | lx.astype(np.uint64) << gb[cb, LITERALS + lp],
-        dw[cb, dp].astype(np.uint64) | dx.astype(np.uint64) << dbits[cb, dp],
-    ]
-    size = [gb[c, g] + rb[c, r], bb[c, b] + ab[c, a], gb[cc, LITERALS + LENGTHS + slot[cached]], gb[cb, LITERALS + lp] + lb, dbits[cb, dp] + db]
-    at = np.concatenate(at)
-    order = np.argsort(at, kind="stable")
-    tokens.add(ids[image[at[order] >> 1]], np.concatenate([v.astype(np.uint64) for v in value])[order], np.concatenate([s.astype(np.int64) for s in size])[order])
+    many = np.zeros(len(argb), np.int64)
+    many[lit], many[cached], many[begin] = 2, 1, 2
+    at = np.cumsum(many) - many
+    value, size = np.zeros(int(many.sum()), np.uint64), np.zeros(int(many.sum()), np.uint8)
+    value[at[lit]] = gw[c, g].astype(np.uint64) | rw[c, r].astype(np.uint64) << gb[c, g]
+    size[at[lit]] = gb[c, g] + rb[c, r]
+    value[at[lit] + 1] = bw[c, b].astype(np.uint64) | aw[c, a].astype(np.uint64) << bb[c, b]
+    size[at[lit] + 1] = bb[c, b] + ab[c, a]
+    value[at[cached]] = gw[cc, LITERALS + LENGTHS + slot[cached]]
+    size[at[cached]] = gb[cc, LITERALS + LENGTHS + slot[cached]]
+    value[at[begin]] = gw[cb, LITERALS + lp].astype(np.uint64) | lx.astype(np.uint64) << gb[cb, LITERALS + lp]
+    size[at[begin]] = gb[cb, LITERALS + lp] + lb
+    value[at[begin] + 1] = dw[cb, dp].astype(np.uint64) | dx.astype(np.uint64) << dbits[cb, dp]
+    size[at[begin] + 1] = dbits[cb, dp] + db
+    tokens.add(ids[np.repeat(image, many)], value, size)
 
 
 @dataclass(frozen=True)
@@ -773,9 +783,9 @@ def _choose(images: list[np.ndarray]) -> list[tuple[int, ...]]:
     pixels = np.array([x.shape[0] * x.shape[1] for x in images])
     row = np.repeat(np.arange(n), pixels)
     argb = np.concatenate([x.reshape(-1, 4) for x in images]).view(np.uint32).ravel()
-    order = np.lexsort((argb, row))
-    new = np.concatenate([[True], (argb[order][1:] != argb[order][:-1]) | (row[order][1:] != row[order][:-1])])
-    colours = np.bincount(row[order][new], minlength=n)
+    key = np.sort(row << 32 | argb)
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    colours = np.bincount(key[new] >> 32, minlength=n)
     bits = lambda parts: sum(_entropy(np.concatenate([p[..., k].ravel() for p in parts]).astype(np.int64), row, n) for k in range(3))
     plain = bits(images)
     green = bits([np.stack([x[..., 0] - x[..., 1], x[..., 1], x[..., 2] - x[..., 1]], axis=-1) for x in images])
@@ -802,6 +812,10 @@ def encode(images: list[np.ndarray], options: Options = Options()) -> list[bytes
     for x in images:
         if not (1 <= x.shape[0] <= 16384 and 1 <= x.shape[1] <= 16384):
             raise ValueError("sides must be 1 to 16384")
+    if sum(x.shape[0] * x.shape[1] for x in images) > int(_PLACE):
+        if len(images) == 1:
+            raise ValueError("an image of more than 2^24 pixels")
+        return encode(images[: len(images) // 2], options) + encode(images[len(images) // 2 :], options)
     n = len(images)
     tokens = Tokens()
     every = np.arange(n)
