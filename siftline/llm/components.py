@@ -52,17 +52,19 @@ def _small_star(pairs: DataFrame) -> DataFrame:
 def in_blocks(members: DataFrame, group: str, member: str, size: int) -> DataFrame:
     """Cuts groups of more than `size` members into blocks, and deals out pairs of blocks.
 
-    Adds `task`, such that any two members of a group meet in some task, and `block`, the row's block there (0 where the
-    group is whole): rows of one block meet again in tasks of other blocks, so a task with two blocks has to count pairs
-    within a block only where `own` is true. A task holds about 2 * size rows at most, whatever the group's size.
+    Adds `task`, such that any two members of a group meet in some task, and `block`, the row's block there. Rows of one
+    block meet again in tasks of other blocks, so a task compares rows of one block only where `own` is true. A task
+    holds about 2 * size rows at most, whatever the group's size. members is read twice and should be narrow: payloads
+    are joined to the result.
     """
-    sizes = members.groupBy(group).agg(F.count("*").alias("__n"))
-    cut = members.join(sizes.filter(F.col("__n") > size), group, "left").withColumn("__k", F.coalesce(F.ceil(F.col("__n") / size), F.lit(1)).cast("int"))
-    mine = F.pmod(F.xxhash64(member), F.col("__k")).cast("int")
+    large = written(members.groupBy(group).agg(F.count("*").alias("__n")).filter(F.col("__n") > size), "large-groups")
+    if large.isEmpty():
+        dealt = members.withColumn("block", F.lit(0)).withColumn("__other", F.lit(0))
+    else:
+        cut = members.join(large, group, "left").withColumn("__k", F.coalesce(F.ceil(F.col("__n") / size), F.lit(1)).cast("int"))
+        dealt = cut.withColumn("block", F.pmod(F.xxhash64(member), F.col("__k")).cast("int")).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__k") - 1)))
     return (
-        cut.withColumn("block", mine)
-        .withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__k") - 1)))
-        .withColumn("task", F.struct(F.col(group).alias("g"), F.least("block", "__other").alias("i"), F.greatest("block", "__other").alias("j")))
+        dealt.withColumn("task", F.struct(F.col(group).alias("g"), F.least("block", "__other").alias("i"), F.greatest("block", "__other").alias("j")))
         .withColumn("own", F.col("block") == F.col("__other"))
         .drop("__n", "__k", "__other")
     )

@@ -24,10 +24,10 @@ from .common import small_batches, table, written
 from .components import connected_components, grouped, in_blocks, whole_groups
 
 COSINE = 0.9
-#: Blocks of coordinates; fewer where vectors have fewer dimensions.
-BLOCKS = 8
+#: Dimensions of a block of coordinates, about.
+BLOCK_DIMS = 16
 #: Rows of a block of a large cell, and of a tile of the distance matrix.
-CELL_ROWS, TILE = 6000, 1024
+CELL_ROWS, TILE = 30_000, 1024
 #: Added to squared distances before they are compared in single precision, and to shares in double precision.
 SLACK32, SLACK = 1e-4, 1e-12
 #: Coordinates of a block that the grid cuts, by number of vectors.
@@ -40,8 +40,8 @@ def rotation(dims: int, seed: int = 11) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def block_bounds(dims: int, blocks: int = BLOCKS) -> list[tuple[int, int]]:
-    cuts = np.linspace(0, dims, min(blocks, dims) + 1).round().astype(int).tolist()
+def block_bounds(dims: int, each: int | None = None) -> list[tuple[int, int]]:
+    cuts = np.linspace(0, dims, max(1, round(dims / (each or BLOCK_DIMS))) + 1).round().astype(int).tolist()
     return list(zip(cuts[:-1], cuts[1:], strict=True))
 
 
@@ -103,11 +103,11 @@ def placed(nodes: DataFrame, cosine: float, grid: int) -> DataFrame:
             if out["at"]:
                 at = pa.array(np.concatenate(out["at"]))
                 yield pa.RecordBatch.from_arrays(
-                    [*(b.column(c).take(at) for c in ("row_id", "copies", "dims", "unit")), pa.array(np.concatenate(out["key"])), pa.array(np.concatenate(out["block_no"]).astype(np.int32)), pa.array(np.concatenate(out["home"]))],
-                    ["row_id", "copies", "dims", "unit", "key", "block_no", "home"],
+                    [*(b.column(c).take(at) for c in ("row_id", "dims")), pa.array(np.concatenate(out["key"])), pa.array(np.concatenate(out["block_no"]).astype(np.int32)), pa.array(np.concatenate(out["home"]))],
+                    ["row_id", "dims", "key", "block_no", "home"],
                 )
 
-    return nodes.select("row_id", "copies", "dims", "unit").mapInArrow(run, "row_id long, copies long, dims int, unit binary, key long, block_no int, home boolean")
+    return nodes.select("row_id", "dims", "unit").mapInArrow(run, "row_id long, dims int, key long, block_no int, home boolean")
 
 
 def share(cosine: float, dims: int, lo: int, hi: int) -> float:
@@ -120,12 +120,15 @@ def _links(x: np.ndarray, block_no: int, home: np.ndarray, sides: np.ndarray | N
     bounds = block_bounds(dims)
     lo, hi = bounds[block_no]
     least = share(cosine, dims, lo, hi)
-    y = x[:, lo:hi].astype(np.float32)
-    square = (y * y).sum(axis=1)
+    y = x[:, lo:hi]
+    square = (y * y).sum(axis=1, keepdims=True)
+    # One product gives the squared distances: |p|^2 * 1 + 1 * |q|^2 - 2pq.
+    left = np.hstack([y, square, np.ones_like(square)]).astype(np.float32)
+    right = np.hstack([-2 * y, np.ones_like(square), square]).astype(np.float32)
     for a in range(0, n, TILE):
         for b in range(a, n, TILE):
-            near = square[a : a + TILE, None] + square[None, b : b + TILE] - 2 * (y[a : a + TILE] @ y[b : b + TILE].T) <= least + SLACK32
-            i, j = np.nonzero(near)
+            at = np.flatnonzero(left[a : a + TILE] @ right[b : b + TILE].T <= least + SLACK32)
+            i, j = np.divmod(at, min(TILE, n - b))
             i, j = i + a, j + b
             ok = (i < j) & (home[i] | home[j])
             if sides is not None:
@@ -197,9 +200,11 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
     rows = written(unit_rows(vectors, id_col, vector_col), "units")
     nodes = rows.filter("unit IS NOT NULL").groupBy("unit").agg(F.min("row_id").alias("node"), F.count("*").alias("copies"), F.first("dims").alias("dims"))
     nodes = written(nodes, "vectors")
-    spread = placed(nodes.withColumnRenamed("node", "row_id"), cosine, grid_dims(nodes.count()))
-    spread = spread.withColumn("cell", F.struct("dims", "key"))
-    found = written(linked(in_blocks(spread, "cell", "row_id", CELL_ROWS), cosine), "links")
+    by_row = nodes.withColumnRenamed("node", "row_id")
+    spread = placed(by_row, cosine, grid_dims(nodes.count()))
+    spread = written(spread.select("row_id", F.struct("dims", "key").alias("cell"), "block_no", "home"), "cells")
+    tasks = in_blocks(spread, "cell", "row_id", CELL_ROWS).join(by_row, "row_id")
+    found = written(linked(tasks, cosine), "links")
     count = found.groupBy("row_id").agg(F.sum("n").alias("n")).withColumnRenamed("row_id", "node")
     component = connected_components(found.select(F.col("row_id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "node")
     by_node = nodes.select("unit", "node", "copies").join(count, "node", "left").join(component, "node", "left")

@@ -23,7 +23,7 @@ WINDOW = 128
 WIDTHS = (2, 3, 5)
 FILTERS = 16
 EMBED = 8
-#: The bound on the labelled rows that training sees: those with the smallest hashes of their text.
+#: The bound on the labelled texts that training sees.
 SAMPLE_ROWS = 4000
 STEPS, BATCH, RATE = 400, 96, 0.01
 #: Windows that run as one batch.
@@ -128,16 +128,25 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Network | None:
 
 
 def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[str], list[str]]:
-    """At most `rows` labelled rows, whole texts; equal texts count once or follow each other. Each task sends no more."""
+    """At most `rows` labelled texts: those with the smallest hashes, each once, with the first of its languages.
+
+    The share of hashes to look at follows from a count of labels, so that tasks send little more than what is used,
+    however many there are. Where texts repeat, fewer than `rows` may come of it.
+    """
+    labelled = labelled.filter(F.col("lang").isNotNull())
+    share = 1.25 * rows / max(1, labelled.select("lang").count())
     got = (
-        labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
+        labelled.filter(F.col("text").isNotNull())
         .select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
         .withColumn("h", F.xxhash64("text"))
-        .orderBy("h", "lang")
+        .filter(F.col("h") < F.lit(int(-(2**63) + min(share, 1) * (2**64 - 2048))))
+        .groupBy("h")
+        .agg(F.min(F.struct("lang", "text")).alias("row"))
+        .orderBy("h")
         .limit(rows)
         .collect()
     )
-    return [r["text"] for r in got], [r["lang"] for r in got]
+    return [r["row"]["text"] for r in got], [r["row"]["lang"] for r in got]
 
 
 def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 7) -> Network | None:

@@ -197,12 +197,13 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, id_col: str = "do
         .agg(F.min("key").alias("key"))
         .select("key")
     )
-    members = keys.join(buckets, "key").join(sig.select("row_id", "sketch"), "row_id")
-    candidates = connected_components(_forest(in_blocks(members, "key", "row_id", BUCKET_BLOCK), "sketch", _by_sketch))
+    members = written(keys.join(buckets, "key"), "bucket-members")
+    tasks = in_blocks(members, "key", "row_id", BUCKET_BLOCK).join(sig.select("row_id", "sketch"), "row_id")
+    candidates = connected_components(_forest(tasks, "sketch", _by_sketch))
     candidates = written(candidates.withColumnRenamed("id", "row_id"), "candidates")
 
-    sets = candidates.join(sig.select("row_id", "shingles"), "row_id")
-    links = connected_components(_forest(in_blocks(sets, "component", "row_id", GROUP_BLOCK), "shingles", _by_sets(similar)))
+    tasks = in_blocks(candidates, "component", "row_id", GROUP_BLOCK).join(sig.select("row_id", "shingles"), "row_id")
+    links = connected_components(_forest(tasks, "shingles", _by_sets(similar)))
     links = links.select(F.col("id").alias("node"), "component")
 
     rows = node_of.join(links, "node", "left").select("doc_id", "row_id", F.coalesce("component", "node").alias("root"))

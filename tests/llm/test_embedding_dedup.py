@@ -44,6 +44,7 @@ def vectors(dims=16):
 def test_matches_brute_force(spark, monkeypatch, grid, rows):
     monkeypatch.setattr(ed, "grid_dims", lambda n: grid)
     monkeypatch.setattr(ed, "CELL_ROWS", rows)
+    monkeypatch.setattr(ed, "BLOCK_DIMS", 4)
     data = vectors()
     got = ed.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<float>")).collect()
     assert sorted(map(tuple, got)) == brute(data)

@@ -39,7 +39,7 @@ def test_pipeline_matches_plain_python(spark, tmp_path):
     from pyspark.sql import functions as F
 
     order = {r[0]: r[1] for r in spark.createDataFrame(labelled, "text string, lang string").select("text", F.xxhash64("text")).collect()}
-    labelled.sort(key=lambda x: (order[x[0]], x[1]))
+    labelled = sorted({order[t]: (t, x) for t, x in sorted(labelled, key=lambda x: x[1], reverse=True)}.values(), key=lambda x: order[x[0]])
     net = language_id.train(*map(list, zip(*labelled, strict=True)))
     lang, score = language_id.predict_batch(net, [r[1] or "" for r in rows])
     docs = [r for r, x, s in zip(rows, lang, score, strict=True) if x != "und" and s >= 0.5]
