@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from siftline.llm import bpe, language_id, near_dedup, packing, secret_scan
-from siftline.llm.common import table, written
+from siftline.llm.common import Scratch, table
 
 #: A document stays if one language has at least half of the probability over all of its windows.
 LEAST_SCORE = 0.5
@@ -50,7 +50,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark)
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = scratch.write(stage(spark, docs, sf_dir), f"stage-{name}")
+        scratch.clear(keep=1)
     return docs

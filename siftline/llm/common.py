@@ -10,13 +10,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a Python operator holds at a time.
 SLICE_BYTES = 4 << 20
 #: Distinct words or pieces that a worker's cache holds before it starts anew.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,10 +49,134 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: cuts lineage, and no executor's loss undoes it."""
-    spark = df.sparkSession
-    path = shared_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).write(df, name)
+
+
+class Scratch:
+    """Tables in the shared folder that are needed for a while."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = shared_folder(self.spark, name)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self, keep: int = 0) -> None:
+        """Deletes all but the `keep` tables written last."""
+        end = len(self.paths) - keep
+        for path in self.paths[:end]:
+            discard(self.spark, path)
+        del self.paths[:end]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+class Store:
+    """Arrays as files in a folder of any file system that pyarrow reaches. A task that runs again writes the same again."""
+
+    def __init__(self, uri: str):
+        self.uri = uri
+        self.fs, self.path = pyarrow.fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+
+    def put(self, name: str, a: np.ndarray) -> None:
+        self.fs.create_dir(self.path, recursive=True)
+        temp = f"{self.path}/.{name}-{os.getpid()}-{os.urandom(4).hex()}"
+        with self.fs.open_output_stream(temp) as f:
+            np.lib.format.write_array(_Writer(f), np.ascontiguousarray(a))
+        self.fs.move(temp, f"{self.path}/{name}.npy")
+
+    def get(self, name: str) -> np.ndarray:
+        """Mapped into memory; from a folder that isn't on a mounted disk, the file is copied to the worker first."""
+        path = f"{self.path}/{name}.npy"
+        if not isinstance(self.fs, pyarrow.fs.LocalFileSystem):
+            local = os.path.join(tempfile.gettempdir(), f"{os.path.basename(self.path)}-{name}.npy")
+            if not os.path.exists(local):
+                temp = f"{local}-{os.getpid()}"
+                with self.fs.open_input_stream(path) as src, open(temp, "wb") as dst:
+                    while data := src.read(16 << 20):
+                        dst.write(data)
+                os.replace(temp, local)
+            path = local
+        return np.load(path, mmap_mode="r")
+
+
+class IdSet:
+    """A set of ids as sorted arrays of hashes in the shared folder, looked up by tasks without a shuffle or broadcast.
+
+    Different integers have different hashes; other ids could be mistaken for one another once in 2^64.
+    """
+
+    def __init__(self, folder: str, parts: int, filled: frozenset):
+        self.folder, self.parts, self.filled = folder, parts, filled
+
+    @staticmethod
+    def hashes(ids: pa.Array) -> np.ndarray:
+        """Nulls have a hash of their own, which no integer of less than 63 bits is likely to share."""
+        if pa.types.is_integer(ids.type):
+            return np.where(np.asarray(ids.is_null()), np.uint64(0xDEAD), mix(np.asarray(ids.fill_null(0)).astype(np.int64).view(np.uint64)))
+        return np.array([xxhash.xxh64_intdigest(x or "") for x in ids.cast(pa.string()).to_pylist()], np.uint64)
+
+    @classmethod
+    def write(cls, ids: DataFrame, name: str) -> IdSet:
+        """ids: one column. Each part of the hash space is sorted and written by one task."""
+        spark = ids.sparkSession
+        folder, parts = shared_folder(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+        def hashed(batches):
+            for b in batches:
+                h = cls.hashes(b.column(0))
+                yield pa.RecordBatch.from_arrays([pa.array(part_of(h, parts).astype(np.int32)), pa.array(h.view(np.int64))], ["part", "h"])
+
+        def put(batches):
+            got: dict[int, list[np.ndarray]] = {}
+            for b in batches:
+                p, h = np.asarray(b.column(0)), np.asarray(b.column(1)).view(np.uint64)
+                for q in np.unique(p).tolist():
+                    got.setdefault(q, []).append(h[p == q])
+            for q, hs in got.items():
+                Store(folder).put(str(q), np.unique(np.concatenate(hs)))
+            yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int32())], ["part"])
+
+        made = ids.mapInArrow(hashed, "part int, h long").repartitionById(parts, F.col("part")).mapInArrow(put, "part int")
+        return cls(folder, parts, frozenset(r["part"] for r in made.collect()))  # a row for each part
+
+    def filter(self, df: DataFrame, column: str, members: bool = True) -> DataFrame:
+        """The rows of df whose id is in the set, or those whose isn't; unchanged."""
+        small_batches(df.sparkSession)
+        folder, parts, filled, hashes = self.folder, self.parts, self.filled, self.hashes
+
+        def run(batches):
+            store, arrays = Store(folder), {}
+            for b in batches:
+                h = hashes(b.column(column))
+                p, found = part_of(h, parts), np.zeros(len(h), bool)
+                for q in filled.intersection(np.unique(p).tolist()):
+                    a = arrays[q] if q in arrays else arrays.setdefault(q, store.get(str(q)))
+                    x = np.flatnonzero(p == q)
+                    found[x] = a[np.minimum(np.searchsorted(a, h[x]), len(a) - 1)] == h[x]
+                yield b.filter(pa.array(found if members else ~found))
+
+        return df.mapInArrow(run, df.schema)
+
+
+class _Writer:
+    def __init__(self, f):
+        self.f = f
+
+    def write(self, data) -> None:
+        self.f.write(bytes(data))
+
+
+def part_of(h: np.ndarray, parts: int) -> np.ndarray:
+    """The part that a 64-bit hash belongs to: equal stretches of the hash space."""
+    return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -7,27 +7,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch
 
 #: Rounds after which the search gives up with an error; it needs about log2 of the longest path.
 MAX_ROUNDS = 60
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, component) for every id that an edge (a, b) names: the smallest id that it reaches.
 
     Large-star and small-star rounds: every id points to the smallest of its neighbours, until nothing changes. A hub's
     edges are spread by the key of their other ends in the next step, and are summed before they are shuffled. Each
-    round is written to the shared folder.
+    round is written to the shared folder; the last stays there until scratch is cleared.
     """
-    pairs = written(
-        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges"
-    )
+    rounds = Scratch(edges.sparkSession)
+    pairs = rounds.write(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
     before = None
     for _ in range(MAX_ROUNDS):
-        pairs = written(_small_star(_large_star(pairs)), "edges")
+        pairs = rounds.write(_small_star(_large_star(pairs)), "edges")
+        rounds.clear(keep=1)
         now = pairs.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("v", "u") % 1_000_003)).first()
         if now == before:
+            scratch.paths += rounds.paths
             stars = pairs.select(F.col("u").alias("id"), F.col("v").alias("component"))
             return stars.unionByName(pairs.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
         before = now
@@ -49,7 +50,7 @@ def _small_star(pairs: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def in_blocks(members: DataFrame, group: str, member: str, size: int) -> DataFrame:
+def in_blocks(members: DataFrame, group: str, member: str, size: int, scratch: Scratch) -> DataFrame:
     """Cuts groups of more than `size` members into blocks, and deals out pairs of blocks.
 
     Adds `task`, such that any two members of a group meet in some task, and `block`, the row's block there. Rows of one
@@ -57,7 +58,7 @@ def in_blocks(members: DataFrame, group: str, member: str, size: int) -> DataFra
     holds about 2 * size rows at most, whatever the group's size. members is read twice and should be narrow: payloads
     are joined to the result.
     """
-    large = written(members.groupBy(group).agg(F.count("*").alias("__n")).filter(F.col("__n") > size), "large-groups")
+    large = scratch.write(members.groupBy(group).agg(F.count("*").alias("__n")).filter(F.col("__n") > size), "large-groups")
     if large.isEmpty():
         dealt = members.withColumn("block", F.lit(0)).withColumn("__other", F.lit(0))
     else:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, written
+from .common import Scratch, small_batches, table, written
 from .components import connected_components, grouped, in_blocks, whole_groups
 
 COSINE = 0.9
@@ -197,16 +197,17 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
     """
     if not 0 < cosine <= 1:
         raise ValueError("cosine must be above 0 and at most 1")
-    rows = written(unit_rows(vectors, id_col, vector_col), "units")
+    scratch = Scratch(vectors.sparkSession)
+    rows = scratch.write(unit_rows(vectors, id_col, vector_col), "units")
     nodes = rows.filter("unit IS NOT NULL").groupBy("unit").agg(F.min("row_id").alias("node"), F.count("*").alias("copies"), F.first("dims").alias("dims"))
-    nodes = written(nodes, "vectors")
+    nodes = scratch.write(nodes, "vectors")
     by_row = nodes.withColumnRenamed("node", "row_id")
     spread = placed(by_row, cosine, grid_dims(nodes.count()))
-    spread = written(spread.select("row_id", F.struct("dims", "key").alias("cell"), "block_no", "home"), "cells")
-    tasks = in_blocks(spread, "cell", "row_id", CELL_ROWS).join(by_row, "row_id")
-    found = written(linked(tasks, cosine), "links")
+    spread = scratch.write(spread.select("row_id", F.struct("dims", "key").alias("cell"), "block_no", "home"), "cells")
+    tasks = in_blocks(spread, "cell", "row_id", CELL_ROWS, scratch).join(by_row, "row_id")
+    found = scratch.write(linked(tasks, cosine), "links")
     count = found.groupBy("row_id").agg(F.sum("n").alias("n")).withColumnRenamed("row_id", "node")
-    component = connected_components(found.select(F.col("row_id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "node")
+    component = connected_components(found.select(F.col("row_id").alias("a"), F.col("root").alias("b")), scratch).withColumnRenamed("id", "node")
     by_node = nodes.select("unit", "node", "copies").join(count, "node", "left").join(component, "node", "left")
     each = rows.join(by_node, "unit", "left").select(
         "vec_id",
@@ -214,6 +215,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
         F.coalesce("component", "node", "row_id").alias("root"),
     )
     each = written(each, "vector-roots")
+    scratch.clear()
     least = each.groupBy("root").agg(F.min("vec_id").alias("component_id"))
     return each.join(least, "root").select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 

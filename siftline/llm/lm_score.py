@@ -8,19 +8,16 @@ Nothing of the size of the corpus reaches the driver.
 
 from __future__ import annotations
 
-import os
 import struct
-import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, letters_lower, map_texts, mix, shared_folder, slices, small_batches, table, written
+from .common import Store, WordHashes, letters_lower, map_texts, mix, part_of, shared_folder, slices, small_batches, table, written
 
 #: Hashes of what stands before the first word and after the last.
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
@@ -34,11 +31,6 @@ def pair_hash(u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return mix(u + np.uint64(0x9E3779B97F4A7C15) * mix(v))
 
 
-def part_of(h: np.ndarray, parts: int) -> np.ndarray:
-    """The part that a hash belongs to: equal stretches of the hash space."""
-    return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-
-
 def pack_arrays(*arrays: np.ndarray) -> bytes:
     head = struct.pack("<B", len(arrays)) + b"".join(struct.pack("<2sQ", a.dtype.str[1:].encode(), len(a)) for a in arrays)
     return head + b"".join(a.tobytes() for a in arrays)
@@ -87,44 +79,6 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[first], np.diff(np.append(first, len(x)))
 
 
-class Store:
-    """Files of arrays in a folder of any file system that pyarrow reaches. A task that runs again writes the same file again."""
-
-    def __init__(self, uri: str):
-        self.uri = uri
-        fs, self.path = pyarrow.fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-        self.fs = fs
-
-    def put(self, name: str, a: np.ndarray) -> None:
-        self.fs.create_dir(self.path, recursive=True)
-        temp = f"{self.path}/.{name}-{os.getpid()}-{os.urandom(4).hex()}"
-        with self.fs.open_output_stream(temp) as f:
-            np.lib.format.write_array(_Writer(f), np.ascontiguousarray(a))
-        self.fs.move(temp, f"{self.path}/{name}.npy")
-
-    def get(self, name: str) -> np.ndarray:
-        """Mapped into memory; a folder that isn't on a mounted disk is copied to the worker first, file by file."""
-        path = f"{self.path}/{name}.npy"
-        if not isinstance(self.fs, pyarrow.fs.LocalFileSystem):
-            local = os.path.join(tempfile.gettempdir(), f"{os.path.basename(self.path)}-{name}.npy")
-            if not os.path.exists(local):
-                temp = f"{local}-{os.getpid()}"
-                with self.fs.open_input_stream(path) as src, open(temp, "wb") as dst:
-                    while data := src.read(16 << 20):
-                        dst.write(data)
-                os.replace(temp, local)
-            path = local
-        return np.load(path, mmap_mode="r")
-
-
-class _Writer:
-    def __init__(self, f):
-        self.f = f
-
-    def write(self, data) -> None:
-        self.f.write(bytes(data))
-
-
 def tokens(text: str) -> list[bytes]:
     """Words `[^\\x20\\x09-\\x0D]+` after A-Z is lower-cased, as UTF-8."""
     return letters_lower(text).split()

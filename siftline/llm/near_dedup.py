@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, flat, gather, letters_lower, mix, slices, small_batches, table, written
+from .common import IdSet, Scratch, WordHashes, flat, gather, letters_lower, mix, slices, small_batches, table, written
 from .components import connected_components, grouped, in_blocks, spanning_edges, whole_groups
 
 SHINGLE = 5
@@ -28,6 +28,8 @@ REGISTERS = BANDS * ROWS
 #: Registers of which a byte is kept for the estimate, and the estimate that a candidate needs: at a similarity of 0.8
 #: five standard deviations below it.
 SKETCH, ESTIMATE = 96, 0.6
+#: Bytes of text hashed together: about 60 bytes of memory for each.
+TOGETHER = 1 << 20
 #: Members of a block of a large bucket, and of a large group of candidates.
 BUCKET_BLOCK, GROUP_BLOCK = 4000, 1000
 
@@ -97,7 +99,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def run(batches):
         hashes = WordHashes()
         for whole in batches:
-            for b in slices(whole):
+            for b in slices(whole, limit=TOGETHER):
                 n = b.num_rows
                 row, items, count = shingles([t or "" for t in b.column("text").to_pylist()], hashes)
                 won = prob_min_hash(row, items, 1 + np.log(count), n)
@@ -180,14 +182,17 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, id_col: str = "do
     shingle, and so link with equal ones only. Repeated rows, with equal ids or not, are rows of one class. An empty table
     gives an empty result. The ids come back as doc_id.
     """
-    sig = written(signatures(docs, id_col, text_col), "signatures")
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+    sig = scratch.write(signatures(docs, id_col, text_col), "signatures")
     # One node for each set of shingles. Partial aggregation comes before the shuffle, so many copies cost little.
     nodes = sig.filter("set_hash IS NOT NULL").groupBy("set_hash").agg(F.min("row_id").alias("node"))
-    node_of = written(sig.select("doc_id", "row_id", "set_hash").join(nodes, "set_hash", "left").select("doc_id", "row_id", F.coalesce("node", "row_id").alias("node")), "nodes")
+    node_of = sig.select("doc_id", "row_id", "set_hash").join(nodes, "set_hash", "left").select("doc_id", "row_id", F.coalesce("node", "row_id").alias("node"))
+    node_of = scratch.write(node_of, "nodes")
     only = node_of.filter("node = row_id").select("row_id")
 
     keys = sig.filter("set_hash IS NOT NULL").select("row_id", "bands").join(only, "row_id", "left_semi").select("row_id", F.explode("bands").alias("key"))
-    keys = written(keys, "band-keys")
+    keys = scratch.write(keys, "band-keys")
     # Buckets with the same members are needed once.
     buckets = (
         keys.groupBy("key")
@@ -197,25 +202,32 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, id_col: str = "do
         .agg(F.min("key").alias("key"))
         .select("key")
     )
-    members = written(keys.join(buckets, "key"), "bucket-members")
-    tasks = in_blocks(members, "key", "row_id", BUCKET_BLOCK).join(sig.select("row_id", "sketch"), "row_id")
-    candidates = connected_components(_forest(tasks, "sketch", _by_sketch))
-    candidates = written(candidates.withColumnRenamed("id", "row_id"), "candidates")
-
-    tasks = in_blocks(candidates, "component", "row_id", GROUP_BLOCK).join(sig.select("row_id", "shingles"), "row_id")
-    links = connected_components(_forest(tasks, "shingles", _by_sets(similar)))
+    members = scratch.write(keys.join(buckets, "key"), "bucket-members")
+    tasks = in_blocks(members, "key", "row_id", BUCKET_BLOCK, scratch).join(sig.select("row_id", "sketch"), "row_id")
+    candidates = connected_components(_forest(tasks, "sketch", _by_sketch), scratch)
+    candidates = scratch.write(candidates.withColumnRenamed("id", "row_id"), "candidates")
+
+    # Shingles are wide, so those of other rows are left out where they are read, before the shuffle.
+    sets = IdSet.write(candidates.select("row_id"), "candidate-ids").filter(sig.select("row_id", "shingles"), "row_id")
+    tasks = in_blocks(candidates, "component", "row_id", GROUP_BLOCK, scratch).join(sets, "row_id")
+    links = connected_components(_forest(tasks, "shingles", _by_sets(similar)), scratch)
     links = links.select(F.col("id").alias("node"), "component")
 
-    rows = node_of.join(links, "node", "left").select("doc_id", "row_id", F.coalesce("component", "node").alias("root"))
-    rows = written(rows, "roots")
+    rows = written(node_of.join(links, "node", "left").select("doc_id", "row_id", F.coalesce("component", "node").alias("root")), "roots")
+    scratch.clear()
     classes = rows.groupBy("root").agg(F.min(F.struct("doc_id", "row_id")).alias("first"), F.count("*").alias("class_size"))
     return rows.join(classes, "root").select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("row_id") == F.col("first.row_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, unchanged, of which near_duplicates keeps one of each class. Ids are taken to be unique."""
-    kept = near_duplicates(docs, similar, id_col, text_col).filter("kept").select(F.col("doc_id").alias(id_col))
-    return docs.join(kept, docs[id_col].eqNullSafe(kept[id_col]), "left_semi")
+    """The rows of docs, unchanged, of which near_duplicates keeps one of each class.
+
+    Ids are taken to be unique: where rows share an id, all stay or none. Whole rows aren't shuffled: the ids that go
+    are looked up where docs is read. Ids that aren't integers could be mistaken for one another once in 2^64.
+    """
+    classes = near_duplicates(docs, similar, id_col, text_col)
+    gone = classes.groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("NOT kept").select("doc_id")
+    return IdSet.write(gone, "dropped").filter(docs, id_col, members=False)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

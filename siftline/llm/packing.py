@@ -22,9 +22,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters, vocabulary
-from .common import CACHE_ENTRIES, gather, slices, small_batches, table, written
+from .common import gather, slices, small_batches, table, written
 
 SIZE = 4096
+#: Distinct words that a worker keeps, about 250 bytes each.
+KNOWN_WORDS = 400_000
 END_ID = 1
 WORDS = "word_bpe_49k.json"
 _NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -41,7 +43,7 @@ class WordCodec:
     No piece holds a space or a line feed, so texts are cut there, and what lies between is encoded once per worker.
     """
 
-    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
+    def __init__(self, path: str, entries: int = KNOWN_WORDS):
         import tiktoken
         from tokenizers import Tokenizer
 

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 from siftline.llm import near_dedup as nd
-from siftline.llm.common import WordHashes
+from siftline.llm.common import Scratch, WordHashes
 from siftline.llm.components import connected_components
 
 
@@ -89,5 +89,5 @@ def test_shingles_of_short_and_long_texts():
 
 def test_components_of_long_paths(spark):
     edges = [(i, i + 1) for i in range(100)] + [(200, 201), (203, 201), (300, 300)]
-    got = dict(connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
+    got = dict(connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect())
     assert got == {**dict.fromkeys(range(101), 0), 200: 200, 201: 200, 203: 200}
