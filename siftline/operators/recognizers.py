@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,6 +41,11 @@ def like(pattern: str) -> Callable[[Column], Column]:
     return lambda text: text.rlike(pattern)
 
 
+def both(*guards: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """All of them, the cheapest first."""
+    return lambda text: reduce(lambda a, b: a & b, (g(text) for g in guards))
+
+
 def plain(entity: str, pattern: str, guard: Callable[[Column], Column], tier: str = STRICT, score: float = 1.0) -> Recognizer:
     """Every match is a finding."""
     return Recognizer(entity, tier, guard, lambda text: F.transform(t.spans(text, pattern), lambda s: t.finding(text, s, entity, score)))
@@ -110,12 +116,12 @@ CREDENTIALS = (
     ("SECRET_JWT", r"(?U)\beyJ[A-Za-z0-9_\-]+\.eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\b", has(".eyJ")),
     ("SECRET_PRIVATE_KEY", r"-----BEGIN (?:RSA |DSA |EC |OPENSSH |PGP |ENCRYPTED )?PRIVATE KEY-----", has("PRIVATE KEY-----")),
     ("SECRET_NPM_TOKEN", r"(?U)\bnpm_[A-Za-z0-9]{36}\b", has("npm_")),
-    ("SECRET_TWILIO_KEY", r"(?U)\b(?:AC|SK)[a-z0-9]{32}\b", like("(?:AC|SK)[a-z0-9]{32}")),
+    ("SECRET_TWILIO_KEY", r"(?U)\b(?:AC|SK)[a-z0-9]{32}\b", both(has("AC", "SK"), like("(?:AC|SK)[a-z0-9]{32}"))),
     ("SECRET_SENDGRID_KEY", r"(?U)\bSG\.[A-Za-z0-9_\-]{22}\.[A-Za-z0-9_\-]{43}\b", has("SG.")),
     ("SECRET_SQUARE_OAUTH", r"(?U)\bsq0csp-[0-9A-Za-z\\\-_]{43}\b", has("sq0csp-")),
     ("SECRET_MAILGUN_KEY", r"(?U)\bkey-[0-9a-f]{32}\b", has("key-")),
     ("SECRET_MAILCHIMP_KEY", r"(?U)\b[0-9a-f]{32}-us\d{1,2}\b", has("-us")),
-    ("SECRET_DISCORD_BOT_TOKEN", r"(?U)[MNO][a-zA-Z\d_\-]{23,25}\.[a-zA-Z\d_\-]{6}\.[a-zA-Z\d_\-]{27}", like(r"(?U)[a-zA-Z\d_\-]{23}\.[a-zA-Z\d_\-]{6}\.")),
+    ("SECRET_DISCORD_BOT_TOKEN", r"(?U)[MNO][a-zA-Z\d_\-]{23,25}\.[a-zA-Z\d_\-]{6}\.[a-zA-Z\d_\-]{27}", like(r"(?U)[MNO][a-zA-Z\d_\-]{23}")),
     ("SECRET_PYPI_TOKEN", r"(?U)\bpypi-(?:AgEIcHlwaS5vcmc|AgENdGVzdC5weXBpLm9yZw)[A-Za-z0-9_\-]{80,}\b", has("pypi-AgE")),
 )
 
@@ -261,15 +267,15 @@ def _defaults() -> tuple[Recognizer, ...]:
         Recognizer("PHONE_NUMBER", STRICT, like(r"(?U)\d{3}[-. ]?\d{3}"), _phone, ("US_PHONE", "INTL_PHONE")),
         checked("US_SSN", SSN, like(r"(?U)\d{3}-\d{2}-\d{4}|\d{9}"), _ssn),
         checked("IP_ADDRESS", IPV4, like(r"(?U)\d\.\d{1,3}\.\d{1,3}\.\d"), _ipv4),
-        grouped("IP_ADDRESS", IPV6, like("[0-9A-Fa-f:]:(?:[0-9A-Fa-f:.])"), _ipv6, 0, 1.0),
-        checked("URL", URL, like(r"(?i)[a-z0-9\-]\.[a-z]{2,63}[:/]|http"), _url, 0.6),
+        grouped("IP_ADDRESS", IPV6, both(has(":"), like("[0-9A-Fa-f:]:(?:[0-9A-Fa-f:.])")), _ipv6, 0, 1.0),
+        checked("URL", URL, both(has("/", ":", "http"), like(r"(?i)[a-z0-9\-]\.[a-z]{2}")), _url, 0.6),
         Recognizer("MAC_ADDRESS", STRICT, like(r"[0-9A-Fa-f]{2}[:-][0-9A-Fa-f]{2}[:-]|[0-9A-Fa-f]{4}\.[0-9A-Fa-f]{4}\."), _mac),
         checked("IBAN_CODE", IBAN, like(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11}"), lambda text, s: t.mod97_is_one(s["text"])),
         checked("CRYPTO", CRYPTO, like("(?:bc1|[13])[a-zA-HJ-NP-Z0-9]{25}"), lambda text, s: s["text"].startswith("bc1") | base58check(s["text"]), lambda s: F.when(s["text"].startswith("bc1"), 0.5).otherwise(1.0)),
         *(plain(e, p, g) for e, p, g in CREDENTIALS),
-        Recognizer("SECRET_KEYWORD_ASSIGNMENT", STRICT, like("(?i)passw|secret|api[_-]?key|[_-]?token|private|bearer"), _keyword),
-        plain("US_DRIVER_LICENSE", LICENSE, like("[A-Z](?U)\\d{6}"), BROAD, 0.5),
-        plain("US_PASSPORT", PASSPORT, like("[A-Z](?U)\\d{6}"), BROAD, 0.5),
+        Recognizer("SECRET_KEYWORD_ASSIGNMENT", STRICT, both(has(":", "="), like("(?i)passw|secret|api[_-]?key|token|private|bearer")), _keyword),
+        plain("US_DRIVER_LICENSE", LICENSE, like("[A-Z](?U:\\d{6})"), BROAD, 0.5),
+        plain("US_PASSPORT", PASSPORT, like("[A-Z](?U:\\d{6})"), BROAD, 0.5),
         grouped("SECRET_HEX_HIGH_ENTROPY", QUOTED_HEX, like("[0-9a-fA-F]{32}"), lambda text, s: t.shannon_entropy(s["text"]) >= HEX_BITS, 1, 0.5, OPT_IN),
         grouped("SECRET_BASE64_HIGH_ENTROPY", QUOTED_BASE64, like(r"[A-Za-z0-9+/_\-]{20}"), lambda text, s: ~s["text"].rlike("^[0-9a-fA-F]+$") & (t.shannon_entropy(s["text"]) >= BASE64_BITS), 1, 0.5, OPT_IN),
     )
