@@ -1,0 +1,18 @@
+"""scan_text(text): a table function for LATERAL in SQL. For whole tables plans.scan, which runs in the JVM, is the way."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+from pyspark.sql.functions import udtf
+
+from .plain import find
+
+
+@udtf(returnType="line_num int, col_start int, col_end int, entity_type string, text string, score float")
+class ScanText:
+    def eval(self, text: str):
+        yield from find(text)
+
+
+def register(spark: SparkSession, name: str = "scan_text") -> None:
+    spark.udtf.register(name, ScanText)

@@ -83,6 +83,41 @@ def model_tagger(load: Callable[[], Callable[[list[str]], list[list[tuple[int, i
     return tag
 
 
+# What a zero-shot tagger is asked for, and the types that the answers stand for.
+ZERO_SHOT = {
+    "person": "PERSON",
+    "organization": "ORGANIZATION",
+    "location": "LOCATION",
+    "phone number": "PHONE_NUMBER",
+    "email": "EMAIL_ADDRESS",
+    "social security number": "US_SSN",
+    "credit card number": "CREDIT_CARD",
+    "ip address": "IP_ADDRESS",
+    "passport number": "US_PASSPORT",
+    "driver license": "US_DRIVER_LICENSE",
+    "medical license number": "MEDICAL_LICENSE",
+}
+ZERO_SHOT_THRESHOLD, LONGEST_LINE = 0.5, 2000
+
+
+def zero_shot_tagger(load: Callable[[], Callable[[list[str], list[str]], list[list[tuple[int, int, str, float]]]]], types: dict[str, str] = ZERO_SHOT, threshold: float = ZERO_SHOT_THRESHOLD) -> Callable[[DataFrame], DataFrame]:
+    """A tagger from a model that takes whole lines and labels, and gives (from, to, label, probability) in bytes of the line."""
+
+    def loaded():
+        model = load()
+
+        def predict(lines: list[str]):
+            out = []
+            for line, spans in zip(lines, model(lines, list(types)), strict=True):
+                data = line.encode()
+                out.append([(a, b, types[label], data[a:b].decode("utf-8", "replace"), p) for a, b, label, p in spans if label in types and 0 <= a < b <= len(data)])
+            return out
+
+        return predict
+
+    return model_tagger(loaded, most=LONGEST_LINE, threshold=threshold)
+
+
 def onnx_tagger(model_path: str, tokenizer_path: str, labels: tuple[str, ...] = LABELS) -> Callable[[DataFrame], DataFrame]:
     """A tagger from an exported token classifier; both paths must be readable on every worker."""
 

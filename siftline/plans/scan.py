@@ -110,6 +110,23 @@ def scan(docs: DataFrame, id_col: str = "file", text_col: str = "text", options:
     return _finish(out.withColumn("ignored", F.col("ignored") + F.col("strict_ignored") + F.col("broad_ignored")), o)
 
 
+def trace(docs: DataFrame, id_col: str = "file", text_col: str = "text", options: Options | None = None) -> DataFrame:
+    """Every candidate of every tier with what becomes of it: kept, flagged off, suppressed, or awaiting a tag."""
+    o = options or Options()
+    base = docs.select(F.col(id_col).cast("string").alias("file"), F.col(text_col).cast("string").alias("text"))
+    base = base.filter(readable(F.col("text"), o.max_bytes) & ~is_file_skipped(F.col("file"), o.rules))
+    out = None
+    for tier in (rec.STRICT, rec.OPT_IN, rec.BROAD):
+        rows = base.select("file", F.inline_outer(candidates(F.col("text"), o.enabled(tier)))).filter(F.col("entity_type").isNotNull())
+        f = F.struct(*(F.col(c) for c in FINDING_COLUMNS[1:]))
+        silenced = is_suppressed(F.col("file"), f, o.rules) if o.rules.matchers else F.lit(False)
+        flagged = F.lit(False) if tier == rec.BROAD else ~passes_flags(f, o.flags)
+        decision = F.when(flagged, "flagged off").when(silenced, "suppressed").otherwise("awaits a tag" if tier == rec.BROAD else "kept")
+        rows = rows.withColumn("tier", F.lit(tier)).withColumn("decision", decision)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def overlaps(a: Column, b: Column) -> Column:
     """Same line, same type, and half-open columns that share a byte."""
     return (a["line_num"] == b["line_num"]) & (a["entity_type"] == b["entity_type"]) & (a["col_start"] < b["col_end"]) & (b["col_start"] < a["col_end"])

@@ -126,14 +126,14 @@ def _walk(folder: str, above: list[_Ignore], include_hidden: bool, out: list[str
 def read_files(spark: SparkSession, paths: Iterable[str], rules: Rules | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
     """file and text for each path, on a file system that every worker mounts. text is null where a file is empty, too
     large, unreadable, or skipped by a rule (then it isn't read). Bytes that aren't UTF-8 become U+FFFD."""
-    names = spark.createDataFrame([(str(p),) for p in paths], "file string")
+    names = spark.createDataFrame([(str(p), os.path.abspath(p)) for p in paths], "file string, path string")
     names = names.repartition(max(1, spark.sparkContext.defaultParallelism))
     names = names.withColumn("read", ~is_file_skipped(F.col("file"), rules or Rules()))
 
     def run(batches):
         for b in batches:
             texts = []
-            for path, read in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for path, read in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 data = None
                 try:
                     if read and 0 < os.stat(path).st_size <= max_bytes:
