@@ -7,7 +7,7 @@ Each has a guard, a cheap condition that any match implies, so that most rows sk
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column
@@ -21,13 +21,15 @@ STRICT, BROAD, OPT_IN = "strict", "broad", "opt_in"
 
 @dataclass(frozen=True)
 class Recognizer:
-    """entity: the name that switches it off; emits: the types of its findings, where these differ."""
+    """entity: the name that switches it off; emits: the types of its findings, where these differ; screen: a pattern that
+    any match implies, shared with other recognizers."""
 
     entity: str
     tier: str
     guard: Callable[[Column], Column]
     find: Callable[[Column], Column]
     emits: tuple[str, ...] = ()
+    screen: str = ""
 
     def findings(self, text: Column) -> Column:
         return F.when(self.guard(text), self.find(text)).otherwise(t.no_findings())
@@ -281,7 +283,14 @@ def _defaults() -> tuple[Recognizer, ...]:
     )
 
 
-DEFAULT = _defaults()
+#: What a text must hold for whole groups of recognizers; most texts hold neither, and skip the group.
+DIGIT, LONG_RUN = r"(?U)\d", r"(?U)(?<![A-Za-z\d_\\\-])[A-Za-z\d_\\\-]{20}"
+SCREENS = {
+    **dict.fromkeys(("CREDIT_CARD", "PHONE_NUMBER", "US_SSN", "IBAN_CODE", "US_DRIVER_LICENSE", "US_PASSPORT"), DIGIT),
+    **{e: LONG_RUN for e, _, _ in CREDENTIALS if e not in ("SECRET_SLACK_TOKEN", "SECRET_JWT", "SECRET_PRIVATE_KEY")},
+    "CRYPTO": LONG_RUN,
+}
+DEFAULT = tuple(replace(r, screen=DIGIT if r.entity == "IP_ADDRESS" and i == 4 else SCREENS.get(r.entity, "")) for i, r in enumerate(_defaults()))
 ENTITIES = tuple(dict.fromkeys(e for r in DEFAULT for e in (r.emits or (r.entity,))))
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,9 +52,28 @@ def passes_flags(f: Column, flags: dict[str, bool | float]) -> Column:
     return keep
 
 
+_built: dict[tuple, Column] = {}
+
+
+def candidates_of_text(chosen: list[rec.Recognizer]) -> Column:
+    """candidates() of a column `text`; building so large an expression takes longer than scanning many texts, so it is kept."""
+    key = (id(SparkContext._gateway), *chosen)
+    if key not in _built:
+        if len(_built) > 100:
+            _built.clear()
+        _built[key] = candidates(F.col("text"), chosen)
+    return _built[key]
+
+
 def candidates(text: Column, chosen: list[rec.Recognizer]) -> Column:
-    """Findings of all chosen recognizers, in their order."""
-    return F.concat(*(r.findings(text) for r in chosen)) if chosen else t.no_findings()
+    """Findings of all chosen recognizers; those that share a screen are tried only where it is passed."""
+    if not chosen:
+        return t.no_findings()
+    parts = []
+    for screen in dict.fromkeys(r.screen for r in chosen):
+        group = F.concat(*(r.findings(text) for r in chosen if r.screen == screen))
+        parts.append(F.when(text.rlike(screen), group).otherwise(t.no_findings()) if screen else group)
+    return F.concat(*parts)
 
 
 def dedupe(findings: Column) -> Column:
@@ -85,13 +105,12 @@ def scan(docs: DataFrame, id_col: str = "file", text_col: str = "text", options:
     o = options or Options()
     base = docs.select(F.col(id_col).cast("string").alias("file"), F.col(text_col).cast("string").alias("text"))
     base = base.withColumn("skipped", ~readable(F.col("text"), o.max_bytes) | is_file_skipped(F.col("file"), o.rules))
-    text = F.when(~F.col("skipped"), F.col("text"))
-    strict = F.when(~F.col("skipped"), candidates(text, o.enabled(rec.STRICT) + o.enabled(rec.OPT_IN))).otherwise(t.no_findings())
+    strict = F.when(~F.col("skipped"), candidates_of_text(o.enabled(rec.STRICT) + o.enabled(rec.OPT_IN))).otherwise(t.no_findings())
     found = base.withColumn("found", F.filter(strict, lambda f: passes_flags(f, o.flags)))
     found = _suppressed(found, "found", o)
     if tagger is None:
         return _finish(found.withColumn("all", F.col("kept")), o)
-    broad = F.when(~F.col("skipped"), candidates(text, o.enabled(rec.BROAD) if confirm else [])).otherwise(t.no_findings())
+    broad = F.when(~F.col("skipped"), candidates_of_text(o.enabled(rec.BROAD) if confirm else [])).otherwise(t.no_findings())
     found = found.withColumnRenamed("kept", "strict").withColumnRenamed("ignored", "strict_ignored").withColumn("found", broad)
     found = _suppressed(found, "found", o).withColumnRenamed("kept", "broad").withColumnRenamed("ignored", "broad_ignored")
     lines = found.filter(~F.col("skipped")).select("file", F.posexplode(F.split("text", "\n")).alias("i", "line_content"), "strict", "broad").withColumn("line_num", F.col("i") + 1)
@@ -117,7 +136,7 @@ def trace(docs: DataFrame, id_col: str = "file", text_col: str = "text", options
     base = base.filter(readable(F.col("text"), o.max_bytes) & ~is_file_skipped(F.col("file"), o.rules))
     out = None
     for tier in (rec.STRICT, rec.OPT_IN, rec.BROAD):
-        rows = base.select("file", F.inline_outer(candidates(F.col("text"), o.enabled(tier)))).filter(F.col("entity_type").isNotNull())
+        rows = base.select("file", F.inline_outer(candidates_of_text(o.enabled(tier)))).filter(F.col("entity_type").isNotNull())
         f = F.struct(*(F.col(c) for c in FINDING_COLUMNS[1:]))
         silenced = is_suppressed(F.col("file"), f, o.rules) if o.rules.matchers else F.lit(False)
         flagged = F.lit(False) if tier == rec.BROAD else ~passes_flags(f, o.flags)
