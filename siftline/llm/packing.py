@@ -12,7 +12,7 @@ import json
 import re
 import unicodedata
 import zlib
-from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -78,11 +78,24 @@ class WordCodec:
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {"": 0}
-        self.ids = [np.zeros(0, np.int64)]
+        self.late: list[str] = []
         self.flat, self.start, self.length = np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
+    def _make_room(self, more: int) -> None:
+        """Forgets the words met last, where more don't fit: those met first are the frequent ones."""
+        if len(self.known) + more <= self.entries or not self.late:
+            return
+        for w in self.late:
+            del self.known[w]
+        self.late = []
+        n = len(self.known)
+        self.start, self.length = self.start[:n], self.length[:n]
+        self.flat = self.flat[: int(self.start[-1] + self.length[-1])]
+
     def _learn(self, words: set[str]) -> None:
         """Ids of words as they stand; those with characters that Unicode's versions may class differently go to the library."""
+        if len(self.known) > 3 * self.entries // 4:
+            self.late += words
         parts: list[np.ndarray] = []
         far = [w for w in words if _FAR(w)]
         for w, e in zip(far, self.library.encode_batch_fast(far, add_special_tokens=False), strict=True):
@@ -101,37 +114,29 @@ class WordCodec:
         self.flat = np.concatenate([self.flat, *parts, self.id_of_rank[np.array(ranks, np.int64)]])
 
     def _words(self, text: str) -> list[str]:
-        if not text.isascii():
+        try:
+            text.encode("latin-1")  # such texts are composed, and hold no far characters
+        except UnicodeEncodeError:
             if _FAR(text):
                 return [w if _FAR(w) else " ".join(self._words(w)) for w in text.replace("\n", " ").split(" ")]
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         return text.lower().replace("\n", " ").split(" ")
 
     def _plain(self, texts: list[list[str]]) -> list[np.ndarray]:
-        out = []
-        for words in texts:
-            if len(self.known) > self.entries:
-                self._clear()
-            try:
-                at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-            except KeyError:
-                self._learn({w for w in words if w not in self.known})
-                at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-            out.append(self.flat[gather(self.start[at], self.length[at])])
-        return out
+        """Ids of texts given as words: all are looked up, then what is missing is learned at once."""
+        self._make_room(self.entries // 8)  # before the look-up, whose places then stay
+        at = [np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words)) for words in texts]
+        gaps = [(i, np.flatnonzero(k < 0).tolist()) for i, k in enumerate(at) if k.min() < 0]
+        if gaps:
+            self._learn({texts[i][j] for i, missing in gaps for j in missing})
+            for i, missing in gaps:
+                words = texts[i]
+                at[i][missing] = [self.known[words[j]] for j in missing]
+        return [self.flat[gather(self.start[k], self.length[k])] for k in at]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         mixed = {i for i, t in enumerate(texts) if "<|" in t and self.special_split.search(t)}
-        new: set[str] = set()
-        words = [self._words("" if i in mixed else t) for i, t in enumerate(texts)]
-        for w in words:
-            new.update(w)
-        new.difference_update(self.known)
-        if len(self.known) + len(new) > self.entries:
-            self._clear()
-        if len(new) <= self.entries:
-            self._learn({w for w in new if w not in self.known})
-        out = self._plain(words)
+        out = self._plain([self._words("" if i in mixed else t) for i, t in enumerate(texts)])
         for i in mixed:
             runs = self.special_split.split(texts[i])
             parts = self._plain([self._words("" if r in self.special else r) for r in runs])
