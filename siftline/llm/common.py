@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 #: Bytes of text that one step of a Python operator holds at a time.
 SLICE_BYTES = 4 << 20
 #: Distinct words or pieces that a worker's cache holds before it starts anew.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 150_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -124,10 +124,12 @@ class IdSet:
         return np.array([xxhash.xxh64_intdigest(x or "") for x in ids.cast(pa.string()).to_pylist()], np.uint64)
 
     @classmethod
-    def write(cls, ids: DataFrame, name: str) -> IdSet:
-        """ids: one column. Each part of the hash space is sorted and written by one task."""
+    def write(cls, ids: DataFrame, name: str, scratch: Scratch | None = None) -> IdSet:
+        """ids: one column. Each part of the hash space is sorted and written by one task; scratch deletes them in the end."""
         spark = ids.sparkSession
         folder, parts = shared_folder(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if scratch:
+            scratch.paths.append(folder)
 
         def hashed(batches):
             for b in batches:

@@ -39,14 +39,14 @@ def _large_star(pairs: DataFrame) -> DataFrame:
     """Each id's larger neighbours point to the smallest of its neighbours and itself."""
     both = pairs.union(pairs.select("v", "u"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+    return both.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
 
 
 def _small_star(pairs: DataFrame) -> DataFrame:
     """Each id and its smaller neighbours point to the smallest of them."""
     down = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
+    moved = down.join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -62,7 +62,7 @@ def in_blocks(members: DataFrame, group: str, member: str, size: int, scratch: S
     if large.isEmpty():
         dealt = members.withColumn("block", F.lit(0)).withColumn("__other", F.lit(0))
     else:
-        cut = members.join(large, group, "left").withColumn("__k", F.coalesce(F.ceil(F.col("__n") / size), F.lit(1)).cast("int"))
+        cut = members.join(large.hint("merge"), group, "left").withColumn("__k", F.coalesce(F.ceil(F.col("__n") / size), F.lit(1)).cast("int"))
         dealt = cut.withColumn("block", F.pmod(F.xxhash64(member), F.col("__k")).cast("int")).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__k") - 1)))
     return (
         dealt.withColumn("task", F.struct(F.col(group).alias("g"), F.least("block", "__other").alias("i"), F.greatest("block", "__other").alias("j")))

@@ -29,7 +29,7 @@ REGISTERS = BANDS * ROWS
 #: five standard deviations below it.
 SKETCH, ESTIMATE = 96, 0.6
 #: Bytes of text hashed together: about 60 bytes of memory for each.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 19
 #: Members of a block of a large bucket, and of a large group of candidates.
 BUCKET_BLOCK, GROUP_BLOCK = 4000, 1000
 
@@ -182,41 +182,42 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, id_col: str = "do
     shingle, and so link with equal ones only. Repeated rows, with equal ids or not, are rows of one class. An empty table
     gives an empty result. The ids come back as doc_id.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    # All sides of joins grow with the table: none is broadcast, at no size.
+    scratch = Scratch(docs.sparkSession)
     sig = scratch.write(signatures(docs, id_col, text_col), "signatures")
     # One node for each set of shingles. Partial aggregation comes before the shuffle, so many copies cost little.
     nodes = sig.filter("set_hash IS NOT NULL").groupBy("set_hash").agg(F.min("row_id").alias("node"))
-    node_of = sig.select("doc_id", "row_id", "set_hash").join(nodes, "set_hash", "left").select("doc_id", "row_id", F.coalesce("node", "row_id").alias("node"))
+    node_of = sig.select("doc_id", "row_id", "set_hash").join(nodes.hint("merge"), "set_hash", "left").select("doc_id", "row_id", F.coalesce("node", "row_id").alias("node"))
     node_of = scratch.write(node_of, "nodes")
-    only = node_of.filter("node = row_id").select("row_id")
+    only = IdSet.write(node_of.filter("node = row_id").select("row_id"), "node-ids", scratch)
 
-    keys = sig.filter("set_hash IS NOT NULL").select("row_id", "bands").join(only, "row_id", "left_semi").select("row_id", F.explode("bands").alias("key"))
-    keys = scratch.write(keys, "band-keys")
+    bands = only.filter(sig.filter("set_hash IS NOT NULL").select("row_id", "bands"), "row_id")
+    keys = scratch.write(bands.select("row_id", F.explode("bands").alias("key")), "band-keys")
+    shared = IdSet.write(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "shared-keys", scratch)
+    members = scratch.write(shared.filter(keys, "key"), "bucket-members")
     # Buckets with the same members are needed once.
     buckets = (
-        keys.groupBy("key")
+        members.groupBy("key")
         .agg(F.count("*").alias("n"), F.min("row_id").alias("least"), F.max("row_id").alias("most"), F.bit_xor(F.xxhash64("row_id")).alias("x"), F.bit_xor(F.xxhash64(F.col("row_id") + 1)).alias("y"))
-        .filter("n > 1")
         .groupBy("n", "least", "most", "x", "y")
         .agg(F.min("key").alias("key"))
         .select("key")
     )
-    members = scratch.write(keys.join(buckets, "key"), "bucket-members")
-    tasks = in_blocks(members, "key", "row_id", BUCKET_BLOCK, scratch).join(sig.select("row_id", "sketch"), "row_id")
+    members = scratch.write(members.join(buckets.hint("merge"), "key"), "distinct-buckets")
+    tasks = in_blocks(members, "key", "row_id", BUCKET_BLOCK, scratch).join(sig.select("row_id", "sketch").hint("merge"), "row_id")
     candidates = connected_components(_forest(tasks, "sketch", _by_sketch), scratch)
     candidates = scratch.write(candidates.withColumnRenamed("id", "row_id"), "candidates")
 
     # Shingles are wide, so those of other rows are left out where they are read, before the shuffle.
-    sets = IdSet.write(candidates.select("row_id"), "candidate-ids").filter(sig.select("row_id", "shingles"), "row_id")
-    tasks = in_blocks(candidates, "component", "row_id", GROUP_BLOCK, scratch).join(sets, "row_id")
+    sets = IdSet.write(candidates.select("row_id"), "candidate-ids", scratch).filter(sig.select("row_id", "shingles"), "row_id")
+    tasks = in_blocks(candidates, "component", "row_id", GROUP_BLOCK, scratch).join(sets.hint("merge"), "row_id")
     links = connected_components(_forest(tasks, "shingles", _by_sets(similar)), scratch)
     links = links.select(F.col("id").alias("node"), "component")
 
-    rows = written(node_of.join(links, "node", "left").select("doc_id", "row_id", F.coalesce("component", "node").alias("root")), "roots")
+    rows = written(node_of.join(links.hint("merge"), "node", "left").select("doc_id", "row_id", F.coalesce("component", "node").alias("root")), "roots")
     scratch.clear()
     classes = rows.groupBy("root").agg(F.min(F.struct("doc_id", "row_id")).alias("first"), F.count("*").alias("class_size"))
-    return rows.join(classes, "root").select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("row_id") == F.col("first.row_id")).alias("kept"))
+    return rows.join(classes.hint("merge"), "root").select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("row_id") == F.col("first.row_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -26,7 +26,7 @@ from .common import gather, slices, small_batches, table, written
 
 SIZE = 4096
 #: Distinct words that a worker keeps, about 250 bytes each.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 200_000
 END_ID = 1
 WORDS = "word_bpe_49k.json"
 _NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
