@@ -16,7 +16,7 @@ LEAST_SCORE = 0.5
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, and those in which no language has half of the text.
+    """Drops documents without a letter, and those of 400 characters or more in which no language has half of the text.
 
     Rows with null texts go; rows with null lang or doc_id stay by their text. Rows are returned unchanged.
     """

@@ -29,6 +29,8 @@ STEPS, BATCH, RATE = 400, 96, 0.01
 #: Windows that run as one batch.
 RUN_WINDOWS = 512
 UNKNOWN = "und"
+#: Characters below which a low score says little.
+SHORT = 400
 _LETTER = re.compile(r"[^\W\d_]")
 #: ASCII in lower case; bytes that are no letters are as a space, so that a window is told by its words.
 _FOLD = np.array([c if c >= 128 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256)], np.uint8)
@@ -127,15 +129,16 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Network | None:
     return net
 
 
-def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[str], list[str]]:
-    """At most `rows` labelled texts: those with the smallest hashes, each once, with the first of its languages.
+def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """At most `rows` labelled texts (columns text, lang): those with the smallest hashes, each once, with the first of its
+    languages, sorted by hash.
 
     The share of hashes to look at follows from a count of labels, so that tasks send little more than what is used,
     however many there are. Where texts repeat, fewer than `rows` may come of it.
     """
     labelled = labelled.filter(F.col("lang").isNotNull())
     share = 1.25 * rows / max(1, labelled.select("lang").count())
-    got = (
+    return (
         labelled.filter(F.col("text").isNotNull())
         .select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
         .withColumn("h", F.xxhash64("text"))
@@ -144,14 +147,31 @@ def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[str], lis
         .agg(F.min(F.struct("lang", "text")).alias("row"))
         .orderBy("h")
         .limit(rows)
-        .collect()
+        .select("row.text", "row.lang")
     )
-    return [r["row"]["text"] for r in got], [r["row"]["lang"] for r in got]
 
 
 def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 7) -> Network | None:
-    """labelled: columns text and lang. Rows without either are left out; null where none is left."""
-    return train(*sample(labelled, rows), seed)
+    """labelled: columns text and lang. Rows without either are left out; null where none is left.
+
+    Training runs in one task, over the sample alone; the driver gets the weights.
+    """
+    small_batches(labelled.sparkSession)
+
+    def run(batches):
+        texts, langs = [], []
+        for b in batches:
+            texts += b.column(0).to_pylist()
+            langs += b.column(1).to_pylist()
+        net = train(texts, langs, seed)
+        if net:
+            data = [p.tobytes() for p in net.params]
+            yield pa.RecordBatch.from_arrays([pa.array([net.classes], pa.list_(pa.string())), pa.array([data], pa.list_(pa.binary())), pa.array([[list(p.shape) for p in net.params]], pa.list_(pa.list_(pa.int32())))], ["classes", "params", "shapes"])
+
+    got = sample(labelled, rows).coalesce(1).mapInArrow(run, "classes array<string>, params array<binary>, shapes array<array<int>>").collect()
+    if not got:
+        return None
+    return Network(list(got[0]["classes"]), [np.frombuffer(bytes(p), np.float32).reshape(s) for p, s in zip(got[0]["params"], got[0]["shapes"], strict=True)])
 
 
 def predict_batch(net: Network | None, texts: list[str]) -> tuple[list[str], list[float]]:
@@ -208,15 +228,17 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
     return map_texts(docs, make, "lang_pred string, score double", id_col, text_col)
 
 
-def keep_known(docs: DataFrame, net: Network | None, least: float, text_col: str = "text") -> DataFrame:
-    """The rows, unchanged, whose language is told with a score of at least `least`."""
+def keep_known(docs: DataFrame, net: Network | None, least: float, short: int = SHORT, text_col: str = "text") -> DataFrame:
+    """The rows, unchanged, but those of no known language: without a letter, or long enough to tell and yet with no
+    language of a score of at least `least`. Texts of fewer than `short` characters stay whatever their score."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         for whole in batches:
             for b in slices(whole, text_col):
-                lang, score = predict_batch(net, [t or "" for t in b.column(text_col).to_pylist()])
-                yield b.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(lang, score, strict=True)], pa.bool_()))
+                texts = [t or "" for t in b.column(text_col).to_pylist()]
+                lang, score = predict_batch(net, texts)
+                yield b.filter(pa.array([x != UNKNOWN and (s >= least or len(t) < short) for x, s, t in zip(lang, score, texts, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
