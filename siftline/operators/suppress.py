@@ -125,18 +125,32 @@ def is_file_skipped(file: Column, rules: Rules) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def _is_plain(r: Rule) -> bool:
+    """Names a type and a text that stands for itself, in any case."""
+    if r.match is not None or r.text is None or r.entity_type is None or r.ignorecase is False:
+        return False
+    wild = r.textglob is not False and _GLOB.search(r.text)
+    return not wild and not r.text.startswith(("@", "*.")) and not r.text.endswith("@")
+
+
 def is_suppressed(file: Column, f: Column, rules: Rules) -> Column:
-    """Whether any rule matches the finding f (struct) of a file. Rules are few and become part of the plan."""
-    exact: dict[str, list[str]] = {}
+    """Whether any rule matches the finding f (struct) of a file. Rules become part of the plan.
+
+    Plain rules, as made from findings by the thousand, are one set for each scope, looked up by type, place and text.
+    """
+    known: dict[str, set[str]] = {GLOBAL: set(), FILE: set()}
     rest = []
     for r in rules.matchers:
-        # Global rules on a type and a plain text are one lookup for each type, however many they are.
-        plain = r.match is None and r.text is not None and not _GLOB.search(r.text) and r.ignorecase is not False
-        if plain and r.entity_type and r.effective_scope == GLOBAL and r.entity_type not in ("EMAIL_ADDRESS", "URL"):
-            exact.setdefault(r.entity_type, []).append(_lower(r.text))
+        literal_path = r.path is not None and _glob(normal_path(r.path)) is None
+        if _is_plain(r) and r.effective_scope == GLOBAL:
+            known[GLOBAL].add("\0".join((r.entity_type, _lower(r.text))))
+        elif _is_plain(r) and r.effective_scope == FILE and literal_path:
+            known[FILE].add("\0".join((r.entity_type, normal_path(r.path), _lower(r.text))))
         else:
             rest.append(r)
-    parts = [(f["entity_type"] == e) & t.lower_ascii(f["text"]).isin(*sorted(set(v))) for e, v in sorted(exact.items())]
+    text = t.lower_ascii(f["text"])
+    keys = {GLOBAL: F.concat_ws("\0", f["entity_type"], text), FILE: F.concat_ws("\0", f["entity_type"], _normal(file), text)}
+    parts = [keys[scope].isin(*sorted(v)) for scope, v in known.items() if v]
     parts += [_matches(file, f, r) for r in rest]
     return F.coalesce(reduce(lambda a, b: a | b, parts), F.lit(False)) if parts else F.lit(False)
 

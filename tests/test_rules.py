@@ -163,3 +163,11 @@ def test_rules_path(tmp_path):
     assert io.rules_path(None, str(tmp_path)).endswith("phi.yaml")
     (base / "phi.toml").write_text("")
     assert io.rules_path(None, str(tmp_path)).endswith("phi.toml")
+
+
+def test_thousands_of_plain_rules(spark):
+    made = [Rule(entity_type=M, path=f"./f{i}", text=f"U{i}@x.org") for i in range(3000)] + [Rule(entity_type="URL", text=f"http://h{i}.org/") for i in range(3000)]
+    rows = [("f7", M, "u7@X.org", True), ("./f7", M, "u7@x.org", True), ("f8", M, "u7@x.org", False), ("f7", "URL", "u7@x.org", False), ("z", "URL", "HTTP://h2999.org/", True), ("z", "URL", "http://h3000.org/", False)]
+    df = spark.createDataFrame(rows, "file string, entity_type string, text string, want boolean")
+    f = F.struct(F.lit(1).alias("line_num"), "entity_type", "text")
+    assert all(r.got == r.want for r in df.select("want", is_suppressed(F.col("file"), f, Rules(tuple(made))).alias("got")).collect())
