@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, slices, small_batches, table
+from .common import map_texts, release, slices, small_batches, table
 
 #: Bytes of a window. Consecutive windows share what the widest filter spans, less one, so that no place is missed.
 WINDOW = 128
@@ -27,7 +27,7 @@ EMBED = 8
 SAMPLE_ROWS = 4000
 STEPS, BATCH, RATE = 400, 96, 0.01
 #: Windows that run as one batch.
-RUN_WINDOWS = 512
+RUN_WINDOWS = 256
 UNKNOWN = "und"
 #: Characters below which a low score says little.
 SHORT = 400
@@ -239,6 +239,7 @@ def keep_known(docs: DataFrame, net: Network | None, least: float, short: int =
                 texts = [t or "" for t in b.column(text_col).to_pylist()]
                 lang, score = predict_batch(net, texts)
                 yield b.filter(pa.array([x != UNKNOWN and (s >= least or len(t) < short) for x, s, t in zip(lang, score, texts, strict=True)], pa.bool_()))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import IdSet, Scratch, WordHashes, flat, gather, letters_lower, mix, slices, small_batches, table, written
+from .common import IdSet, Scratch, WordHashes, flat, gather, letters_lower, mix, release, slices, small_batches, table, written
 from .components import connected_components, grouped, in_blocks, spanning_edges, whole_groups
 
 SHINGLE = 5
@@ -119,6 +119,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     ],
                     ["doc_id", "set_hash", "bands", "sketch", "shingles"],
                 )
+        release()
 
     kind = src.schema["doc_id"].dataType.simpleString()
     made = src.mapInArrow(run, f"doc_id {kind}, set_hash binary, bands array<long>, sketch binary, shingles binary")
@@ -139,6 +140,7 @@ def _forest(tasks: DataFrame, column: str, make) -> DataFrame:
                         a.append(ids[x + i])
                         b.append(ids[x + j])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        release()
 
     keyed = tasks.select(F.xxhash64("task").alias("task_key"), "row_id", "block", "own", column)
     return grouped(keyed, "task_key").mapInArrow(run, "a long, b long")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters, vocabulary
-from .common import gather, slices, small_batches, table, written
+from .common import gather, release, slices, small_batches, table, written
 
 SIZE = 4096
 #: Distinct words that a worker keeps, about 250 bytes each.
@@ -246,6 +246,7 @@ def piece_table(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_
                     [batch.column("__id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array([part] * len(row), pa.int64()), pa.array(rank, pa.int64())],
                     ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"],
                 )
+        release()
 
     return src.mapInArrow(run, f"doc_id {src.schema['__id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, part long, rank long")
 
