@@ -1,9 +1,10 @@
 """MinHash near-dedup by ProbMinHash.
 
-A document's five-word shingles are weighted by 1 + ln(count). Each shingle is a Poisson process whose rate is its
-weight; arrivals pick registers, a register keeps its earliest arrival, and a process ends when it is later than all
-registers. Equal registers estimate the probability Jaccard similarity. Bands of registers give candidates, an estimate
-from more registers drops the distant ones, and the Jaccard similarity of the whole sets of shingles decides.
+Each five-word shingle is a Poisson process whose rate is its weight; arrivals pick registers, a register keeps its
+earliest arrival, and a process ends when it is later than all registers. Equal registers estimate the probability
+Jaccard similarity. All distinct shingles of a document weigh the same here, however often they occur: then it is the
+Jaccard similarity of the sets, the one that decides. Bands of registers give candidates, an estimate from more registers
+drops the distant ones, and the Jaccard similarity of the whole sets of shingles decides.
 
 Copies with the same shingles are one node from the start. What a bucket or a group of candidates yields is a forest of
 its links, never all its pairs; large ones are cut into blocks that meet two by two.
@@ -101,8 +102,8 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for whole in batches:
             for b in slices(whole, limit=TOGETHER):
                 n = b.num_rows
-                row, items, count = shingles([t or "" for t in b.column("text").to_pylist()], hashes)
-                won = prob_min_hash(row, items, 1 + np.log(count), n)
+                row, items, _ = shingles([t or "" for t in b.column("text").to_pylist()], hashes)
+                won = prob_min_hash(row, items, np.ones(len(items)), n)
                 size = np.bincount(row, minlength=n)
                 start = np.cumsum(size) - size
                 data = items.astype("<u8").tobytes()

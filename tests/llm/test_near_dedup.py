@@ -64,6 +64,21 @@ def test_blocks_of_large_groups_agree(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in got} == brute(rows)
 
 
+def test_unequal_repeats_lose_no_link(spark):
+    """Near copies of which one repeats a passage many times: the sets stay similar, whatever the counts."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(60):
+        words = ["d%dw%d" % (k, i) for i in range(220)]
+        passage, rest = words[:94], words[94:]
+        changed = list(rest)
+        changed[rng.choice([10, 60, 100])] = "changed"
+        rows += [(2 * k, " ".join(passage * rng.choice([30, 200]) + rest)), (2 * k + 1, " ".join(passage + changed[:-10]))]
+    want = brute(rows)
+    assert len(set(want.values())) == 60
+    assert {r.doc_id: r.class_id for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
 def test_empty_and_repeated_rows(spark):
     assert nd.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, None)]
