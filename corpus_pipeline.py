@@ -24,7 +24,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates, the one with the smallest doc_id. Rows are returned unchanged."""
+    """Keeps one document of each group of near-duplicates, one with the smallest doc_id, also where ids repeat. Rows are returned unchanged."""
     return near_dedup.drop_near_duplicates(docs)
 
 

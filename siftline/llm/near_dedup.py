@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import IdSet, Scratch, WordHashes, flat, gather, letters_lower, mix, release, slices, small_batches, table, written
 from .components import connected_components, grouped, in_blocks, spanning_edges, whole_groups
@@ -185,12 +186,17 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, id_col: str = "do
     shingle, and so link with equal ones only. Repeated rows, with equal ids or not, are rows of one class. An empty table
     gives an empty result. The ids come back as doc_id.
     """
+    return _classes(docs, similar, id_col, text_col).select("doc_id", "class_id", "class_size", "kept")
+
+
+def _classes(docs: DataFrame, similar: float, id_col: str, text_col: str) -> DataFrame:
+    """near_duplicates with the set_hash of each row: rows with equal ones are of one class; null where a text has no word."""
     # All sides of joins grow with the table: none is broadcast, at no size.
     scratch = Scratch(docs.sparkSession)
     sig = scratch.write(signatures(docs, id_col, text_col), "signatures")
     # One node for each set of shingles. Partial aggregation comes before the shuffle, so many copies cost little.
     nodes = sig.filter("set_hash IS NOT NULL").groupBy("set_hash").agg(F.min("row_id").alias("node"))
-    node_of = sig.select("doc_id", "row_id", "set_hash").join(nodes.hint("merge"), "set_hash", "left").select("doc_id", "row_id", F.coalesce("node", "row_id").alias("node"))
+    node_of = sig.select("doc_id", "row_id", "set_hash").join(nodes.hint("merge"), "set_hash", "left").select("doc_id", "row_id", "set_hash", F.coalesce("node", "row_id").alias("node"))
     node_of = scratch.write(node_of, "nodes")
     only = IdSet.write(node_of.filter("node = row_id").select("row_id"), "node-ids", scratch)
 
@@ -217,21 +223,56 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, id_col: str = "do
     links = connected_components(_forest(tasks, "shingles", _by_sets(similar)), scratch)
     links = links.select(F.col("id").alias("node"), "component")
 
-    rows = written(node_of.join(links.hint("merge"), "node", "left").select("doc_id", "row_id", F.coalesce("component", "node").alias("root")), "roots")
+    rows = written(node_of.join(links.hint("merge"), "node", "left").select("doc_id", "row_id", "set_hash", F.coalesce("component", "node").alias("root")), "roots")
     scratch.clear()
     classes = rows.groupBy("root").agg(F.min(F.struct("doc_id", "row_id")).alias("first"), F.count("*").alias("class_size"))
-    return rows.join(classes.hint("merge"), "root").select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("row_id") == F.col("first.row_id")).alias("kept"))
+    return rows.join(classes.hint("merge"), "root").select("doc_id", "set_hash", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("row_id") == F.col("first.row_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, unchanged, of which near_duplicates keeps one of each class.
+    """The rows of docs, unchanged, of which near_duplicates keeps one of each class, whether ids are unique or not.
 
-    Ids are taken to be unique: where rows share an id, all stay or none. Whole rows aren't shuffled: the ids that go
-    are looked up where docs is read. Ids that aren't integers could be mistaken for one another once in 2^64.
+    Whole rows aren't shuffled: the ids that go are looked up where docs is read. Rows whose id is null or not their
+    own are written once more, and decided one by one: of those with the id and shingles of a kept row, one stays. Ids
+    that aren't integers could be mistaken for one another once in 2^64.
     """
-    classes = near_duplicates(docs, similar, id_col, text_col)
-    gone = classes.groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("NOT kept").select("doc_id")
-    return IdSet.write(gone, "dropped").filter(docs, id_col, members=False)
+    scratch = Scratch(docs.sparkSession)
+    classes = scratch.write(_classes(docs, similar, id_col, text_col), "classes")
+    ids = scratch.write(classes.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("kept")).filter("n > 1 OR doc_id IS NULL OR NOT kept"), "ids")
+    gone = IdSet.write(ids.select("doc_id"), "dropped")
+    repeated = ids.filter("n > 1 OR doc_id IS NULL").select("doc_id")
+    if repeated.isEmpty():
+        scratch.clear()
+        return gone.filter(docs, id_col, members=False)
+    shared = IdSet.write(repeated, "repeated", scratch)
+    rows = written(_with_set_hash(shared.filter(docs, id_col), text_col), "repeated-rows")
+    kept = shared.filter(classes.filter("kept AND set_hash IS NOT NULL").select("doc_id", "set_hash"), "doc_id").distinct()
+    hashed = rows.filter("__set_hash IS NOT NULL").groupBy(F.col(id_col).alias("id"), F.col("__set_hash").alias("hash")).agg(F.min("__row").alias("__row"))
+    one = hashed.join(kept.hint("merge"), hashed["id"].eqNullSafe(kept["doc_id"]) & (hashed["hash"] == kept["set_hash"])).select("__row")
+    stay = one.unionByName(rows.filter("__set_hash IS NULL").select("__row"))
+    decided = IdSet.write(stay, "kept-rows").filter(rows, "__row").select(*(F.col(f"`{c}`") for c in docs.columns))
+    scratch.clear()
+    return gone.filter(docs, id_col, members=False).unionAll(decided)
+
+
+def _with_set_hash(docs: DataFrame, text_col: str) -> DataFrame:
+    """docs with __set_hash, as signatures has it, and __row, a number for each row."""
+    small_batches(docs.sparkSession)
+    src = docs.withColumn("__text", F.col(text_col).cast("string"))
+
+    def run(batches):
+        hashes = WordHashes()
+        for whole in batches:
+            for b in slices(whole, "__text", TOGETHER):
+                row, items, _ = shingles([t or "" for t in b.column("__text").to_pylist()], hashes)
+                ends = np.cumsum(np.bincount(row, minlength=b.num_rows))
+                data = items.astype("<u8").tobytes()
+                sets = [data[8 * a : 8 * z] for a, z in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.array([xxhash.xxh3_128_digest(s) if s else None for s in sets], pa.binary())], [*b.schema.names[:-1], "__set_hash"])
+        release()
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("__set_hash", T.BinaryType())])
+    return src.mapInArrow(run, schema).withColumn("__row", F.monotonically_increasing_id())
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,6 +87,19 @@ def test_empty_and_repeated_rows(spark):
     assert len(got) == 4 and sum(r.kept for r in got) == 2
 
 
+def test_one_row_of_each_class_stays_whatever_the_ids(spark):
+    same, own = "a b c d e f", "g h i j k l m"
+    rows = [(1, same, "x"), (1, same, "y"), (2, same.upper(), "x"), (3, own, "x"), (3, own, "x"), (3, "n o p q r s", "x"), (3, same, "x"), (4, own, "x"), (5, "t u v w x", "x"), (6, "", "x"), (6, None, "x"), (7, same, "x")]
+    for null in ([], [(None, same, "x"), (None, "y z", "x"), (None, "y z", "y"), (None, "", "x")]):
+        df = spark.createDataFrame(rows + null, "doc_id long, text string, source string")
+        got = nd.drop_near_duplicates(df)
+        assert got.columns == df.columns
+        texts = [(r.text or "").lower() for r in got.collect()]
+        assert sorted(texts) == sorted([same, own, "n o p q r s", "t u v w x", "", ""] + (["y z", ""] if null else []))
+    twice = nd.drop_near_duplicates(df.union(df)).collect()
+    assert sorted((r.text or "").lower() for r in twice if (r.text or "").strip()) == sorted([same, own, "n o p q r s", "t u v w x", "y z"])
+
+
 def test_estimates_probability_jaccard():
     """On weighted items the share of equal registers is near the sum over i of 1 / sum over j of max(x_j / x_i, y_j / y_i)."""
     x, y = np.array([1, 2, 3, 0.5, 4]), np.array([2, 2, 1, 1, 4.0])
