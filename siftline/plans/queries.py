@@ -33,7 +33,8 @@ def with_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def options(*entities: str, **more) -> Options:
-    return Options(recognizers=rec.by_entity(*entities), **more)
+    """Tables are scanned whole: the limit on bytes is for files."""
+    return Options(recognizers=rec.by_entity(*entities), max_bytes=None, **more)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,7 +57,7 @@ def _entity_query(entity: str) -> None:
     r = tuple(replace(x, tier=rec.STRICT) if x.tier == rec.BROAD else x for x in r)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return findings(scan(with_fixtures(spark, sf_dir), options=Options(recognizers=r, rules=Rules(flags=flags)))).select(*COLUMNS)
+        return findings(scan(with_fixtures(spark, sf_dir), options=Options(recognizers=r, rules=Rules(flags=flags), max_bytes=None))).select(*COLUMNS)
 
     sql = None if entity == "CRYPTO" else f"SELECT {', '.join(COLUMNS)} FROM ({oracle.findings_sql((entity,), oracle.docs_sql())})"
     register(f"{entity.lower()}_findings", sql)(run)
@@ -85,13 +86,13 @@ def documents_by_type(spark, sf_dir):
 @register("scan_defaults")
 def scan_defaults(spark, sf_dir):
     """Every default recognizer over documents: counts by type."""
-    return findings(scan(documents(spark, sf_dir))).groupBy("entity_type").agg(F.count("*").alias("n"))
+    return findings(scan(documents(spark, sf_dir), options=Options(max_bytes=None))).groupBy("entity_type").agg(F.count("*").alias("n"))
 
 
 @register("crypto_candidates", f"SELECT {', '.join(COLUMNS)} FROM ({oracle.entity_sql('CRYPTO', oracle.docs_sql())})")
 def crypto_candidates(spark, sf_dir):
     r = rec.plain("CRYPTO", rec.CRYPTO, rec.like("(?:bc1|[13])[a-zA-HJ-NP-Z0-9]{25}"))
-    return findings(scan(with_fixtures(spark, sf_dir), options=Options(recognizers=(r,)))).select(*COLUMNS)
+    return findings(scan(with_fixtures(spark, sf_dir), options=Options(recognizers=(r,), max_bytes=None))).select(*COLUMNS)
 
 
 _PAGES = "SELECT CAST(page_id AS VARCHAR) AS file, coalesce(url, '') || chr(10) || coalesce(html, '') AS text FROM pages"
@@ -117,7 +118,7 @@ def chat_findings(spark, sf_dir):
 def dedupe_query(spark, sf_dir):
     """The same recognizers twice: each place and type stays one finding."""
     o = options(*COMPARED)
-    twice = Options(recognizers=o.recognizers + o.recognizers)
+    twice = replace(o, recognizers=o.recognizers + o.recognizers)
     return findings(scan(with_fixtures(spark, sf_dir), options=twice)).select("file", "line_num", "col_start", "col_end", "entity_type", "score", F.lit(True).alias("kept"))
 
 

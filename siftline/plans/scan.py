@@ -17,19 +17,19 @@ from siftline.operators import recognizers as rec
 from siftline.operators.suppress import Rules, is_file_skipped, is_suppressed
 from siftline.schema import FINDING_COLUMNS
 
-#: Texts of more bytes are skipped.
+#: Files of more bytes are skipped, and texts where Options says nothing else.
 MAX_BYTES = 1_000_000
 
 
 @dataclass(frozen=True)
 class Options:
     """entities: only these types in the result. flags: by type, False switches it off, True allows an opt-in type, a
-    number asks for that score. recognizers: what may run."""
+    number asks for that score. recognizers: what may run. max_bytes: longer texts are skipped; None scans whole tables."""
 
     entities: tuple[str, ...] = ()
     rules: Rules = field(default_factory=Rules)
     recognizers: tuple[rec.Recognizer, ...] = rec.DEFAULT
-    max_bytes: int = MAX_BYTES
+    max_bytes: int | None = MAX_BYTES
 
     @property
     def flags(self) -> dict[str, bool | float]:
@@ -88,9 +88,10 @@ def dedupe(findings: Column) -> Column:
     return t.bind(ordered, first_of_its_kind)
 
 
-def readable(text: Column, max_bytes: int = MAX_BYTES) -> Column:
-    """Not null, not blank, not too long."""
-    return F.coalesce(F.octet_length(text).between(1, max_bytes) & text.rlike(r"(?U)\S"), F.lit(False))
+def readable(text: Column, max_bytes: int | None = MAX_BYTES) -> Column:
+    """Not null, not blank, not too long; None: however long."""
+    fits = F.octet_length(text) >= 1 if max_bytes is None else F.octet_length(text).between(1, max_bytes)
+    return F.coalesce(fits & text.rlike(r"(?U)\S"), F.lit(False))
 
 
 def scan(docs: DataFrame, id_col: str = "file", text_col: str = "text", options: Options | None = None, tagger: Callable[[DataFrame], DataFrame] | None = None, confirm: bool = True) -> DataFrame:

@@ -22,6 +22,21 @@ def test_blank_null_and_long_texts_are_skipped(spark):
     assert [len(r.findings) for r in out] == [0, 0, 0, 1, 0]
 
 
+def test_registered_queries_scan_texts_above_the_limit_of_files(spark, tmp_path):
+    from siftline.plans.queries import QUERIES
+
+    text = "word " * 240_000 + "\na@b.org"
+    spark.createDataFrame([(1, text, "en", "s", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "", text)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([("c", 0, "user", text)], "conv_id string, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    for name, file in (("email_address_findings", "1"), ("stream_findings", "1"), ("page_findings", "1"), ("chat_findings", "c:0")):
+        rows = QUERIES[name](spark, str(tmp_path)).filter(F.col("file") == file).collect()
+        assert [(r.entity_type, r.text) for r in rows] == [("EMAIL_ADDRESS", "a@b.org")], name
+    for name in ("documents_by_type", "scan_defaults"):
+        assert [(r.entity_type, r.n) for r in QUERIES[name](spark, str(tmp_path)).collect()] == [("EMAIL_ADDRESS", 1)], name
+    assert [(r.n, r.skipped) for r in QUERIES["ignored_counts"](spark, str(tmp_path)).filter("file = '1'").collect()] == [(1, False)]
+
+
 def test_opt_in_needs_a_flag(spark):
     text = f"'{'0a1b2c3d4e5f6789' * 2}'"
     for flags, n in (({}, 0), ({"SECRET_HEX_HIGH_ENTROPY": True}, 1), ({"SECRET_HEX_HIGH_ENTROPY": 0.4}, 1), ({"SECRET_HEX_HIGH_ENTROPY": 0.9}, 0), ({"SECRET_HEX_HIGH_ENTROPY": False}, 0)):
