@@ -1,11 +1,17 @@
-"""Column functions on text: matches with their places, positions in lines, checksums, entropy."""
+"""Column functions on text: matches with their places, checksums, entropy."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from siftline.schema import FINDING, SPAN
+from siftline.schema import FINDING, MATCH, MATCH_FIELDS
+
+#: Matches whose places are summed one after another; sums of such runs are then summed in turn.
+RUN = 64
 
 
 def bind(value: Column, f) -> Column:
@@ -13,63 +19,150 @@ def bind(value: Column, f) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
-def spans(text: Column, pattern: str, groups: tuple[int, ...] = ()) -> Column:
-    """All matches, left to right without overlap: array<struct<start,end,text,g1..>>, places in characters from 0."""
-    parts = [F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m")]
-    parts += [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in groups]
-    kind = SPAN[:-1] + "".join(f",g{g}:string" for g in groups) + ">"
+def matches(text: Column, pattern: str | Column, row: Callable[[dict[str, Column]], dict[str, Column]], groups: int = 0, around: bool = False) -> Column:
+    """All matches, left to right without overlap, as array<MATCH>: what `located` makes findings of.
+
+    row: of a match (m, g1, g2, ..; with around `pre` and `post`, up to two characters on either side), the fields
+    entity_type, score, and where they differ from the whole match, found with score 1 on any line: text (empty: no
+    finding), tail (characters of the match after the text) and line_rule.
+    """
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    parts = {"gaps": F.split(text, pattern, F.lit(-1)), "ms": F.regexp_extract_all(text, pattern, F.lit(0))}
+    parts |= {f"g{k}": F.regexp_extract_all(text, pattern, F.lit(k)) for k in range(1, groups + 1)}
+
+    def match(p: Column, m: Column, i: Column) -> Column:
+        x = {"m": m} | {f"g{k}": F.get(p[f"g{k}"], i) for k in range(1, groups + 1)}
+        if not around:
+            return made(p, x, i)
+        pre = F.right(F.concat(F.right(F.coalesce(F.get(p["ms"], i - 1), F.lit("")), F.lit(2)), F.right(F.get(p["gaps"], i), F.lit(2))), F.lit(2))
+        post = F.substring(F.concat(F.substring(F.get(p["gaps"], i + 1), 1, 2), F.substring(F.coalesce(F.get(p["ms"], i + 1), F.lit("")), 1, 2)), 1, 2)
+        return bind(F.struct(pre.alias("pre"), post.alias("post")), lambda o: made(p, x | {"pre": o["pre"], "post": o["post"]}, i))
+
+    def made(p: Column, x: dict[str, Column], i: Column) -> Column:
+        head, rest, got = F.get(p["gaps"], i), x["m"], row(x)
+        if "tail" in got:
+            lead = F.greatest(F.lit(0), F.length(x["m"]) - F.length(got["text"]) - got["tail"])
+            head, rest = F.concat(head, F.left(x["m"], lead)), F.substring(x["m"], lead + 1, F.length(x["m"]))
+        first = i == 0
+        fields = (first, head, rest, got.get("text", x["m"]), got["entity_type"], got["score"].cast("float"), got.get("line_rule", F.lit(0)))
+        return F.struct(*(c.alias(n) for c, (n, _) in zip(fields, MATCH_FIELDS, strict=True)))
+
+    return bind(F.struct(*(c.alias(n) for n, c in parts.items())), lambda p: F.transform(p["ms"], lambda m, i: match(p, m, i)))
+
+
+def matches_of(text: Column, patterns: list[tuple[str, str, float, tuple[str, ...]]]) -> Column:
+    """Whole matches of several patterns (entity, pattern, score, words), each tried only on a text with one of its words.
+
+    One expression over a table of patterns: a plan with dozens of them takes longer to make than many texts to scan.
+    """
+    rows = [F.struct(F.lit(e).alias("e"), F.lit(p).alias("p"), F.lit(s).cast("float").alias("s"), F.array(*map(F.lit, ws)).alias("ws")) for e, p, s, ws in patterns]
+    tried = F.filter(F.array(*rows), lambda r: F.exists(r["ws"], lambda w: F.contains(text, w)))
+    return F.flatten(F.transform(tried, lambda r: matches(text, r["p"], lambda x: {"entity_type": r["e"], "score": r["s"]})))
+
+
+def no_matches() -> Column:
+    return F.array().cast(f"array<{MATCH}>")
+
+
+def before(x: dict[str, Column], back: int = 1) -> Column:
+    """The character that stands `back` (1 or 2) places before a match, or an empty string."""
+    return F.right(x["pre"], F.lit(1)) if back == 1 else F.when(F.length(x["pre"]) == 2, F.left(x["pre"], F.lit(1))).otherwise(F.lit(""))
+
+
+def after(x: dict[str, Column], on: int = 1) -> Column:
+    """The character `on` (1 or 2) places after a match's end, or an empty string."""
+    return F.substring(x["post"], on, 1)
+
+
+def lines(text: Column) -> Column:
+    return F.split(text, "\n", -1)
+
+
+def _line_feeds(c: Column) -> Column:
+    return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+
+
+def _after_last(c: Column) -> Column:
+    """Bytes after the last line feed."""
+    return F.octet_length(F.substring_index(c, "\n", -1))
+
+
+def _moved(at: Column, down: Column, on: Column) -> tuple[Column, Column]:
+    return at["line"] + down, F.when(down > 0, on).otherwise(at["col"] + on)
+
+
+def located(text: Column, found: Column, line_rules: tuple[Callable[[Column], Column], ...] = (), context: int | None = None) -> Column:
+    """Findings of matches (array<MATCH>): lines from 1, columns in bytes from 0; a match over lines ends beyond its first.
+
+    found holds the matches of one or several patterns, those of each in order; the first of a pattern is marked. Line
+    feeds, and bytes since the last one, are summed up to each match, by runs of matches and then over runs, so that the
+    work grows with text and matches alone. A match with a line_rule of k is a finding where the k-th of line_rules holds
+    for its line; lines are judged once. context: adds context_before and context_after, up to so many lines each.
+    """
+    fields = ("text", "entity_type", "score", "line_rule")
+
+    def sized(x: Column) -> Column:
+        sizes = (_line_feeds(x["head"]).alias("down"), _after_last(x["head"]).alias("on"), _line_feeds(x["rest"]).alias("down2"), _after_last(x["rest"]).alias("on2"))
+        return F.struct(x["first"], *sizes, *(x[n] for n in fields))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["m"]), F.lit(0))
-        row = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("text"), *(x[f"g{g}"].alias(f"g{g}") for g in groups))
-        return F.struct(end.alias("at"), F.when(x["m"].isNotNull(), F.concat(acc["out"], F.array(row))).otherwise(acc["out"]).alias("out"))
+    def walk(run: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            origin = F.when(x["first"], F.struct(F.lit(1).alias("line"), F.lit(0).alias("col"))).otherwise(F.struct(acc["line"], acc["col"]))
+            fixed = acc["fixed"] | x["first"]
 
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
-    return F.aggregate(F.arrays_zip(*parts), first, step, lambda acc: acc["out"])
+            def there(at: Column) -> Column:
+                line, col = _moved(at, x["down"], x["on"])
+                return F.struct(line.alias("line"), col.alias("col"))
 
+            def done(at: Column) -> Column:
+                line, col = _moved(at, x["down2"], x["on2"])
+                row = F.struct(fixed.alias("fixed"), at["line"], at["col"], *(x[n] for n in fields))
+                return F.struct(line.alias("line"), col.alias("col"), fixed.alias("fixed"), F.when(x["text"] != "", F.concat(acc["out"], F.array(row))).otherwise(acc["out"]).alias("out"))
 
-def before(text: Column, span: Column, back: int = 1) -> Column:
-    """The character that stands `back` places before a span, or an empty string."""
-    at = span["start"] - (back - 1)
-    return F.when(at >= 1, F.substring(text, at, F.lit(1))).otherwise(F.lit(""))
+            return bind(bind(origin, there), done)
 
+        none = F.transform(F.slice(run, 1, 0), lambda x: F.struct(F.lit(False).alias("fixed"), F.lit(0).alias("line"), F.lit(0).alias("col"), *(x[n] for n in fields)))
+        return F.aggregate(run, F.struct(F.lit(0).alias("line"), F.lit(0).alias("col"), F.lit(False).alias("fixed"), none.alias("out")), step)
 
-def after(text: Column, span: Column, on: int = 1) -> Column:
-    """The character `on` places after a span's end, or an empty string."""
-    return F.substring(text, span["end"] + on, F.lit(1))
+    def start(acc: Column, w: Column) -> Column:
+        line, col = _moved(acc, w["line"], w["col"])
+        here = F.array(F.struct(acc["line"].alias("line"), acc["col"].alias("col")))
+        return F.struct(F.when(w["fixed"], w["line"]).otherwise(line).alias("line"), F.when(w["fixed"], w["col"]).otherwise(col).alias("col"), F.concat(acc["starts"], here).alias("starts"))
 
+    def placed(s: Column, r: Column) -> Column:
+        line, col = _moved(s, r["line"], r["col"])
+        return F.struct(F.when(r["fixed"], r["line"]).otherwise(line).alias("line_num"), F.when(r["fixed"], r["col"]).otherwise(col).alias("col_start"), *(r[n] for n in fields))
 
-def line_of(text: Column, span: Column) -> Column:
-    """The line in which a span starts, without its line feed."""
-    head = F.substring_index(F.substring(text, F.lit(1), span["start"]), "\n", -1)
-    tail = F.substring_index(F.substring(text, span["start"] + 1, F.length(text)), "\n", 1)
-    return F.concat(head, tail)
+    def over(ms: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), ((F.size(ms) - 1) / RUN).cast("int")), lambda k: walk(F.transform(F.slice(ms, k * RUN + 1, F.lit(RUN)), sized)))
+        nowhere = F.struct(F.lit(1).alias("line"), F.lit(0).alias("col"), F.array().cast("array<struct<line:int,col:int>>").alias("starts"))
+        both = bind(runs, lambda ws: F.struct(ws.alias("runs"), F.aggregate(ws, nowhere, start, lambda acc: acc["starts"]).alias("starts")))
+        return bind(both, lambda b: F.flatten(F.transform(b["runs"], lambda w, k: F.transform(w["out"], lambda r: placed(F.get(b["starts"], k), r)))))
 
+    def full(ls: Column, f: Column) -> Column:
+        at = f["line_num"]
+        out = [at, f["col_start"], (f["col_start"] + F.octet_length(f["text"])).alias("col_end"), f["entity_type"], f["text"], f["score"], F.get(ls, at - 1).alias("line_content")]
+        if context is not None:
+            first = F.greatest(F.lit(1), at - context)
+            on = F.when(at < F.size(ls), F.slice(ls, at + 1, F.lit(context))).otherwise(F.slice(ls, 1, 0))
+            out += [F.slice(ls, first, at - first).alias("context_before"), on.alias("context_after")]
+        return F.struct(*out)
 
-def finding(text: Column, span: Column, entity: str | Column, score: float | Column) -> Column:
-    """A span with its place: line from 1, columns in bytes from 0; a match over lines ends beyond its first line."""
-    entity = F.lit(entity) if isinstance(entity, str) else entity
-    score = F.lit(score) if isinstance(score, (int, float)) else score
+    def judged(ls: Column, fs: Column) -> Column:
+        if not line_rules:
+            return fs
+        flags = [F.when(F.exists(fs, lambda f: f["line_rule"] == k), F.transform(ls, rule)).alias(f"r{k}") for k, rule in enumerate(line_rules, 1)]  # noqa: B023
+        holds = lambda r, f: reduce(lambda out, k: out.when(f["line_rule"] == k, F.get(r[f"r{k}"], f["line_num"] - 1)), range(2, len(line_rules) + 1), F.when(f["line_rule"] == 1, F.get(r["r1"], f["line_num"] - 1))).otherwise(True)
+        return bind(F.struct(*flags), lambda r: F.filter(fs, lambda f: holds(r, f)))
 
-    def placed(pre: Column) -> Column:
-        head = F.substring_index(pre, "\n", -1)
-        col = F.octet_length(head)
-        return F.struct(
-            (F.length(pre) - F.length(F.replace(pre, F.lit("\n"), F.lit(""))) + 1).alias("line_num"),
-            col.alias("col_start"),
-            (col + F.octet_length(span["text"])).alias("col_end"),
-            entity.alias("entity_type"),
-            span["text"].alias("text"),
-            score.cast("float").alias("score"),
-            F.concat(head, F.substring_index(F.substring(text, span["start"] + 1, F.length(text)), "\n", 1)).alias("line_content"),
-        )
+    def lined(fs: Column) -> Column:
+        return bind(lines(text), lambda ls: F.transform(judged(ls, fs), lambda f: full(ls, f)))
 
-    return bind(F.substring(text, F.lit(1), span["start"]), placed).cast(FINDING)
+    return bind(found, lambda ms: F.when(F.size(ms) > 0, bind(over(ms), lined)).otherwise(no_findings(context)))
 
 
-def no_findings() -> Column:
-    return F.array().cast(f"array<{FINDING}>")
+def no_findings(context: int | None = None) -> Column:
+    return F.array().cast(f"array<{FINDING if context is None else FINDING[:-1] + ',context_before:array<string>,context_after:array<string>>'}>")
 
 
 def lower_ascii(c: Column) -> Column:
@@ -77,10 +170,9 @@ def lower_ascii(c: Column) -> Column:
 
 
 def contains_any(c: Column, words: tuple[str, ...]) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out = out | F.contains(c, F.lit(w))
-    return out
+    if len(words) < 4:
+        return reduce(lambda a, b: a | b, (F.contains(c, F.lit(w)) for w in words))
+    return bind(c, lambda x: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(x, w)))
 
 
 def digits(c: Column) -> Column:
@@ -109,12 +201,11 @@ def mod97_is_one(c: Column) -> Column:
 def shannon_entropy(c: Column) -> Column:
     """Bits per character; 0 for an empty string."""
 
-    def bits(chars: Column) -> Column:
-        n = F.size(chars)
-        share = lambda x: F.size(F.filter(chars, lambda y: y == x)) / n
-        return F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda acc, x: acc - share(x) * F.log2(share(x)))
+    def bits(s: Column) -> Column:
+        share = lambda x: (F.length(s) - F.length(F.replace(s, x, F.lit("")))) / F.length(s)
+        return F.aggregate(F.array_distinct(characters(s)), F.lit(0.0), lambda acc, x: acc - share(x) * F.log2(share(x)))
 
-    return bind(characters(c), bits)
+    return bind(c, bits)
 
 
 def url_host(c: Column) -> Column:

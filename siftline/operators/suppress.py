@@ -5,8 +5,11 @@ from __future__ import annotations
 import re
 import warnings
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cache, reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -105,12 +108,36 @@ class Rules:
         return tuple(r for r in self.rules if r.type == "file" and r.path is not None)
 
 
-def _compiles(r: Rule) -> bool:
+_POSIX = re.compile(r"\[:(\^?)(alnum|alpha|ascii|blank|cntrl|digit|graph|lower|print|punct|space|upper|word|xdigit):\]")
+
+
+@cache
+def java_pattern(pattern: str) -> str | None:
+    """A rule's pattern as Spark runs it; null where it is none, or uses what rules don't know: look-around and back references.
+
+    Named groups and POSIX classes are written as Java has them; Java itself compiles the result.
+    """
+    bare = re.sub(r"\\.", "", pattern, flags=re.S)
+    if re.search(r"\(\?(?:[=!>]|<[=!])", bare) or re.search(r"(?<!\\)(?:\\\\)*\\[1-9k]", pattern):
+        return None
+    posix = {"ascii": "ASCII", "xdigit": "XDigit"}
+
+    def named(m: re.Match) -> str:
+        if m[2] == "word":
+            return "\\W" if m[1] else "\\w"
+        return f"\\{'P' if m[1] else 'p'}{{{posix.get(m[2], m[2].capitalize())}}}"
+
+    out = _POSIX.sub(named, pattern.replace("(?P<", "(?<"))
+    jvm = SparkContext.getOrCreate()._jvm
     try:
-        re.compile(r.match or "")
-        return True
-    except re.error:
-        return False
+        jvm.java.util.regex.Pattern.compile("(?U)" + out)
+    except (Py4JJavaError, IllegalArgumentException):
+        return None
+    return out
+
+
+def _compiles(r: Rule) -> bool:
+    return java_pattern(r.match or "") is not None
 
 
 def is_file_skipped(file: Column, rules: Rules) -> Column:
@@ -180,7 +207,7 @@ def text_matches(f: Column, r: Rule) -> Column:
     """Pattern before glob before plain text; what a rule leaves open matches all."""
     fold = r.ignorecase is not False
     if r.match is not None:
-        return f["text"].rlike(("(?Ui)" if fold else "(?U)") + r.match)
+        return f["text"].rlike(("(?Ui)" if fold else "(?U)") + java_pattern(r.match))
     if r.text is None:
         return F.lit(True)
     target = t.lower_ascii(f["text"]) if fold else f["text"]

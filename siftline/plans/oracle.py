@@ -9,6 +9,14 @@ from siftline.operators import recognizers as rec
 from . import fixtures
 
 
+# Patterns as they define findings, for an engine that doesn't backtrack.
+
+EMAIL = r"(?U)\b(?:[!#$%&'*+\-/=?^_`{|}~\w]|[!#$%&'*+\-/=?^_`{|}~\w][!#$%&'*+\-/=?^_`{|}~.\w]{0,}[!#$%&'*+\-/=?^_`{|}~\w])@\w+(?:[-.]\w+)*\.\w+(?:[-.]\w+)*\b"
+URL = r"""(?Ui)\b(?:https?://)?(?:[a-z0-9\-]+\.)+[a-z]{2,63}(?::\d+)?(?:/[^\s\)\]\}'"<>]*)?"""
+KEYWORD = r"""(?Ui)(?:^|[^A-Za-z0-9])(?:passwd|password|secret|api[_-]?key|access[_-]?token|auth[_-]?token|private[_-]?key|bearer)[A-Za-z0-9_\-]*\s*[:=]\s*(?:["']([^"']{4,})["']|([A-Za-z0-9_\-]{4,}))"""
+JWT = r"(?U)\beyJ[A-Za-z0-9_\-]+\.eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\b"
+
+
 def literal(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -54,18 +62,19 @@ PLACEHOLDER = f"(regexp_matches(m, '^(?:[xX]*|[*]*|0*)$') OR {_words('m', rec.PL
 
 #: (entity, patterns, group, characters after the group, condition, type, score)
 _CHECKS: dict[str, tuple] = {
-    "EMAIL_ADDRESS": (rec.EMAIL, 0, 0, "regexp_matches(regexp_extract(m, '[^.@]*$'), '[A-Za-z]') AND NOT regexp_matches(regexp_extract(m, '^(.*)@', 1), '[{}]')", 1.0),
+    "EMAIL_ADDRESS": (EMAIL, 0, 0, "regexp_matches(regexp_extract(m, '[^.@]*$'), '[A-Za-z]') AND NOT regexp_matches(regexp_extract(m, '^(.*)@', 1), '[{}]')", 1.0),
     "CREDIT_CARD": (rec.CARD, 0, 0, f"NOT regexp_matches(prev, '[A-Za-z0-9._]') AND NOT regexp_matches(next, '[A-Za-z0-9._]') AND length({DIGITS}) BETWEEN 13 AND 19 AND len(list_distinct(string_split({DIGITS}, ''))) >= 4 AND {LUHN}", 1.0),
     "US_SSN": (rec.SSN, 0, 0, f"substr(m, 1, 3) NOT IN ('000', '666') AND NOT starts_with(m, '9') AND (contains(m, '-') OR {_words('line', rec.SSN_WORDS)})", 1.0),
     "IPV4": (rec.IPV4, 0, 0, f"NOT (prev = '.' AND regexp_matches(prev2, '[0-9]')) AND NOT (next = '.' AND regexp_matches(next2, '[0-9]')) AND NOT regexp_matches(m, {re2(rec.IPV4_NOT)}) AND NOT regexp_matches(line, {re2(rec.IPV4_LINE_NOT)})", 1.0),
     "IPV6": (rec.IPV6, 1, 0, f"NOT regexp_matches(next, '[:A-Za-z0-9_]') AND m NOT IN ({', '.join(map(literal, rec.LOCAL_IPV6))}) AND NOT regexp_matches(m, '^2001:(db8|DB8):')", 1.0),
-    "URL": (rec.URL, 0, 0, "NOT contains(m, '@') AND (starts_with(m, 'http') OR regexp_matches(m, '[/:]'))", 0.6),
+    "URL": (URL, 0, 0, "NOT contains(m, '@') AND (starts_with(m, 'http') OR regexp_matches(m, '[/:]'))", 0.6),
     "IBAN_CODE": (rec.IBAN, 0, 0, MOD97, 1.0),
     "CRYPTO": (rec.CRYPTO, 0, 0, "true", 1.0),
     "US_DRIVER_LICENSE": (rec.LICENSE, 0, 0, "true", 0.5),
     "US_PASSPORT": (rec.PASSPORT, 0, 0, "true", 0.5),
     "SECRET_HEX_HIGH_ENTROPY": (rec.QUOTED_HEX, 1, 1, f"{ENTROPY} >= {rec.HEX_BITS}", 0.5),
     "SECRET_BASE64_HIGH_ENTROPY": (rec.QUOTED_BASE64, 1, 1, f"NOT regexp_matches(m, '^[0-9a-fA-F]+$') AND {ENTROPY} >= {rec.BASE64_BITS}", 0.5),
+    "SECRET_JWT": (JWT, 0, 0, "true", 1.0),
     **{e: (p, 0, 0, "true", 1.0) for e, p, _ in rec.CREDENTIALS},
 }
 
@@ -106,7 +115,7 @@ def entity_sql(entity: str, docs: str) -> str:
 
 def _keyword_sql(docs: str) -> str:
     """By line; the values in the texts at hand stand on the line of their names."""
-    p = re2(rec.KEYWORD)
+    p = re2(KEYWORD)
     inner = f"""
 SELECT file, line, line_num, CASE WHEN g1[i] <> '' THEN g1[i] ELSE g2[i] END AS m, g1[i] <> '' AS quoted,
     CAST(coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i], lambda x: length(x))), 0)

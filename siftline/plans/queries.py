@@ -24,8 +24,15 @@ COMPARED = tuple(dict.fromkeys(r.entity for r in rec.DEFAULT if r.tier == rec.ST
 PERSONAL = ("EMAIL_ADDRESS", "CREDIT_CARD", "PHONE_NUMBER", "US_SSN", "IP_ADDRESS", "URL")
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; one that comes in fewer splits than there are cores is dealt out first."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("file"), "text")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file"), "text")
 
 
 def with_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,8 +40,7 @@ def with_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def options(*entities: str, **more) -> Options:
-    """Tables are scanned whole: the limit on bytes is for files."""
-    return Options(recognizers=rec.by_entity(*entities), max_bytes=None, **more)
+    return Options(recognizers=rec.by_entity(*entities), **more)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,7 +63,7 @@ def _entity_query(entity: str) -> None:
     r = tuple(replace(x, tier=rec.STRICT) if x.tier == rec.BROAD else x for x in r)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return findings(scan(with_fixtures(spark, sf_dir), options=Options(recognizers=r, rules=Rules(flags=flags), max_bytes=None))).select(*COLUMNS)
+        return findings(scan(with_fixtures(spark, sf_dir), options=Options(recognizers=r, rules=Rules(flags=flags)))).select(*COLUMNS)
 
     sql = None if entity == "CRYPTO" else f"SELECT {', '.join(COLUMNS)} FROM ({oracle.findings_sql((entity,), oracle.docs_sql())})"
     register(f"{entity.lower()}_findings", sql)(run)
@@ -86,13 +92,45 @@ def documents_by_type(spark, sf_dir):
 @register("scan_defaults")
 def scan_defaults(spark, sf_dir):
     """Every default recognizer over documents: counts by type."""
-    return findings(scan(documents(spark, sf_dir), options=Options(max_bytes=None))).groupBy("entity_type").agg(F.count("*").alias("n"))
+    return findings(scan(documents(spark, sf_dir), options=Options())).groupBy("entity_type").agg(F.count("*").alias("n"))
 
 
 @register("crypto_candidates", f"SELECT {', '.join(COLUMNS)} FROM ({oracle.entity_sql('CRYPTO', oracle.docs_sql())})")
 def crypto_candidates(spark, sf_dir):
-    r = rec.plain("CRYPTO", rec.CRYPTO, rec.like("(?:bc1|[13])[a-zA-HJ-NP-Z0-9]{25}"))
-    return findings(scan(with_fixtures(spark, sf_dir), options=Options(recognizers=(r,), max_bytes=None))).select(*COLUMNS)
+    r = rec.plain("CRYPTO", rec.CRYPTO)
+    return findings(scan(with_fixtures(spark, sf_dir), options=Options(recognizers=(r,)))).select(*COLUMNS)
+
+
+#: Texts of about a megabyte that a backtracking matcher, or work that grows with the square of the matches, would not survive:
+#: name, repeated unit, times, and what stands before and after. `#` in a unit is the number of the repetition.
+LONG_TEXTS = (
+    ("labels", "a.", 500_000, "x@", "b"),
+    ("host", "ab.", 333_333, "see: ", "1/ http://a.bc/d"),
+    ("digits", "1x.", 333_333, "at: ab.", " 8.8.8.8/"),
+    ("atoms", "a+", 500_000, "", " y@z.org"),
+    ("dashes", "a-", 500_000, "z: ", ".org/x c@d.org"),
+    ("hosts", "a@b-", 250_000, "", "c.org"),
+    ("keywords", "-secret", 140_000, "", "= abcdefgh"),
+    ("tokens", "eyJ-", 250_000, "", " ey" + "Ja.ey" + "Jb.c"),
+    ("addresses", "user#@example.com\n", 50_000, "", ""),
+    ("one_line", "u#@x.org ", 3_000, "", ""),
+    ("ips", "10.0.0.# 1.2.3.4\n", 40_000, "", ""),
+    ("over_the_limit", "x", 999_993, "a@b.org ", ""),
+)
+_LONG = " UNION ALL ".join(
+    f"SELECT '{name}' AS file, {oracle.literal(first)} || (SELECT string_agg(replace({oracle.literal(unit)}, '#', CAST(i % 250 AS VARCHAR)), '' ORDER BY i) FROM range({n}) r(i)) || {oracle.literal(last)} AS text"
+    for name, unit, n, first, last in LONG_TEXTS
+)
+_LONG_TYPES = ("EMAIL_ADDRESS", "URL", "IP_ADDRESS", "SECRET_JWT", "SECRET_KEYWORD_ASSIGNMENT")
+
+
+@register("long_texts", f"SELECT file, line_num, col_start, col_end, entity_type, length(text) AS chars, score FROM ({oracle.findings_sql(_LONG_TYPES, _LONG)})")
+def long_texts(spark, sf_dir):
+    """Of texts made up here, each of about a megabyte."""
+    made = spark.createDataFrame(LONG_TEXTS, "file string, unit string, n int, first string, last string").repartition(len(LONG_TEXTS), "file")
+    unit = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.replace("unit", F.lit("#"), (i % 250).cast("string")))
+    docs = made.select("file", F.concat("first", F.array_join(unit, ""), "last").alias("text"))
+    return findings(scan(docs, options=options(*_LONG_TYPES))).select("file", "line_num", "col_start", "col_end", "entity_type", F.length("text").cast("long").alias("chars"), "score")
 
 
 _PAGES = "SELECT CAST(page_id AS VARCHAR) AS file, coalesce(url, '') || chr(10) || coalesce(html, '') AS text FROM pages"
@@ -100,7 +138,7 @@ _PAGES = "SELECT CAST(page_id AS VARCHAR) AS file, coalesce(url, '') || chr(10)
 
 @register("page_findings", f"SELECT * FROM ({oracle.findings_sql(PERSONAL, _PAGES)})")
 def page_findings(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = table(spark, sf_dir, "pages")
     text = F.concat(F.coalesce("url", F.lit("")), F.lit("\n"), F.coalesce("html", F.lit("")))
     return findings(scan(pages.select(F.col("page_id").cast("string").alias("file"), text.alias("text")), options=options(*PERSONAL)))
 
@@ -110,7 +148,7 @@ _CHAT = "SELECT conv_id || ':' || turn AS file, text FROM conversations"
 
 @register("chat_findings", f"SELECT * FROM ({oracle.findings_sql(COMPARED, _CHAT)})")
 def chat_findings(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    rows = table(spark, sf_dir, "conversations")
     return findings(scan(rows.select(F.concat_ws(":", "conv_id", "turn").alias("file"), "text"), options=options(*COMPARED)))
 
 
@@ -202,8 +240,7 @@ def annotations(spark, sf_dir):
     coalesce(array_to_string(string_split(d.text, chr(10))[line_num + 1:line_num + 3], chr(10)), '') AS context_after FROM ({PERSONAL_SQL}) f JOIN ({oracle.docs_sql()}) d ON f.file = d.file""",
 )
 def context_window(spark, sf_dir):
-    docs = with_fixtures(spark, sf_dir)
-    rows = report.with_context(findings(scan(docs, options=options(*PERSONAL))), docs)
+    rows = findings(scan(with_fixtures(spark, sf_dir), options=options(*PERSONAL, context=report.CONTEXT_LINES)))
     return rows.select("file", "line_num", "col_start", "entity_type", F.array_join("context_before", "\n").alias("context_before"), F.array_join("context_after", "\n").alias("context_after"))
 
 
@@ -213,7 +250,7 @@ def context_window(spark, sf_dir):
     JOIN documents d ON f.file = CAST(d.doc_id AS VARCHAR) GROUP BY CUBE (entity_type, lang, source)""",
 )
 def findings_cube(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     return report.by_group(findings(scan(docs, "doc_id", options=options(*PERSONAL))), docs, ["lang", "source"])
 
 
@@ -278,7 +315,7 @@ def tagger_alone(spark, sf_dir):
 
 
 def _streamed(found: DataFrame, spark: SparkSession) -> DataFrame:
-    """Runs a stream over what is there, into the shared folder, and reads the result."""
+    """Runs a stream over what is there, into the shared folder, and reads the result (deleted when the driver ends)."""
     out = shared_folder(spark, "stream")
     q = found.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     q.awaitTermination()

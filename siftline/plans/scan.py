@@ -9,27 +9,27 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark import SparkContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.functions import text as t
 from siftline.operators import recognizers as rec
 from siftline.operators.suppress import Rules, is_file_skipped, is_suppressed
-from siftline.schema import FINDING_COLUMNS
-
-#: Files of more bytes are skipped, and texts where Options says nothing else.
-MAX_BYTES = 1_000_000
-
+from siftline.schema import FINDING, FINDING_COLUMNS
+from siftline.shared import written
 
 @dataclass(frozen=True)
 class Options:
     """entities: only these types in the result. flags: by type, False switches it off, True allows an opt-in type, a
-    number asks for that score. recognizers: what may run. max_bytes: longer texts are skipped; None scans whole tables."""
+    number asks for that score. recognizers: what may run. max_bytes: longer texts are skipped; None (the default) scans
+    texts of any length, and sources of files have a limit of their own. context: findings also have `context_before` and
+    `context_after`, up to so many lines (0 to 20) each."""
 
     entities: tuple[str, ...] = ()
     rules: Rules = field(default_factory=Rules)
     recognizers: tuple[rec.Recognizer, ...] = rec.DEFAULT
-    max_bytes: int | None = MAX_BYTES
+    max_bytes: int | None = None
+    context: int | None = None
 
     @property
     def flags(self) -> dict[str, bool | float]:
@@ -55,25 +55,25 @@ def passes_flags(f: Column, flags: dict[str, bool | float]) -> Column:
 _built: dict[tuple, Column] = {}
 
 
-def candidates_of_text(chosen: list[rec.Recognizer]) -> Column:
+def candidates_of_text(chosen: list[rec.Recognizer], context: int | None = None) -> Column:
     """candidates() of a column `text`; building so large an expression takes longer than scanning many texts, so it is kept."""
-    key = (id(SparkContext._gateway), *chosen)
+    key = (id(SparkContext._gateway), context, *chosen)
     if key not in _built:
         if len(_built) > 100:
             _built.clear()
-        _built[key] = candidates(F.col("text"), chosen)
+        _built[key] = candidates(F.col("text"), chosen, context)
     return _built[key]
 
 
-def candidates(text: Column, chosen: list[rec.Recognizer]) -> Column:
+def candidates(text: Column, chosen: list[rec.Recognizer], context: int | None = None) -> Column:
     """Findings of all chosen recognizers; those that share a screen are tried only where it is passed."""
-    if not chosen:
-        return t.no_findings()
-    parts = []
+    parts = [t.no_matches()]
     for screen in dict.fromkeys(r.screen for r in chosen):
-        group = F.concat(*(r.findings(text) for r in chosen if r.screen == screen))
-        parts.append(F.when(text.rlike(screen), group).otherwise(t.no_findings()) if screen else group)
-    return F.concat(*parts)
+        here = [r for r in chosen if r.screen == screen]
+        table = [x for r in here for x in r.table]
+        group = F.concat(*(r.matches(text) for r in here if not r.table), t.matches_of(text, table) if table else t.no_matches())
+        parts.append(F.when(text.rlike(screen), group).otherwise(t.no_matches()) if screen else group)
+    return t.located(text, F.concat(*parts), rec.LINE_RULES, None if context is None else max(0, min(20, context)))
 
 
 def dedupe(findings: Column) -> Column:
@@ -88,7 +88,7 @@ def dedupe(findings: Column) -> Column:
     return t.bind(ordered, first_of_its_kind)
 
 
-def readable(text: Column, max_bytes: int | None = MAX_BYTES) -> Column:
+def readable(text: Column, max_bytes: int | None = None) -> Column:
     """Not null, not blank, not too long; None: however long."""
     fits = F.octet_length(text) >= 1 if max_bytes is None else F.octet_length(text).between(1, max_bytes)
     return F.coalesce(fits & text.rlike(r"(?U)\S"), F.lit(False))
@@ -106,22 +106,28 @@ def scan(docs: DataFrame, id_col: str = "file", text_col: str = "text", options:
     o = options or Options()
     base = docs.select(F.col(id_col).cast("string").alias("file"), F.col(text_col).cast("string").alias("text"))
     base = base.withColumn("skipped", ~readable(F.col("text"), o.max_bytes) | is_file_skipped(F.col("file"), o.rules))
-    strict = F.when(~F.col("skipped"), candidates_of_text(o.enabled(rec.STRICT) + o.enabled(rec.OPT_IN))).otherwise(t.no_findings())
+    none = t.no_findings(o.context)
+    strict = F.when(~F.col("skipped"), candidates_of_text(o.enabled(rec.STRICT) + o.enabled(rec.OPT_IN), o.context)).otherwise(none)
     found = base.withColumn("found", F.filter(strict, lambda f: passes_flags(f, o.flags)))
     found = _suppressed(found, "found", o)
     if tagger is None:
         return _finish(found.withColumn("all", F.col("kept")), o)
-    broad = F.when(~F.col("skipped"), candidates_of_text(o.enabled(rec.BROAD) if confirm else [])).otherwise(t.no_findings())
+    if o.context is not None:
+        raise ValueError("context comes with recognizers alone; with a tagger, add it by with_context")
+    broad = F.when(~F.col("skipped"), candidates_of_text(o.enabled(rec.BROAD))).otherwise(none) if confirm else none
     found = found.withColumnRenamed("kept", "strict").withColumnRenamed("ignored", "strict_ignored").withColumn("found", broad)
     found = _suppressed(found, "found", o).withColumnRenamed("kept", "broad").withColumnRenamed("ignored", "broad_ignored")
-    lines = found.filter(~F.col("skipped")).select("file", F.posexplode(F.split("text", "\n")).alias("i", "line_content"), "strict", "broad").withColumn("line_num", F.col("i") + 1)
     if confirm:
-        lines = lines.filter(F.exists(F.concat("strict", "broad"), lambda f: f["line_num"] == F.col("line_num")))
+        # What is found is narrow and needed twice, for lines and in the end: written, so that texts are scanned once.
+        found = written(found.drop("text"), "candidates")
+        lines = found.select("file", F.inline(F.array_distinct(F.transform(F.concat("strict", "broad"), lambda f: F.struct(f["line_num"], f["line_content"])))))
+    else:
+        lines = found.filter(~F.col("skipped")).select("file", F.posexplode(F.split("text", "\n")).alias("i", "line_content")).withColumn("line_num", F.col("i") + 1)
     tags = tagger(lines.select("file", "line_num", "line_content"))
     whole = tags.join(lines.select("file", "line_num", "line_content"), ["file", "line_num"]) if "line_content" not in tags.columns else tags
-    shaped = whole.select("file", F.struct(*(F.col(c) for c in FINDING_COLUMNS[1:])).alias("tag"))
+    shaped = whole.select("file", F.struct(*(F.col(c) for c in FINDING_COLUMNS[1:])).cast(FINDING).alias("tag"))
     by_file = shaped.groupBy("file").agg(F.collect_list("tag").alias("tags"))
-    joined = found.join(by_file, "file", "left").withColumn("found", F.filter(F.coalesce("tags", t.no_findings()), lambda f: passes_flags(f, o.flags)))
+    joined = found.join(by_file, "file", "left").withColumn("found", F.filter(F.coalesce("tags", none), lambda f: passes_flags(f, o.flags)))
     joined = _suppressed(joined.drop("tags"), "found", o)
     if confirm:
         out = joined.withColumn("all", F.concat("strict", F.filter("broad", lambda b: F.exists("kept", lambda k: overlaps(b, k)))))
@@ -175,3 +181,8 @@ def findings(outcomes: DataFrame) -> DataFrame:
     findings again.
     """
     return outcomes.select("file", F.inline_outer("findings")).filter(F.col("entity_type").isNotNull())
+
+
+def findings_view(spark: SparkSession, name: str, source: str, id_col: str = "file", text_col: str = "text", options: Options | None = None) -> None:
+    """Makes the findings of a table or view available to SQL as a temporary view; a query on it is the native scan."""
+    findings(scan(spark.table(source), id_col, text_col, options)).createOrReplaceTempView(name)

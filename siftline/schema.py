@@ -2,8 +2,18 @@
 
 from __future__ import annotations
 
-#: A candidate inside a text: places in characters, columns in bytes.
-SPAN = "struct<start:int,end:int,text:string>"
+#: A match: first: of its pattern in this text; head: what stands between the match before and the found text; rest: the
+#: match from there on; line_rule: 0, or the number of the rule that its line has to obey.
+MATCH_FIELDS = (
+    ("first", "boolean"),
+    ("head", "string"),
+    ("rest", "string"),
+    ("text", "string"),
+    ("entity_type", "string"),
+    ("score", "float"),
+    ("line_rule", "int"),
+)
+MATCH = "struct<" + ",".join(f"{n}:{t}" for n, t in MATCH_FIELDS) + ">"
 FINDING_FIELDS = (
     ("line_num", "int"),
     ("col_start", "int"),

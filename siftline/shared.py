@@ -6,11 +6,30 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's name below spark.checkpoint.dir; a local one serves only where none is set, as in tests."""
+    """A name for a folder below spark.checkpoint.dir; it is deleted when the driver ends.
+
+    Where no such folder is set, a local one serves in local mode, as in tests; on a cluster that is an error, since what
+    one machine writes there the others don't see.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    base = base or "file://" + os.path.join(tempfile.gettempdir(), "siftline-shared")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + os.path.join(tempfile.gettempdir(), "siftline-shared")
+    folder = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return f"{folder}/data"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it back: cuts lineage, and no executor's loss undoes it."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 
 from siftline.operators.suppress import Rules, is_file_skipped
-from siftline.plans.scan import MAX_BYTES
+
+#: Files of more bytes are left unread.
+MAX_BYTES = 1_000_000
 
 # Names of files and folders that are never scanned.
 SKIPPED_EXTENSIONS = (

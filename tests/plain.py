@@ -1,4 +1,4 @@
-"""The recognizers in plain Python: for table functions in SQL, single texts, and as a check on the native ones."""
+"""The recognizers in plain Python, with the patterns of an engine that doesn't backtrack: a check on the native ones."""
 
 from __future__ import annotations
 
@@ -8,9 +8,9 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+from siftline.functions.base58 import ALPHABET
 from siftline.operators import recognizers as rec
-
-from .base58 import ALPHABET
+from siftline.plans import oracle
 
 
 def _compiled(pattern: str) -> re.Pattern:
@@ -126,19 +126,19 @@ def _keyword(text, line, a, b, m):
 #: (pattern, groups of which one is the finding, check, type where the check doesn't give it, score)
 _always = lambda *a: True
 RULES = [
-    (_compiled(rec.EMAIL), (0,), _email, "EMAIL_ADDRESS", 1.0),
+    (_compiled(oracle.EMAIL), (0,), _email, "EMAIL_ADDRESS", 1.0),
     (_compiled(rec.CARD), (0,), _card, "CREDIT_CARD", 1.0),
     (_compiled(rec.PHONE), (0,), _phone, "PHONE_NUMBER", 1.0),
     (_compiled(rec.SSN), (0,), _ssn, "US_SSN", 1.0),
     (_compiled(rec.IPV4), (0,), _ipv4, "IP_ADDRESS", 1.0),
     (_compiled(rec.IPV6), (1,), _ipv6, "IP_ADDRESS", 1.0),
-    (_compiled(rec.URL), (0,), _url, "URL", 0.6),
+    (_compiled(oracle.URL), (0,), _url, "URL", 0.6),
     (_compiled(rec.MAC), (0,), _always, "MAC_ADDRESS", 1.0),
     (_compiled(rec.MAC_DOTTED), (0,), _always, "MAC_ADDRESS", 1.0),
     (_compiled(rec.IBAN), (0,), lambda t, ln, a, b, m: mod97(m), "IBAN_CODE", 1.0),
     (_compiled(rec.CRYPTO), (0,), lambda t, ln, a, b, m: m.startswith("bc1") or base58check(m), "CRYPTO", 1.0),
-    *((_compiled(p), (0,), _always, e, 1.0) for e, p, _ in rec.CREDENTIALS),
-    (_compiled(rec.KEYWORD), (1, 2), _keyword, "SECRET_KEYWORD_ASSIGNMENT", 0.4),
+    *((_compiled(p), (0,), _always, e, 1.0) for e, p, _ in (*rec.CREDENTIALS, ("SECRET_JWT", oracle.JWT, ()))),
+    (_compiled(oracle.KEYWORD), (1, 2), _keyword, "SECRET_KEYWORD_ASSIGNMENT", 0.4),
 ]
 
 

@@ -1,14 +1,14 @@
-"""Plain Python against native expressions, the table function, the trace, and the command line."""
+"""Plain Python against native expressions, the view for SQL, the trace, and the command line."""
 
 import random
 
 from siftline.__main__ import main
-from siftline.functions import plain, udtf
 from siftline.operators import recognizers as rec
 from siftline.operators import tagger
 from siftline.operators.suppress import Rule, Rules
 from siftline.plans import fixtures
-from siftline.plans.scan import Options, findings, scan, trace
+from siftline.plans.scan import Options, findings, findings_view, scan, trace
+from tests import plain
 from tests.test_recognizers import ACCEPT, REJECT
 
 
@@ -29,10 +29,10 @@ def test_native_and_plain_agree(spark):
         assert sorted(got.get(file, [])) == sorted(want), text
 
 
-def test_table_function(spark):
-    udtf.register(spark)
+def test_view_for_sql(spark):
     spark.createDataFrame([(1, "x a@b.org\n8.8.8.8"), (2, None)], "id int, body string").createOrReplaceTempView("bodies")
-    got = spark.sql("SELECT id, f.* FROM bodies, LATERAL scan_text(body) f ORDER BY line_num").collect()
+    findings_view(spark, "found_in_bodies", "bodies", "id", "body")
+    got = spark.sql("SELECT b.id, f.* FROM bodies b JOIN found_in_bodies f ON f.file = b.id ORDER BY line_num").collect()
     assert [(r.id, r.line_num, r.col_start, r.entity_type) for r in got] == [(1, 1, 2, "EMAIL_ADDRESS"), (1, 2, 0, "IP_ADDRESS")]
 
 

@@ -24,6 +24,12 @@ CASES = [
     (Rule(match="^test"), ("f", 1, "X", "TESTING"), True),
     (Rule(match="^test", ignorecase=False), ("f", 1, "X", "TESTING"), False),
     (Rule(match="est"), ("f", 1, "X", "testing"), True),
+    (Rule(match=r"^\p{L}+@"), ("f", 1, "X", "é@x"), True),
+    (Rule(match=r"(?P<n>user)@"), ("f", 1, "X", "user@x"), True),
+    (Rule(match=r"^[[:alpha:]]+$"), ("f", 1, "X", "user"), True),
+    (Rule(match=r"^[^[:digit:]]+$"), ("f", 1, "X", "user1"), False),
+    (Rule(match=r"user(?=@)"), ("f", 1, "X", "user@x"), False),
+    (Rule(match=r"(u)\1"), ("f", 1, "X", "uu"), False),
     (Rule(path="a/b.py", text="x"), ("./a/b.py", 1, "X", "x"), True),
     (Rule(path="./a/b.py", text="x"), ("a/b.py", 1, "X", "x"), True),
     (Rule(path="a/b.py", text="x"), ("c.py", 1, "X", "x"), False),
