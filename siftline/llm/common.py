@@ -5,7 +5,6 @@ from __future__ import annotations
 import ctypes
 import os
 import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,14 +15,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline.shared import shared_folder, written  # noqa: F401  written: for the operators
+
 #: Bytes of text that one step of a Python operator holds at a time.
 SLICE_BYTES = 4 << 20
-#: Distinct words or pieces that a worker's cache holds before it starts anew.
-CACHE_ENTRIES = 150_000
+#: Distinct words that a worker's cache holds before it starts anew, and the bytes of the longest that it keeps.
+CACHE_ENTRIES, CACHED_BYTES = 150_000, 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one that comes in fewer splits than there are cores is dealt out first."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -32,27 +36,6 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; a local one is set only where none is."""
-    base = checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), "siftline-shared")
-        spark.conf.set("spark.checkpoint.dir", base)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(base)
-    return base
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: cuts lineage, and no executor's loss undoes it."""
-    return Scratch(df.sparkSession).write(df, name)
-
-
 class Scratch:
     """Tables in the shared folder that are needed for a while."""
 
@@ -250,7 +233,7 @@ def _split_fields(fields: str) -> list[str]:
 
 
 class WordHashes:
-    """64-bit hashes of words (bytes), kept for the words met so far; the store is bounded."""
+    """64-bit hashes of words (bytes), kept for the words met so far; long words aren't kept, so the store is bounded by bytes."""
 
     def __init__(self, entries: int = CACHE_ENTRIES):
         self.known: dict[bytes, int] = {}
@@ -258,15 +241,23 @@ class WordHashes:
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         known = self.known
-        if len(known) > self.entries:
-            known.clear()
         try:
             return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         except KeyError:
             h = xxhash.xxh64_intdigest
-            for w in set(words).difference(known):
+            new = set(words).difference(known)
+            if len(known) + len(new) > self.entries:
+                known.clear()
+                new = set(words)
+            for w in new:
                 known[w] = h(w)
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+            out = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+            if len(known) > self.entries:
+                known.clear()
+            for w in new:
+                if len(w) > CACHED_BYTES:
+                    known.pop(w, None)
+            return out
 
 
 def mix(x: np.ndarray) -> np.ndarray:
