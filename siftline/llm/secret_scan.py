@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and sliding-window Shannon entropy for strings that no pattern names.
 
 Candidate strings are runs of a character class. A window slides over each; the window's entropy follows from counts of
-its characters, of which a step changes two. Stretches whose windows are all above the class's threshold are reported,
-unless the allow-list names them.
+its characters, of which a step changes two. Stretches whose windows are all above the class's threshold are reported.
+An allow-list silences the part of a candidate in which it finds a word, not the whole candidate.
 """
 
 from __future__ import annotations
@@ -46,12 +46,15 @@ CLASSES = (
     CharClass(ENTROPY_HEX, r"[0-9A-Fa-f]{20,}", 20, 3.0, (_LOWER | _UPPER, _DIGIT)),
     CharClass(ENTROPY_BASE64, r"[A-Za-z0-9+/_=-]{20,}", 20, 3.7, (_LOWER, _UPPER, _DIGIT)),
 )
-#: Candidates that hold one of these are no secrets: placeholders, UUIDs, data and integrity digests.
+#: What stands in no secret: placeholders, UUIDs, alphabets. A match silences what goes on with it, up to the next of the
+#: characters of _PARTS or at most REACH characters away on either side; windows don't extend into that.
 ALLOW = (
-    r"(?i)example|placeholder|changeme|dummy|redacted|xxxxxx|your[_-]",
+    r"(?i)example|placeholder|changeme|dummy|redacted|x{6,}|your[_-]",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"(?i)0123456789abcdef|abcdefghijkl",
 )
+REACH = 64
+_PARTS = frozenset("/+_=-")
 
 
 def entropy_windows(s: str, window: int, bits: float, mixed: tuple[frozenset, ...] = ()) -> list[tuple[int, int]]:
@@ -84,6 +87,25 @@ def entropy_windows(s: str, window: int, bits: float, mixed: tuple[frozenset, ..
     return out
 
 
+def allowed_apart(s: str, allow: list[re.Pattern]) -> list[tuple[int, int]]:
+    """The stretches of s that no match of the allow-list silences; all of s where there is none."""
+    zones = []
+    for p in allow:
+        for m in p.finditer(s):
+            a, b = m.span()
+            while a > 0 and m.start() - a < REACH and s[a - 1] not in _PARTS:
+                a -= 1
+            while b < len(s) and b - m.end() < REACH and s[b] not in _PARTS:
+                b += 1
+            zones.append((a, b))
+    out, at = [], 0
+    for a, b in sorted(zones):
+        if a > at:
+            out.append((at, a))
+        at = max(at, b)
+    return [*out, (at, len(s))] if at < len(s) else out
+
+
 class Scanner:
     def __init__(self, classes: tuple[CharClass, ...] = CLASSES, allow: tuple[str, ...] = ALLOW):
         self.classes = [(c, re.compile(c.pattern)) for c in classes]
@@ -101,9 +123,10 @@ class Scanner:
         for cls, pattern in self.classes:
             for m in pattern.finditer(text):
                 s = m[0]
-                if any(m_.isdisjoint(s) for m_ in cls.mixed) or any(a.search(s) for a in self.allow):
+                if any(m_.isdisjoint(s) for m_ in cls.mixed):
                     continue
-                found += [(m.start() + a, m.start() + b, cls.kind) for a, b in entropy_windows(s, cls.window, cls.bits, cls.mixed)]
+                for x, y in allowed_apart(s, self.allow):
+                    found += [(m.start() + x + a, m.start() + x + b, cls.kind) for a, b in entropy_windows(s[x:y], cls.window, cls.bits, cls.mixed)]
         return sorted(found, key=lambda x: (x[0], self.order[x[2]], x[1]))
 
 

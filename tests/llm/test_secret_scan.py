@@ -46,6 +46,17 @@ def test_entropy_spans():
         assert not scan(clean)
 
 
+def test_the_allow_list_silences_only_its_part():
+    secret = "aB3dE5fG7hI9jK1lM2nO4pQ6"
+    scan = ss.Scanner()
+    for text, at in ((secret, 0), (f"docs/example/{secret}", 13), (f"your-bucket/{secret}", 12), (f"{secret}/xxxxxxxx", 0)):
+        assert (at, at + 24, ss.ENTROPY_BASE64) in [(max(a, at), min(b, at + 24), k) for a, b, k in scan(text)], text
+    blob = "".join(random.Random(2).choices("abcdefghABCDEFGH01234567", k=20_000))
+    total = lambda text: sum(b - a for a, b, k in scan(text) if k == ss.ENTROPY_BASE64)
+    spans = [s for s in scan(blob + "xxxxxx" + blob) if s[2] == ss.ENTROPY_BASE64]
+    assert 2 * total(blob) - 200 < total(blob + "xxxxxx" + blob) <= 2 * total(blob) and all(b <= 20_000 or a >= 20_006 for a, b, _ in spans)
+
+
 def test_windows_match_recounting():
     rng = random.Random(1)
     for _ in range(200):
