@@ -7,12 +7,12 @@ batch, and a text's prediction is the mean of its windows' probabilities, weight
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,9 +29,10 @@ STEPS, BATCH, RATE = 400, 96, 0.01
 #: Windows that run as one batch.
 RUN_WINDOWS = 256
 UNKNOWN = "und"
-#: Characters below which a low score says little.
-SHORT = 400
-_LETTER = re.compile(r"[^\W\d_]")
+#: A text stays if its score is at least SLACK times the lowest that labelled texts of its length get; the lowest
+#: scores are taken by powers of two of characters up to 2^LEVELS, from TRIALS stretches each of texts kept from training.
+SLACK, LEVELS, TRIALS = 0.9, 12, 400
+_LETTER = regex.compile(r"\p{L}")
 #: ASCII in lower case; bytes that are no letters are as a space, so that a window is told by its words.
 _FOLD = np.array([c if c >= 128 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256)], np.uint8)
 
@@ -42,6 +43,14 @@ class Network:
 
     classes: list[str]
     params: list[np.ndarray]
+    floors: tuple[float, ...] = ()
+
+    def least(self, chars: np.ndarray, most: float) -> np.ndarray:
+        """The score that a text of so many characters needs: what labelled texts of that length reach, at most `most`."""
+        if not self.floors:
+            return np.full(len(chars), most)
+        level = np.clip(np.log2(np.maximum(chars, 1)).astype(int), 0, len(self.floors) - 1)
+        return np.minimum(most, SLACK * np.array(self.floors)[level])
 
     def features(self, windows: np.ndarray) -> tuple[np.ndarray, list]:
         """Each filter's largest activation in each window; and where, for training."""
@@ -129,9 +138,27 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Network | None:
     return net
 
 
+def floors(net: Network, texts: list[str], seed: int = 5) -> tuple[float, ...]:
+    """The lowest score of stretches of 2^k characters, for each k up to LEVELS; never lower for more characters."""
+    rng = np.random.default_rng(seed)
+    texts = [t for t in texts if _LETTER.search(t)]
+    out: list[float] = []
+    for k in range(LEVELS + 1):
+        cuts = []
+        for _ in range(TRIALS if texts else 0):
+            t = texts[int(rng.integers(len(texts)))]
+            n = 2**k
+            a = int(rng.integers(max(1, len(t) - n)))
+            if _LETTER.search(t[a : a + n]):
+                cuts.append(t[a : a + n])
+        low = min(predict_batch(net, cuts)[1], default=0.0)
+        out.append(max(low, out[-1] if out else 0.0))
+    return tuple(out)
+
+
 def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """At most `rows` labelled texts (columns text, lang): those with the smallest hashes, each once, with the first of its
-    languages, sorted by hash.
+    """At most `rows` labelled texts (columns text, lang): those with the smallest hashes, each once, with the language that
+    most of its rows name (of several, the alphabetically first), sorted by hash.
 
     The share of hashes to look at follows from a count of labels, so that tasks send little more than what is used,
     however many there are. Where texts repeat, fewer than `rows` may come of it.
@@ -143,8 +170,10 @@ def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
         .select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
         .withColumn("h", F.xxhash64("text"))
         .filter(F.col("h") < F.lit(int(-(2**63) + min(share, 1) * (2**64 - 2048))))
+        .groupBy("h", "lang")
+        .agg(F.count("*").alias("n"), F.min("text").alias("text"))
         .groupBy("h")
-        .agg(F.min(F.struct("lang", "text")).alias("row"))
+        .agg(F.min(F.struct((-F.col("n")).alias("n"), "lang", "text")).alias("row"))
         .orderBy("h")
         .limit(rows)
         .select("row.text", "row.lang")
@@ -163,15 +192,20 @@ def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 7) -> Network
         for b in batches:
             texts += b.column(0).to_pylist()
             langs += b.column(1).to_pylist()
-        net = train(texts, langs, seed)
+        kept = slice(4, None, 5) if len(texts) >= 50 else slice(0, 0)  # a fifth tells what scores to expect
+        apart = set(range(len(texts))[kept])
+        net = train([t for i, t in enumerate(texts) if i not in apart], [y for i, y in enumerate(langs) if i not in apart], seed)
         if net:
-            data = [p.tobytes() for p in net.params]
-            yield pa.RecordBatch.from_arrays([pa.array([net.classes], pa.list_(pa.string())), pa.array([data], pa.list_(pa.binary())), pa.array([[list(p.shape) for p in net.params]], pa.list_(pa.list_(pa.int32())))], ["classes", "params", "shapes"])
+            data, low = [p.tobytes() for p in net.params], list(floors(net, texts[kept])) if apart else []
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([net.classes], pa.list_(pa.string())), pa.array([data], pa.list_(pa.binary())), pa.array([[list(p.shape) for p in net.params]], pa.list_(pa.list_(pa.int32()))), pa.array([low], pa.list_(pa.float64()))],
+                ["classes", "params", "shapes", "floors"],
+            )
 
-    got = sample(labelled, rows).coalesce(1).mapInArrow(run, "classes array<string>, params array<binary>, shapes array<array<int>>").collect()
+    got = sample(labelled, rows).coalesce(1).mapInArrow(run, "classes array<string>, params array<binary>, shapes array<array<int>>, floors array<double>").collect()
     if not got:
         return None
-    return Network(list(got[0]["classes"]), [np.frombuffer(bytes(p), np.float32).reshape(s) for p, s in zip(got[0]["params"], got[0]["shapes"], strict=True)])
+    return Network(list(got[0]["classes"]), [np.frombuffer(bytes(p), np.float32).reshape(s) for p, s in zip(got[0]["params"], got[0]["shapes"], strict=True)], tuple(got[0]["floors"]))
 
 
 def predict_batch(net: Network | None, texts: list[str]) -> tuple[list[str], list[float]]:
@@ -228,17 +262,22 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
     return map_texts(docs, make, "lang_pred string, score double", id_col, text_col)
 
 
-def keep_known(docs: DataFrame, net: Network | None, least: float, short: int = SHORT, text_col: str = "text") -> DataFrame:
-    """The rows, unchanged, but those of no known language: without a letter, or long enough to tell and yet with no
-    language of a score of at least `least`. Texts of fewer than `short` characters stay whatever their score."""
+def keep_known(docs: DataFrame, net: Network | None, most: float, text_col: str = "text") -> DataFrame:
+    """The rows, unchanged, but those of no known language: without a letter, or with a lower score than a text as
+    long gets where its language is known (see Network.least); a score of `most` is always enough. Where there is no
+    network, all texts with a letter stay."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         for whole in batches:
             for b in slices(whole, text_col):
                 texts = [t or "" for t in b.column(text_col).to_pylist()]
+                if net is None:
+                    yield b.filter(pa.array([bool(_LETTER.search(t)) for t in texts], pa.bool_()))
+                    continue
                 lang, score = predict_batch(net, texts)
-                yield b.filter(pa.array([x != UNKNOWN and (s >= least or len(t) < short) for x, s, t in zip(lang, score, texts, strict=True)], pa.bool_()))
+                known = np.array([x != UNKNOWN for x in lang], bool)
+                yield b.filter(pa.array(known & (np.array(score) >= net.least(np.array([len(t) for t in texts]), most))))
         release()
 
     return docs.mapInArrow(run, docs.schema)

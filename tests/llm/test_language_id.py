@@ -65,6 +65,28 @@ def test_edge_cases(spark, net):
     assert li.fit(spark.createDataFrame([("abc", None), (None, "en"), ("12", "en")], "text string, lang string")) is None
 
 
+def test_only_letters_make_a_text_lettered(net):
+    assert li.predict_batch(net, ["\u00b2 \u00bd \u2460 5 _", "\u00aa"])[0][0] == li.UNKNOWN
+    assert li.predict_batch(net, ["\u00e9"])[0][0] != li.UNKNOWN
+
+
+def test_one_rule_for_all_lengths(spark):
+    labelled = spark.createDataFrame(rows(300, 3), "text string, lang string")
+    net = li.fit(labelled)
+    assert len(net.floors) == li.LEVELS + 1 and list(net.floors) == sorted(net.floors) and net.floors[0] > 0
+    assert net.least(np.array([1, 50, 10**6]), 0.5).max() <= 0.5
+    texts = [t for t, _ in rows(200, 9)] + ["the", "12", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = {r.doc_id for r in li.keep_known(df, net, 0.5).collect()}
+    assert len(kept & set(range(200))) >= 199 and 201 not in kept and 202 not in kept
+    assert {r.doc_id for r in li.keep_known(df, None, 0.5).collect()} == set(range(201))
+
+
+def test_equal_texts_learn_the_language_most_rows_name(spark):
+    df = spark.createDataFrame([("ab", "de"), ("ab", "fr"), ("ab", "fr"), ("cd", "b"), ("cd", "a")], "text string, lang string")
+    assert {(r.text, r.lang) for r in li.sample(df).collect()} == {("ab", "fr"), ("cd", "a")}
+
+
 def test_query_leaves_the_held_out_fold_out(spark, tmp_path):
     data = [(i, t, "de" if i % 7 == 0 else x) for i, (t, x) in enumerate(rows(120, 5))]
     spark.createDataFrame(data, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
