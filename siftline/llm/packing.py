@@ -25,8 +25,8 @@ from .bpe import byte_letters, vocabulary
 from .common import gather, slices, small_batches, table, written
 
 SIZE = 4096
-#: Distinct words that a worker keeps, about 250 bytes each.
-KNOWN_WORDS = 400_000
+#: Distinct words that a worker keeps, and the characters of the longest: about 250 bytes each, so 100 MB.
+KNOWN_WORDS, KNOWN_CHARS = 400_000, 32
 END_ID = 1
 WORDS = "word_bpe_49k.json"
 _NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -81,37 +81,54 @@ class WordCodec:
         self.late: list[str] = []
         self.flat, self.start, self.length = np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
+    def _keep(self, words: set[str]) -> list[str]:
+        """Which of these new words stay known; those met last are forgotten where there is no room for more."""
+        short = [w for w in words if len(w) <= KNOWN_CHARS]
+        room = self.entries - len(self.known)
+        if len(short) <= room and len(self.known) > 3 * self.entries // 4:
+            self.late += short
+        return short if len(short) <= room else []
+
     def _make_room(self, more: int) -> None:
         """Forgets the words met last, where more don't fit: those met first are the frequent ones."""
-        if len(self.known) + more <= self.entries or not self.late:
-            return
-        for w in self.late:
+        if len(self.known) + more > self.entries and self.late:
+            self._forget(self.late)
+            self.late = []
+
+    def _forget(self, last: list[str]) -> None:
+        for w in last:
             del self.known[w]
-        self.late = []
         n = len(self.known)
         self.start, self.length = self.start[:n], self.length[:n]
         self.flat = self.flat[: int(self.start[-1] + self.length[-1])]
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
         """Ids of words as they stand; those with characters that Unicode's versions may class differently go to the library."""
-        if len(self.known) > 3 * self.entries // 4:
-            self.late += words
-        parts: list[np.ndarray] = []
         far = [w for w in words if _FAR(w)]
-        for w, e in zip(far, self.library.encode_batch_fast(far, add_special_tokens=False), strict=True):
-            parts.append(np.array(e.ids, np.int64))
+        ids = {w: e.ids for w, e in zip(far, self.library.encode_batch_fast(far, add_special_tokens=False), strict=True)}
+        parts, lengths, ranks = [], [], []
+
+        def flush() -> None:
+            if ranks:
+                parts.append(self.id_of_rank[np.array(ranks, np.int64)])
+                ranks.clear()
+
+        for w in words:
             self.known[w] = len(self.known)
-        lengths, ranks = [len(x) for x in parts], []
-        for w in words.difference(far):
+            if w in ids:
+                flush()
+                parts.append(np.array(ids[w], np.int64))
+                lengths.append(len(ids[w]))
+                continue
             at = len(ranks)
             for p in self.pieces(w):
                 ranks += self.one_piece(p.encode() + _END)
             lengths.append(len(ranks) - at)
-            self.known[w] = len(self.known)
+        flush()
         more = np.array(lengths, np.int64)
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(more) - more])
         self.length = np.concatenate([self.length, more])
-        self.flat = np.concatenate([self.flat, *parts, self.id_of_rank[np.array(ranks, np.int64)]])
+        self.flat = np.concatenate([self.flat, *parts])
 
     def _words(self, text: str) -> list[str]:
         try:
@@ -123,16 +140,23 @@ class WordCodec:
         return text.lower().replace("\n", " ").split(" ")
 
     def _plain(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """Ids of texts given as words: all are looked up, then what is missing is learned at once."""
+        """Ids of texts given as words: all are looked up, then what is missing is learned at once; what isn't kept goes again."""
         self._make_room(self.entries // 8)  # before the look-up, whose places then stay
         at = [np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words)) for words in texts]
         gaps = [(i, np.flatnonzero(k < 0).tolist()) for i, k in enumerate(at) if k.min() < 0]
+        passing: list[str] = []
         if gaps:
-            self._learn({texts[i][j] for i, missing in gaps for j in missing})
+            new = {texts[i][j] for i, missing in gaps for j in missing}
+            kept = self._keep(new)
+            passing = list(new.difference(kept))
+            self._learn(kept + passing)  # in this order, so that the last can be forgotten
             for i, missing in gaps:
                 words = texts[i]
                 at[i][missing] = [self.known[words[j]] for j in missing]
-        return [self.flat[gather(self.start[k], self.length[k])] for k in at]
+        out = [self.flat[gather(self.start[k], self.length[k])] for k in at]
+        if passing:
+            self._forget(passing)
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         mixed = {i for i, t in enumerate(texts) if "<|" in t and self.special_split.search(t)}

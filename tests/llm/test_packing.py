@@ -93,3 +93,14 @@ def test_query(spark, tmp_path, words):
 
 def test_empty_table(spark, words):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), words[0]).count() == 0
+
+
+def test_the_word_cache_is_bounded():
+
+    path = bpe.vocabulary(packing.WORDS)
+    codec, library = packing.WordCodec(path, entries=1000), Tokenizer.from_file(path)
+    for k in range(4):
+        texts = [" ".join(f"w{k}x{i}" for i in range(5000)), "a" * 100_000, "the cat", ""]
+        for t, ids in zip(texts, codec.encode(texts), strict=True):
+            assert ids.tolist() == library.encode(t, add_special_tokens=False).ids
+        assert len(codec.known) <= 1001 and max(map(len, codec.known)) <= packing.KNOWN_CHARS and len(codec.start) == len(codec.known)
