@@ -60,3 +60,30 @@ def test_empty_tables(spark):
     assert lm_score.score(none, model).count() == 0
     row = lm_score.score(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), model).first()
     assert (row.base_score, row.score) == (0.0, 0.0)
+
+
+def test_a_lost_array_is_an_error(spark):
+    import os
+
+    from siftline.llm.common import Store
+
+    model = lm_score.train(spark.createDataFrame([(t,) for t in TRAIN], "text string"))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TRAIN)], "doc_id long, text string")
+    assert lm_score.score(docs, model).count() == len(TRAIN)
+    folder = Store(model.folder).path
+    for name in os.listdir(folder):
+        if name.startswith("pair-"):
+            os.remove(f"{folder}/{name}")
+    with pytest.raises(Exception, match="No such file"):
+        lm_score.score(docs, model).collect()
+
+
+def test_parts_and_hot_words_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "PART_BYTES", 16)
+    train = spark.createDataFrame([(t,) for t in TRAIN], "text string")
+    parts, hot = lm_score.plan_parts(train)
+    assert parts > 40 and len(hot) > 3
+    docs = spark.createDataFrame(list(enumerate(TRAIN)), "doc_id long, text string")
+    got = lm_score.score(docs, lm_score.train(train)).orderBy("doc_id").collect()
+    for g, w in zip(got, brute(TRAIN, TRAIN)[0], strict=True):
+        assert (g.n_tokens, g.n_known) == w[:2] and g.score == pytest.approx(w[3], rel=1e-12)
