@@ -91,63 +91,64 @@ class Store:
         return np.load(path, mmap_mode="r")
 
 
-class IdSet:
-    """A set of ids as sorted arrays of hashes in the shared folder, looked up by tasks without a shuffle or broadcast.
+class RowSet:
+    """Some rows of a written table, by row_id as monotonically_increasing_id gave it before the table was written.
 
-    Different integers have different hashes; other ids could be mistaken for one another once in 2^64.
+    The rows that one task wrote are one array in the shared folder. Files of the table keep rows together that were
+    written together, so a task that reads it looks into the arrays of its own rows only, however large the table is.
     """
 
-    def __init__(self, folder: str, parts: int, filled: frozenset):
-        self.folder, self.parts, self.filled = folder, parts, filled
-
-    @staticmethod
-    def hashes(ids: pa.Array) -> np.ndarray:
-        """Nulls have a hash of their own, which no integer of less than 63 bits is likely to share."""
-        if pa.types.is_integer(ids.type):
-            return np.where(np.asarray(ids.is_null()), np.uint64(0xDEAD), mix(np.asarray(ids.fill_null(0)).astype(np.int64).view(np.uint64)))
-        return np.array([xxhash.xxh64_intdigest(x or "") for x in ids.cast(pa.string()).to_pylist()], np.uint64)
+    def __init__(self, folder: str, filled: frozenset):
+        self.folder, self.filled = folder, filled
 
     @classmethod
-    def write(cls, ids: DataFrame, name: str, scratch: Scratch | None = None) -> IdSet:
-        """ids: one column. Each part of the hash space is sorted and written by one task; scratch deletes them in the end."""
+    def write(cls, ids: DataFrame, name: str, scratch: Scratch) -> RowSet:
+        """ids: a column row_id; each once."""
         spark = ids.sparkSession
-        folder, parts = shared_folder(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions"))
-        if scratch:
-            scratch.paths.append(folder)
-
-        def hashed(batches):
-            for b in batches:
-                h = cls.hashes(b.column(0))
-                yield pa.RecordBatch.from_arrays([pa.array(part_of(h, parts).astype(np.int32)), pa.array(h.view(np.int64))], ["part", "h"])
+        folder = shared_folder(spark, name)
+        scratch.paths.append(folder)
 
         def put(batches):
-            got: dict[int, list[np.ndarray]] = {}
+            held: list[np.ndarray] = []
             for b in batches:
-                p, h = np.asarray(b.column(0)), np.asarray(b.column(1)).view(np.uint64)
-                for q in np.unique(p).tolist():
-                    got.setdefault(q, []).append(h[p == q])
-            for q, hs in got.items():
-                Store(folder).put(str(q), np.unique(np.concatenate(hs)))
-            yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int32())], ["part"])
-
-        made = ids.mapInArrow(hashed, "part int, h long").repartitionById(parts, F.col("part")).mapInArrow(put, "part int")
-        return cls(folder, parts, frozenset(r["part"] for r in made.collect()))  # a row for each part
-
-    def filter(self, df: DataFrame, column: str, members: bool = True) -> DataFrame:
-        """The rows of df whose id is in the set, or those whose isn't; unchanged."""
+                if b.num_rows:
+                    held.append(np.asarray(b.column(1)))
+            if not held:
+                return
+            ids = np.sort(np.concatenate(held))
+            part, first = np.unique(ids >> 33, return_index=True)
+            for p, x in zip(part.tolist(), np.split(ids, first[1:]), strict=True):
+                Store(folder).put(str(p), x)
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64())], ["part"])
+
+        made = ids.select(F.shiftright("row_id", 33).alias("part"), "row_id").repartition("part").mapInArrow(put, "part long")
+        return cls(folder, frozenset(r["part"] for r in made.collect()))  # a row for each task that wrote the table
+
+    def reader(self) -> Callable[[np.ndarray], np.ndarray]:
+        """For a task: tells of row ids whether they are in the set. An array that can't be read is an error."""
+        store, arrays = Store(self.folder), {}
+
+        def among(ids: np.ndarray) -> np.ndarray:
+            found = np.zeros(len(ids), bool)
+            for p in self.filled.intersection(np.unique(ids >> 33).tolist()):
+                if p not in arrays:
+                    arrays.clear()
+                    arrays[p] = store.get(str(p))
+                at = np.flatnonzero(ids >> 33 == p)
+                a = arrays[p]
+                found[at] = a[np.minimum(np.searchsorted(a, ids[at]), len(a) - 1)] == ids[at]
+            return found
+
+        return among
+
+    def filter(self, df: DataFrame) -> DataFrame:
+        """The rows of df (a column row_id) that are in the set, unchanged."""
         small_batches(df.sparkSession)
-        folder, parts, filled, hashes = self.folder, self.parts, self.filled, self.hashes
 
         def run(batches):
-            store, arrays = Store(folder), {}
+            among = self.reader()
             for b in batches:
-                h = hashes(b.column(column))
-                p, found = part_of(h, parts), np.zeros(len(h), bool)
-                for q in filled.intersection(np.unique(p).tolist()):
-                    a = arrays[q] if q in arrays else arrays.setdefault(q, store.get(str(q)))
-                    x = np.flatnonzero(p == q)
-                    found[x] = a[np.minimum(np.searchsorted(a, h[x]), len(a) - 1)] == h[x]
-                yield b.filter(pa.array(found if members else ~found))
+                yield b.filter(pa.array(among(np.asarray(b.column("row_id")))))
 
         return df.mapInArrow(run, df.schema)
 

@@ -6,7 +6,8 @@ Jaccard similarity. All distinct shingles of a document weigh the same here, how
 Jaccard similarity of the sets, the one that decides. Bands of registers give candidates, an estimate from more registers
 drops the distant ones, and the Jaccard similarity of the whole sets of shingles decides.
 
-Copies with the same shingles are one node from the start. What a bucket or a group of candidates yields is a forest of
+Shingles stand in no table: they are made once for the signatures, and again for texts with candidates. Copies with the
+same shingles are one node from the start. What a bucket or a group of candidates yields is a forest of
 its links, never all its pairs; large ones are cut into blocks that meet two by two.
 """
 
@@ -15,11 +16,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import IdSet, Scratch, WordHashes, flat, gather, letters_lower, mix, release, slices, small_batches, table, written
+from .common import RowSet, Scratch, WordHashes, flat, gather, letters_lower, mix, release, slices, small_batches, table, written
 from .components import connected_components, grouped, in_blocks, spanning_edges, whole_groups
 
 SHINGLE = 5
@@ -93,39 +94,59 @@ def band_keys(won: np.ndarray) -> np.ndarray:
     return out
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, row_id, set_hash, bands, sketch and shingles (sorted 64-bit hashes) of each text; null where it has no word."""
+def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """row (a struct of id and text, or of all columns), row_id, set_hash, bands and sketch of each text; the last three are
+    null where it has no word.
+
+    Sets of shingles aren't kept: of the few texts that have candidates they are made again.
+    """
     small_batches(docs.sparkSession)
-    src = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    row = F.struct(*(docs[f"`{c}`"] for c in docs.columns)) if whole else F.struct(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    src = docs.select(row.alias("row"), docs[text_col].cast("string").alias("__text"))
 
     def run(batches):
         hashes = WordHashes()
-        for whole in batches:
-            for b in slices(whole, limit=TOGETHER):
+        for all_ in batches:
+            for b in slices(all_, "__text", TOGETHER):
                 n = b.num_rows
-                row, items, _ = shingles([t or "" for t in b.column("text").to_pylist()], hashes)
+                row, items, _ = shingles([t or "" for t in b.column("__text").to_pylist()], hashes)
                 won = prob_min_hash(row, items, np.ones(len(items)), n)
                 size = np.bincount(row, minlength=n)
                 start = np.cumsum(size) - size
                 data = items.astype("<u8").tobytes()
-                sets = [data[8 * a : 8 * (a + k)] if k else None for a, k in zip(start.tolist(), size.tolist(), strict=True)]
+                digest = [xxhash.xxh3_128_digest(data[8 * a : 8 * (a + k)]) if k else None for a, k in zip(start.tolist(), size.tolist(), strict=True)]
                 keys = band_keys(won).view(np.int64)
                 sketch = (won[:, :SKETCH] & np.uint64(255)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        b.column("doc_id"),
-                        pa.array([xxhash.xxh3_128_digest(s) if s else None for s in sets], pa.binary()),
-                        pa.array([k if s else None for s, k in zip(sets, keys, strict=True)], pa.list_(pa.int64())),
-                        pa.array([k.tobytes() if s else None for s, k in zip(sets, sketch, strict=True)], pa.binary()),
-                        pa.array(sets, pa.binary()),
+                        b.column("row"),
+                        pa.array(digest, pa.binary()),
+                        pa.array([k if d else None for d, k in zip(digest, keys, strict=True)], pa.list_(pa.int64())),
+                        pa.array([k.tobytes() if d else None for d, k in zip(digest, sketch, strict=True)], pa.binary()),
                     ],
-                    ["doc_id", "set_hash", "bands", "sketch", "shingles"],
+                    ["row", "set_hash", "bands", "sketch"],
                 )
         release()
 
-    kind = src.schema["doc_id"].dataType.simpleString()
-    made = src.mapInArrow(run, f"doc_id {kind}, set_hash binary, bands array<long>, sketch binary, shingles binary")
-    return made.withColumn("row_id", F.monotonically_increasing_id())
+    schema = T.StructType([src.schema["row"], T.StructField("set_hash", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
+    return src.mapInArrow(run, schema).withColumn("row_id", F.monotonically_increasing_id())
+
+
+def _sets_of(rows: DataFrame, chosen: RowSet) -> DataFrame:
+    """row_id and shingles (sorted 64-bit hashes) of the chosen rows (columns row_id, text); others leave where they are read."""
+    small_batches(rows.sparkSession)
+
+    def run(batches):
+        hashes, of_interest = WordHashes(), chosen.reader()
+        for all_ in batches:
+            for b in slices(all_.filter(pa.array(of_interest(np.asarray(all_.column("row_id"))))), limit=TOGETHER):
+                row, items, _ = shingles([t or "" for t in b.column("text").to_pylist()], hashes)
+                ends = np.cumsum(np.bincount(row, minlength=b.num_rows)).tolist()
+                data = items.astype("<u8").tobytes()
+                yield pa.RecordBatch.from_arrays([b.column("row_id"), pa.array([data[8 * a : 8 * z] for a, z in zip([0, *ends[:-1]], ends, strict=True)], pa.binary())], ["row_id", "shingles"])
+        release()
+
+    return rows.select("row_id", "text").mapInArrow(run, "row_id long, shingles binary")
 
 
 def _forest(tasks: DataFrame, column: str, make) -> DataFrame:
@@ -186,24 +207,23 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, id_col: str = "do
     shingle, and so link with equal ones only. Repeated rows, with equal ids or not, are rows of one class. An empty table
     gives an empty result. The ids come back as doc_id.
     """
-    return _classes(docs, similar, id_col, text_col).select("doc_id", "class_id", "class_size", "kept")
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.write(signed(docs, id_col, text_col), "signatures")
+    out = _classes(rows, F.col("row.id"), F.col("row.text"), similar, scratch)
+    scratch.clear()
+    return out.select("doc_id", "class_id", "class_size", "kept")
 
 
-def _classes(docs: DataFrame, similar: float, id_col: str, text_col: str) -> DataFrame:
-    """near_duplicates with the set_hash of each row: rows with equal ones are of one class; null where a text has no word."""
-    # All sides of joins grow with the table: none is broadcast, at no size.
-    scratch = Scratch(docs.sparkSession)
-    sig = scratch.write(signatures(docs, id_col, text_col), "signatures")
+def _classes(sig: DataFrame, doc_id: Column, text: Column, similar: float, scratch: Scratch) -> DataFrame:
+    """doc_id, row_id, class_id, class_size and kept of each row of sig, a written table as `signed` makes it."""
+    # All sides of joins grow with the table: none is broadcast, at no size. Skewed left sides are split at run time.
     # One node for each set of shingles. Partial aggregation comes before the shuffle, so many copies cost little.
-    nodes = sig.filter("set_hash IS NOT NULL").groupBy("set_hash").agg(F.min("row_id").alias("node"))
-    node_of = sig.select("doc_id", "row_id", "set_hash").join(nodes.hint("merge"), "set_hash", "left").select("doc_id", "row_id", "set_hash", F.coalesce("node", "row_id").alias("node"))
-    node_of = scratch.write(node_of, "nodes")
-    only = IdSet.write(node_of.filter("node = row_id").select("row_id"), "node-ids", scratch)
-
-    bands = only.filter(sig.filter("set_hash IS NOT NULL").select("row_id", "bands"), "row_id")
-    keys = scratch.write(bands.select("row_id", F.explode("bands").alias("key")), "band-keys")
-    shared = IdSet.write(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "shared-keys", scratch)
-    members = scratch.write(shared.filter(keys, "key"), "bucket-members")
+    worded = sig.filter("set_hash IS NOT NULL")
+    nodes = scratch.write(worded.groupBy("set_hash").agg(F.min("row_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
+
+    keys = nodes.select(F.col("node").alias("row_id"), F.explode("bands").alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    members = scratch.write(keys.join(shared.hint("merge"), "key", "left_semi").select("key", "row_id"), "bucket-members")
     # Buckets with the same members are needed once.
     buckets = (
         members.groupBy("key")
@@ -213,66 +233,38 @@ def _classes(docs: DataFrame, similar: float, id_col: str, text_col: str) -> Dat
         .select("key")
     )
     members = scratch.write(members.join(buckets.hint("merge"), "key"), "distinct-buckets")
-    tasks = in_blocks(members, "key", "row_id", BUCKET_BLOCK, scratch).join(sig.select("row_id", "sketch").hint("merge"), "row_id")
+    sketches = nodes.select(F.col("node").alias("row_id"), "sketch")
+    tasks = in_blocks(members, "key", "row_id", BUCKET_BLOCK, scratch).join(sketches.hint("merge"), "row_id")
     candidates = connected_components(_forest(tasks, "sketch", _by_sketch), scratch)
     candidates = scratch.write(candidates.withColumnRenamed("id", "row_id"), "candidates")
 
-    # Shingles are wide, so those of other rows are left out where they are read, before the shuffle.
-    sets = IdSet.write(candidates.select("row_id"), "candidate-ids", scratch).filter(sig.select("row_id", "shingles"), "row_id")
+    sets = _sets_of(sig.select("row_id", text.alias("text")), RowSet.write(candidates.select("row_id"), "candidate-ids", scratch))
     tasks = in_blocks(candidates, "component", "row_id", GROUP_BLOCK, scratch).join(sets.hint("merge"), "row_id")
     links = connected_components(_forest(tasks, "shingles", _by_sets(similar)), scratch)
     links = links.select(F.col("id").alias("node"), "component")
 
-    rows = written(node_of.join(links.hint("merge"), "node", "left").select("doc_id", "row_id", "set_hash", F.coalesce("component", "node").alias("root")), "roots")
-    scratch.clear()
+    roots = nodes.join(links.hint("merge"), "node", "left").select("set_hash", F.coalesce("component", "node").alias("root"))
+    ids = sig.select(doc_id.alias("doc_id"), "row_id", "set_hash")
+    worded = ids.filter("set_hash IS NOT NULL").join(roots.hint("merge"), "set_hash").select("doc_id", "row_id", "root")
+    wordless = ids.filter("set_hash IS NULL").select("doc_id", "row_id", F.col("row_id").alias("root"))
+    rows = written(worded.unionByName(wordless), "roots")
     classes = rows.groupBy("root").agg(F.min(F.struct("doc_id", "row_id")).alias("first"), F.count("*").alias("class_size"))
-    return rows.join(classes.hint("merge"), "root").select("doc_id", "set_hash", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("row_id") == F.col("first.row_id")).alias("kept"))
+    return rows.join(classes.hint("merge"), "root").select("doc_id", "row_id", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("row_id") == F.col("first.row_id")).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """The rows of docs, unchanged, of which near_duplicates keeps one of each class, whether ids are unique or not.
 
-    Whole rows aren't shuffled: the ids that go are looked up where docs is read. Rows whose id is null or not their
-    own are written once more, and decided one by one: of those with the id and shingles of a kept row, one stays. Ids
-    that aren't integers could be mistaken for one another once in 2^64.
+    docs is written once with a number for each row, and decided row by row; whole rows aren't shuffled, the kept ones
+    are picked where that table is read. scratch: takes the tables that the result still reads, to be cleared after it;
+    without it they last until the driver ends.
     """
-    scratch = Scratch(docs.sparkSession)
-    classes = scratch.write(_classes(docs, similar, id_col, text_col), "classes")
-    ids = scratch.write(classes.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("kept")).filter("n > 1 OR doc_id IS NULL OR NOT kept"), "ids")
-    gone = IdSet.write(ids.select("doc_id"), "dropped")
-    repeated = ids.filter("n > 1 OR doc_id IS NULL").select("doc_id")
-    if repeated.isEmpty():
-        scratch.clear()
-        return gone.filter(docs, id_col, members=False)
-    shared = IdSet.write(repeated, "repeated", scratch)
-    rows = written(_with_set_hash(shared.filter(docs, id_col), text_col), "repeated-rows")
-    kept = shared.filter(classes.filter("kept AND set_hash IS NOT NULL").select("doc_id", "set_hash"), "doc_id").distinct()
-    hashed = rows.filter("__set_hash IS NOT NULL").groupBy(F.col(id_col).alias("id"), F.col("__set_hash").alias("hash")).agg(F.min("__row").alias("__row"))
-    one = hashed.join(kept.hint("merge"), hashed["id"].eqNullSafe(kept["doc_id"]) & (hashed["hash"] == kept["set_hash"])).select("__row")
-    stay = one.unionByName(rows.filter("__set_hash IS NULL").select("__row"))
-    decided = IdSet.write(stay, "kept-rows").filter(rows, "__row").select(*(F.col(f"`{c}`") for c in docs.columns))
-    scratch.clear()
-    return gone.filter(docs, id_col, members=False).unionAll(decided)
-
-
-def _with_set_hash(docs: DataFrame, text_col: str) -> DataFrame:
-    """docs with __set_hash, as signatures has it, and __row, a number for each row."""
-    small_batches(docs.sparkSession)
-    src = docs.withColumn("__text", F.col(text_col).cast("string"))
-
-    def run(batches):
-        hashes = WordHashes()
-        for whole in batches:
-            for b in slices(whole, "__text", TOGETHER):
-                row, items, _ = shingles([t or "" for t in b.column("__text").to_pylist()], hashes)
-                ends = np.cumsum(np.bincount(row, minlength=b.num_rows))
-                data = items.astype("<u8").tobytes()
-                sets = [data[8 * a : 8 * z] for a, z in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.array([xxhash.xxh3_128_digest(s) if s else None for s in sets], pa.binary())], [*b.schema.names[:-1], "__set_hash"])
-        release()
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("__set_hash", T.BinaryType())])
-    return src.mapInArrow(run, schema).withColumn("__row", F.monotonically_increasing_id())
+    lasting, passing = scratch or Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    sig = lasting.write(signed(docs, id_col, text_col, whole=True), "signatures")
+    classes = _classes(sig, F.col(f"row.`{id_col}`"), F.col(f"row.`{text_col}`").cast("string"), similar, passing)
+    kept = RowSet.write(classes.filter("kept").select("row_id"), "kept-rows", lasting)
+    passing.clear()
+    return kept.filter(sig.select("row_id", "row")).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
