@@ -40,16 +40,33 @@ def vectors(dims=16):
     return [(500 - i, v) for i, v in enumerate(rows)]
 
 
-@pytest.mark.parametrize(("grid", "rows"), [(1, 6000), (2, 7), (3, 6000)])
-def test_matches_brute_force(spark, monkeypatch, grid, rows):
+@pytest.mark.parametrize(("grid", "rows", "each"), [(1, 6000, 4), (2, 7, 4), (3, 6000, 16)])
+def test_matches_brute_force(spark, monkeypatch, grid, rows, each):
     monkeypatch.setattr(ed, "grid_dims", lambda n: grid)
     monkeypatch.setattr(ed, "CELL_ROWS", rows)
-    monkeypatch.setattr(ed, "BLOCK_DIMS", 4)
     data = vectors()
-    got = ed.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<float>")).collect()
+    got = ed.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<float>"), block_dims=each).collect()
     assert sorted(map(tuple, got)) == brute(data)
 
 
+def test_pairs_at_the_threshold_over_several_blocks(spark):
+    """64 dimensions, so 4 blocks as in the query: pairs just above and just below the cosine, and pairs that differ in one axis only."""
+    rng, data = np.random.default_rng(2), []
+    for k in range(60):
+        a, b = np.linalg.qr(rng.normal(size=(64, 2)))[0].T
+        c = 0.9 + (1e-9 if k % 2 else -1e-9)
+        data += [(10 * k, a), (10 * k + 1, c * a + np.sqrt(1 - c * c) * b)]
+    for k in range(64):
+        a = rng.normal(size=64)
+        b = a / np.linalg.norm(a)
+        b[k] += 0.4
+        data += [(1000 + 10 * k, a), (1001 + 10 * k, b)]
+    data = [(i, v.tolist()) for i, v in data]
+    assert len(ed.block_bounds(64, ed.BLOCK_DIMS)) == 4
+    got = ed.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()
+    assert sorted(map(tuple, got)) == brute(data) and sum(r.n_links for r in got if r.vec_id < 1000) == 60
+
+
 def test_empty_table_and_clashing_columns(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert ed.near_vectors(df).count() == 0
