@@ -1,9 +1,11 @@
 """License scans by a positional index of rare tokens.
 
-Templates are word sequences with mandatory phrases. Over the whole corpus the document frequency of every licence word
-is counted; each template is anchored at its word of highest IDF. A file's occurrences of anchors are looked up, the
-postings (template, position) give the place where the template would start, and the words at their relative positions
-are compared there. A template counts where its mandatory phrase stands in full.
+Templates are whole licence texts, notices and phrases, as words with mandatory key phrases. Over the whole corpus the
+document frequency of every template word is counted; a template is indexed by its words of highest IDF, each with its
+position. A file's occurrences of such words are looked up; each posting (template, position) names the word at which the
+template would start, and places where several postings agree are kept. There, the key phrases have to stand in full, and
+the words found at their relative positions give the score. Words that were put in, left out or changed between key
+phrases shift or lose a few postings, no more.
 """
 
 from __future__ import annotations
@@ -28,28 +30,75 @@ def split(data: bytes) -> list[bytes]:
 
 @dataclass(frozen=True)
 class Template:
-    """words: the text's words. must: places (from, to) in words that have to stand in full; rest counts for the score."""
+    """words: the text's words. keys: runs (from, to) of words that have to stand in full, about where they belong."""
 
     label: str
     words: tuple[str, ...]
-    must: tuple[int, int]
+    keys: tuple[tuple[int, int], ...]
     base: bool = False
 
 
-def template(label: str, text: str, must: str, base: bool = False) -> Template:
-    words, key = tuple(split(text.encode())), tuple(split(must.encode()))
-    at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
-    return Template(label, tuple(w.decode() for w in words), (at, at + len(key)), base)
+def template(label: str, text: str, *keys: str, base: bool = False) -> Template:
+    words = tuple(w.decode() for w in split(letters_lower(text)))
+    at = []
+    for key in keys:
+        k = tuple(w.decode() for w in split(letters_lower(key)))
+        i = next(i for i in range(len(words)) if words[i : i + len(k)] == k)
+        at.append((i, i + len(k)))
+    return Template(label, words, tuple(at), base)
 
 
 #: The phrases whose every place counts.
-BASE = (
-    template("mit", "under the mit license", "under the mit license", True),
-    template("apache-2", "apache license version 2", "apache license version 2", True),
-    template("cc-by-nc", "cc by nc", "cc by nc", True),
+BASE = tuple(template(label, text, text, base=True) for label, text in (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc")))
+
+# Public licence texts and notices.
+
+_WARRANTY = (
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+    "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
+    "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+) + _WARRANTY
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
+)
+_ISC = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+    "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."
 )
+_APACHE = (
+    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
+    "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
+    "See the License for the specific language governing permissions and limitations under the License."
+)
+_GNU = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0}General Public License as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version. "
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0}General Public License for more details."
+)
+_UNLICENSE = (
+    "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, "
+    "for any purpose, commercial or non-commercial, and by any means."
+)
+_MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+
 TEMPLATES = (
     *BASE,
+    template("mit", _MIT, "permission is hereby granted free of charge to any person", "without restriction including without limitation the rights to use"),
+    template("bsd", _BSD, "redistribution and use in source and binary forms", "this list of conditions and the following disclaimer"),
+    template("isc", _ISC, "permission to use copy modify and or distribute this software"),
+    template("apache-2", _APACHE, "apache license version 2", "apache org licenses license 2"),
+    template("gpl-3", _GNU.format("", 3), "gnu general public license as published", "version 3 of the license"),
+    template("gpl-2", _GNU.format("", 2), "gnu general public license as published", "version 2 of the license"),
+    template("lgpl", _GNU.format("Lesser ", 3), "gnu lesser general public license"),
+    template("agpl-3", _GNU.format("Affero ", 3), "gnu affero general public license"),
+    template("unlicense", _UNLICENSE, "free and unencumbered software released into the public domain"),
+    template("mpl-2", _MPL, "mozilla public license v 2 0"),
     template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge to any person"),
     template("apache-2", "you may obtain a copy of the license at http www apache org licenses license 2 0", "apache org licenses license 2"),
     template("gpl-3", "this work is licensed under the gnu general public license version 3", "gnu general public license version 3"),
@@ -57,13 +106,17 @@ TEMPLATES = (
     template("lgpl", "under the terms of the gnu lesser general public license", "gnu lesser general public license"),
     template("agpl-3", "under the terms of the gnu affero general public license version 3", "gnu affero general public license"),
     template("mpl-2", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
-    template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify and or distribute this software"),
-    template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
+    template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee", "permission to use copy modify and or distribute this software"),
     template("cc-by-nc", "creative commons attribution noncommercial", "creative commons attribution noncommercial"),
     template("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
     template("cc0", "released under cc0 1 0 universal", "cc0 1 0"),
-)
+)
+
+#: Words by which a template is indexed, and how many of them have to agree on a start (all of them, where it has fewer).
+ANCHORS, AGREE = 8, 2
+#: Words by which the start may drift within one copy of a template, as words are put in or left out.
+DRIFT = 16
 
 
 def document_frequency(docs: DataFrame, vocabulary: set[str], text_col: str = "text") -> tuple[int, dict[str, int]]:
@@ -87,40 +140,78 @@ def document_frequency(docs: DataFrame, vocabulary: set[str], text_col: str = "t
 
 
 class Index:
-    """Postings of each template's rarest word, and the IDF of all template words."""
+    """Postings of each template's words of highest IDF, and the IDF of all template words."""
 
     def __init__(self, templates: tuple[Template, ...], rows: int, df: dict[str, int]):
         self.idf = {w: math.log((rows + 1) / (df.get(w, 0) + 1)) + 1 for t in templates for w in t.words}
-        self.postings: dict[bytes, list[tuple[Template, int, list[bytes], float]]] = {}
-        for t in templates:
-            a, b = t.must
-            at = max(range(a, b), key=lambda i: (self.idf[t.words[i]], t.words[i], -i))
-            words = [w.encode() for w in t.words]
-            self.postings.setdefault(words[at], []).append((t, at, words, sum(self.idf[w] for w in t.words)))
+        self.templates = templates
+        self.words = [[w.encode() for w in t.words] for t in templates]
+        self.total = [sum(self.idf[w] for w in t.words) for t in templates]
+        self.need, self.postings = [], {}
+        for k, t in enumerate(templates):
+            first = {w: i for i, w in reversed(list(enumerate(t.words)))}
+            rank = lambda i: (-self.idf[t.words[i]], i)  # noqa: B023, E731
+            # Of a base phrase one word will do: every place of it counts, and each is checked. Of other templates some
+            # words of the first key phrase are indexed in any case, as a corpus may hold little more than that.
+            rarest = sorted(first.values(), key=rank)[: 1 if t.base else ANCHORS]
+            if not t.base:
+                rarest = sorted({*rarest, *sorted(range(*t.keys[0]), key=rank)[:AGREE]})
+            self.need.append(min(1 if t.base else AGREE, len(rarest)))
+            for i in rarest:
+                w = t.words[i]
+                self.postings.setdefault(w.encode(), []).append((k, i))
         self.anchors = frozenset(self.postings)
 
-    def scan(self, words: list[bytes]) -> list[tuple[Template, int, float]]:
-        """(template, place of its mandatory phrase, share of its IDF weight found) for all places."""
-        found = []
+    def starts(self, words: list[bytes]) -> dict[int, list[int]]:
+        """For each template, the starts on which enough of its postings agree, in order."""
+        votes: dict[tuple[int, int], int] = {}
         for anchor in self.anchors.intersection(words):
             at = -1
             for _ in range(words.count(anchor)):
                 at = words.index(anchor, at + 1)
-                for t, pos, ws, total in self.postings[anchor]:
-                    start, (a, b) = at - pos, t.must
-                    if start + a < 0 or words[start + a : start + b] != ws[a:b]:
-                        continue
-                    got = sum(self.idf[t.words[i]] for i, w in enumerate(ws) if 0 <= start + i < len(words) and words[start + i] == w)
-                    found.append((t, start + a, got / total))
+                for k, i in self.postings[anchor]:
+                    votes[k, at - i] = votes.get((k, at - i), 0) + 1
+        out: dict[int, list[int]] = {}
+        for (k, start), n in sorted(votes.items()):
+            if n >= self.need[k]:
+                out.setdefault(k, []).append(start)
+        return out
+
+    def scan(self, words: list[bytes]) -> list[tuple[Template, int, float]]:
+        """(template, place of its first key phrase, share of its IDF weight found) for all places."""
+        found = []
+        for k, starts in self.starts(words).items():
+            drift = 0 if self.templates[k].base else DRIFT
+            group: list[int] = []
+            for s in [*starts, None]:
+                if group and (s is None or s - group[-1] > drift):
+                    found += self._verified(k, group, words, drift)
+                    group = []
+                if s is not None:
+                    group.append(s)
         return found
 
+    def _verified(self, k: int, starts: list[int], words: list[bytes], drift: int) -> list[tuple[Template, int, float]]:
+        """A group of starts that drift apart: a find if every key phrase stands where some start, or its drift, puts it."""
+        t, ws, places = self.templates[k], self.words[k], []
+        for a, b in t.keys:
+            near = range(max(0, starts[0] + a - drift), min(len(words) - (b - a), starts[-1] + a + drift) + 1)
+            place = next((i for i in near if words[i : i + b - a] == ws[a:b]), None)
+            if place is None:
+                return []
+            places.append(place)
+        aligned = {s for s in starts} | {p - a for p, (a, _) in zip(places, t.keys, strict=True)}
+        got = sum(self.idf[t.words[i]] for i, w in enumerate(ws) if any(0 <= s + i < len(words) and words[s + i] == w for s in aligned))
+        return [(t, places[0], min(1.0, got / self.total[k]))]
+
 
 def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row: n_words, matches (label, base, place of the mandatory phrase in words, score), in order of place.
 
     Null and empty texts have no words and no matches. Repeated rows stay repeated; equal texts have equal results.
-    Ties between words of equal IDF go to the alphabetically last, then to the first place; any choice finds the same
-    places, since an anchor lies within the mandatory phrase. An empty table gives an empty result.
+    Of words of equal IDF those that come first in the template are indexed. Copies of a template closer than DRIFT words
+    to one another (a text given over and over) count as one find, base phrases always by place. An empty table gives an
+    empty result.
     """
     rows, df = document_frequency(docs, {w for t in templates for w in t.words}, text_col)
     index = Index(templates, rows, df)

@@ -41,6 +41,58 @@ def test_matches_brute_force(spark, tmp_path):
     assert got[len(rows) - 1].labels == "mit" and 0 < got[len(rows) - 1].score < 1
 
 
+def brute_labels(text, index):
+    """By trying every start of every template."""
+    w, out = [x.encode() for x in words_of(text)], []
+    for k, t in enumerate(index.templates):
+        anchors = {i for ps in index.postings.values() for kk, i in ps if kk == k}
+        ws = [x.encode() for x in t.words]
+        good = [s for s in range(-len(ws), len(w)) if sum(0 <= s + i < len(w) and w[s + i] == ws[i] for i in anchors) >= index.need[k]]
+        drift, groups = 0 if t.base else ls.DRIFT, []
+        for s in good:
+            if groups and s - groups[-1][-1] <= drift:
+                groups[-1].append(s)
+            else:
+                groups.append([s])
+        for g in groups:
+            at = [[i for i in range(max(0, g[0] + a - drift), g[-1] + a + drift + 1) if w[i : i + b - a] == ws[a:b]] for a, b in t.keys]
+            if all(at):
+                starts = {*g, *(x[0] - a for x, (a, _) in zip(at, t.keys, strict=True))}
+                hit = [any(0 <= s + i < len(w) and w[s + i] == x for s in starts) for i, x in enumerate(ws)]
+                out.append((t.label, sum(index.idf[x] for x, h in zip(t.words, hit, strict=True) if h) / sum(index.idf[x] for x in t.words)))
+    return ",".join(sorted({x for x, _ in out})), max((s for _, s in out), default=0.0)
+
+
+def test_labels_and_scores_match_brute_force(spark, tmp_path):
+    rng, rows = random.Random(3), []
+    for t in ls.TEMPLATES:
+        rows.append(" ".join(t.words))
+        for _ in range(6):  # words put in, left out and changed
+            w = list(t.words)
+            for _ in range(rng.randint(0, 6)):
+                i = rng.randrange(len(w))
+                w[i : i + 1] = rng.choice([[], ["other"], [w[i], "new"]])
+            rows.append("some words before " * rng.randint(0, 3) + " ".join(w) + " and after")
+    rows += ["", "the cat sat"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    index = ls.Index(ls.TEMPLATES, *ls.document_frequency(docs, {w for t in ls.TEMPLATES for w in t.words}))
+    got = {r.doc_id: r for r in ls.query(spark, str(tmp_path)).collect()}
+    for i, text in enumerate(rows):
+        labels, score = brute_labels(text, index)
+        assert got[i].labels == labels and got[i].score == pytest.approx(score), text
+    whole = [got[7 * k] for k in range(len(ls.TEMPLATES))]
+    assert all(t.label in r.labels.split(",") and r.score == pytest.approx(1) for t, r in zip(ls.TEMPLATES, whole, strict=True))
+
+
+def test_edits_outside_the_key_phrases(spark):
+    mit = next(" ".join(t.words) for t in ls.TEMPLATES if t.label == "mit" and len(t.words) > 50)
+    edited = mit.replace("copies of the software", "some copies of our software").replace("merge publish", "publish")
+    got = ls.scan_licenses(spark.createDataFrame([(1, edited), (2, mit.replace("hereby granted", "now given"))], "doc_id long, text string")).orderBy("doc_id").collect()
+    long = [m for m in got[0].matches if m.label == "mit" and 0.9 < m.score < 1]
+    assert long and not [m for m in got[1].matches if m.label == "mit"]
+
+
 def test_document_frequency_counts_rows(spark):
     df = spark.createDataFrame([("mit mit",), ("MIT!",), (None,), ("x",)], "text string")
     assert ls.document_frequency(df, {"mit", "gnu"}) == (4, {"mit": 2})
