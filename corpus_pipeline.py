@@ -16,6 +16,10 @@ from siftline.llm.common import Scratch, table
 ENOUGH = 0.5
 
 
+#: Tables that a stage's result is read from; they go when the next stage starts, which is when that result is written.
+_LEFT: list[Scratch] = []
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter, and those whose best language scores lower than labelled texts of their length do.
 
@@ -32,7 +36,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts, and texts without a word, all stay: they are near nothing. Of repeated rows one stays. Tables
     may be empty and have other columns. Rows are returned unchanged.
     """
-    return near_dedup.drop_near_duplicates(docs)
+    scratch = Scratch(spark)
+    _LEFT.append(scratch)
+    return near_dedup.drop_near_duplicates(docs, scratch=scratch)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,6 +46,8 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Null texts stay null, empty ones empty; equal texts change alike. Other columns stay as they are.
     """
+    while _LEFT:
+        _LEFT.pop().clear()
     return secret_scan.redact(docs)
 
 
