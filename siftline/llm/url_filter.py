@@ -33,10 +33,10 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return lower_ascii(host), path
 
 
-def host_suffixes(host: Column) -> Column:
-    """The host itself and what follows each of its dots."""
+def host_suffixes(host: Column, most: int) -> Column:
+    """The host's ends of up to `most` labels, the host itself among them if it is as short."""
     labels = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    return F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.size(labels))), lambda n: F.call_function("substring_index", host, F.lit("."), -n))
 
 
 def rules_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
@@ -70,6 +70,7 @@ def filter_urls(
     )
     lengths = [r[0] for r in rules.select(F.length("rule_path").alias("n")).distinct().limit(MAX_LENGTHS + 1).collect()]
     n_rules = rules.limit(broadcast_rules + 1).count()
+    most_labels = rules.agg(F.coalesce(F.max(F.size(F.split("rule_host", r"\."))), F.lit(1))).first()[0]
 
     host, path = host_and_path(F.col(url_col))
     rows = urls.select(F.struct("*").alias("row"), host.alias("host"), path.alias("path"))
@@ -81,7 +82,7 @@ def filter_urls(
         cuts = F.filter(F.array(*map(F.lit, sorted(lengths))).cast("array<int>"), lambda n: n <= F.length("path"))
         prefixes = F.transform(cuts, lambda n: F.substring(F.col("path"), F.lit(1), n))
     expressions = (
-        distinct.withColumn("host_part", F.explode(host_suffixes(F.col("host"))))
+        distinct.withColumn("host_part", F.explode(host_suffixes(F.col("host"), most_labels)))
         .withColumn("path_part", F.explode(prefixes))
         .withColumn("digest", F.sha2(F.concat("host_part", F.lit(" "), "path_part"), 256))
         .withColumn("prefix", F.substring("digest", 1, PREFIX_HEX))
@@ -102,9 +103,9 @@ def filter_urls(
             ).alias("best")
         )
     )
-    return rows.join(best, ["host", "path"], "left").select(
-        "row", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict")
-    )
+    # URLs without a host would be one large key of the join; they fit no rule.
+    judged = rows.filter("host != ''").join(best, ["host", "path"], "left").select("row", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"))
+    return judged.unionByName(rows.filter("host = ''").select("row", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict")))
 
 
 #: The rules of the registered query.
