@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import map_texts, small_batches, table
 
-ASSIGN, ACCESS, HEX, ENTROPY_HEX, ENTROPY_BASE64 = "assign", "access", "hex", "entropy_hex", "entropy_base64"
+ASSIGN, ACCESS, HEX, ENTROPY_HEX, ENTROPY_BASE64, ENTROPY_ONE_CASE = "assign", "access", "hex", "entropy_hex", "entropy_base64", "entropy_one_case"
 #: The order of kinds where spans start at the same place.
-KINDS = (ASSIGN, ACCESS, HEX, ENTROPY_HEX, ENTROPY_BASE64)
+KINDS = (ASSIGN, ACCESS, HEX, ENTROPY_HEX, ENTROPY_BASE64, ENTROPY_ONE_CASE)
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -32,6 +32,7 @@ class CharClass:
     """Runs of `pattern` are candidates; a window of `window` characters counts from `bits` bits of entropy per character.
 
     mixed: sets of which the window must hold a character each, so that long plain words don't count.
+    within: longer runs, outside of which no candidate stands: looked for once for all classes that name them.
     """
 
     kind: str
@@ -39,12 +40,17 @@ class CharClass:
     window: int
     bits: float
     mixed: tuple[frozenset, ...]
+    within: str | None = None
 
 
 _LOWER, _UPPER, _DIGIT = (frozenset(x) for x in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"))
+_RUN = r"[A-Za-z0-9+/_=-]{20,}"
+#: Keys of digits and letters of one case count by a letter that no hexadecimal number has.
+_BEYOND_HEX = (_LOWER | _UPPER) - frozenset("abcdefABCDEF")
 CLASSES = (
-    CharClass(ENTROPY_HEX, r"[0-9A-Fa-f]{20,}", 20, 3.0, (_LOWER | _UPPER, _DIGIT)),
-    CharClass(ENTROPY_BASE64, r"[A-Za-z0-9+/_=-]{20,}", 20, 3.7, (_LOWER, _UPPER, _DIGIT)),
+    CharClass(ENTROPY_HEX, r"[0-9A-Fa-f]{20,}", 20, 3.0, (_LOWER | _UPPER, _DIGIT), _RUN),
+    CharClass(ENTROPY_BASE64, _RUN, 20, 3.7, (_LOWER, _UPPER, _DIGIT), _RUN),
+    CharClass(ENTROPY_ONE_CASE, r"[a-z0-9]{20,}|[A-Z0-9]{20,}", 20, 3.6, (_BEYOND_HEX, _DIGIT), _RUN),
 )
 #: What stands in no secret: placeholders, UUIDs, alphabets. A match silences what goes on with it, up to the next of the
 #: characters of _PARTS or at most REACH characters away on either side; windows don't extend into that.
@@ -109,6 +115,7 @@ def allowed_apart(s: str, allow: list[re.Pattern]) -> list[tuple[int, int]]:
 class Scanner:
     def __init__(self, classes: tuple[CharClass, ...] = CLASSES, allow: tuple[str, ...] = ALLOW):
         self.classes = [(c, re.compile(c.pattern)) for c in classes]
+        self.within = {c.within: re.compile(c.within) for c in classes if c.within}
         self.allow = [re.compile(x) for x in allow]
         self.order = {k: i for i, k in enumerate(dict.fromkeys((*KINDS, *(c.kind for c in classes))))}
 
@@ -120,13 +127,15 @@ class Scanner:
         if "AKIA" in text:
             found += [(*m.span(), ACCESS) for m in _ACCESS.finditer(text) if len(m[0]) >= 20]
         found += [(*m.span(), HEX) for m in _HEX.finditer(text)]
+        runs: dict[str | None, list[tuple[int, int]]] = {k: [m.span() for m in p.finditer(text)] for k, p in self.within.items()}
         for cls, pattern in self.classes:
-            for m in pattern.finditer(text):
-                s = m[0]
-                if any(m_.isdisjoint(s) for m_ in cls.mixed):
-                    continue
-                for x, y in allowed_apart(s, self.allow):
-                    found += [(m.start() + x + a, m.start() + x + b, cls.kind) for a, b in entropy_windows(s[x:y], cls.window, cls.bits, cls.mixed)]
+            for lo, hi in runs.get(cls.within, [(0, len(text))]):
+                for m in pattern.finditer(text, lo, hi):
+                    s = m[0]
+                    if any(m_.isdisjoint(s) for m_ in cls.mixed):
+                        continue
+                    for x, y in allowed_apart(s, self.allow):
+                        found += [(m.start() + x + a, m.start() + x + b, cls.kind) for a, b in entropy_windows(s[x:y], cls.window, cls.bits, cls.mixed)]
         return sorted(found, key=lambda x: (x[0], self.order[x[2]], x[1]))
 
 

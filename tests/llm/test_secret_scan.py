@@ -46,6 +46,17 @@ def test_entropy_spans():
         assert not scan(clean)
 
 
+def test_keys_of_one_case():
+    scan, rng = ss.Scanner(), random.Random(8)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        keys = ["".join(rng.choices(letters + "0123456789", k=40)) for _ in range(200)]
+        found = [any(k == ss.ENTROPY_ONE_CASE and 4 <= a < b <= 44 for a, b, k in scan(f"see {key} here")) for key in keys]
+        assert sum(found) >= 198
+        assert not any(scan(f"example{key}" if letters.islower() else f"EXAMPLE{key}") for key in keys)
+    for clean in ("internationalization2024 " * 3, "a1" * 40, "chapter1" * 10, "A" * 50 + "1"):
+        assert not [s for s in scan(clean) if s[2] == ss.ENTROPY_ONE_CASE], clean
+
+
 def test_the_allow_list_silences_only_its_part():
     secret = "aB3dE5fG7hI9jK1lM2nO4pQ6"
     scan = ss.Scanner()
