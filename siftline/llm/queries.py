@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_dedup, language_id, license_scan, lm_score, media, mixing, near_dedup, packing, prefix_trie, secret_scan, url_filter
+from . import bpe, collocations, embedding_dedup, language_id, license_scan, lm_score, media, mixing, near_dedup, packing, prefix_trie, secret_scan, url_filter
 
 QUERIES = {
     "op1_media_webp": media.query,
@@ -17,10 +17,11 @@ QUERIES = {
     "op8_near_dedup": near_dedup.query,
     "op9_license_scan": license_scan.query,
     "op10_lm_score": lm_score.query,
+    "op11_collocations": collocations.query,
     "op12_prefix_trie": prefix_trie.query,
     "op13_source_mix": mixing.query,
 }
-ORACLE_SQL = {"op2_url_filter": url_filter.ORACLE_SQL, "op12_prefix_trie": prefix_trie.ORACLE_SQL, "op13_source_mix": mixing.ORACLE_SQL}
+ORACLE_SQL = {"op2_url_filter": url_filter.ORACLE_SQL, "op11_collocations": collocations.ORACLE_SQL, "op12_prefix_trie": prefix_trie.ORACLE_SQL, "op13_source_mix": mixing.ORACLE_SQL}
 
 
 def secret_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
