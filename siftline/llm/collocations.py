@@ -36,6 +36,8 @@ CELL_BITS, ROWS, WORDS_A_CELL = 23, 2, 4
 FLUSH_KEYS, FLUSH_WORDS = 3_000_000, 400_000
 #: Bytes of phrases for each automaton, and frequent words for each file of them.
 AUTOMATON_BYTES, WORDS_A_FILE = 6 << 20, 4_000_000
+#: Splits of a table that one task of the candidate pass reads: each task sends what passes once.
+SPLITS_A_TASK = 8
 #: Words whose hashes a task keeps.
 KEPT_WORDS = 300_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -290,7 +292,8 @@ def candidates(docs: DataFrame, keys: Keys, pairs: Sketch, longer: Sketch) -> Da
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(out), pa.string()), pa.array(out, pa.binary()).cast(pa.string())], ["lang", "phrase"])
         release()
 
-    return docs.mapInArrow(run, "lang string, phrase string").distinct()
+    splits, cores = docs.rdd.getNumPartitions(), docs.sparkSession.sparkContext.defaultParallelism
+    return docs.coalesce(max(cores, -(-splits // SPLITS_A_TASK))).mapInArrow(run, "lang string, phrase string").distinct()
 
 
 def compiled(found: DataFrame, folder: str, scratch: Scratch) -> tuple[DataFrame, int]:
