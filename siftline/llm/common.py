@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import ctypes
+import json
 import os
 import tempfile
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +25,16 @@ SLICE_BYTES = 4 << 20
 CACHE_ENTRIES, CACHED_BYTES = 150_000, 64
 
 
+#: Bytes of a table, as its files are, up to which its rows may be dealt out anew.
+DEALT_BYTES = 64 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; one that comes in fewer splits than there are cores is dealt out first."""
+    """A table; a small one that comes in fewer splits than there are cores is dealt out first, a larger one never."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= DEALT_BYTES
+    return df.repartition(cores) if small and df.rdd.getNumPartitions() < cores else df
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -77,18 +84,42 @@ class Store:
         self.fs.move(temp, f"{self.path}/{name}.npy")
 
     def get(self, name: str) -> np.ndarray:
-        """Mapped into memory; from a folder that isn't on a mounted disk, the file is copied to the worker first."""
+        """Mapped into memory; from a folder that isn't on a mounted disk, the worker maps a copy that has no name."""
         path = f"{self.path}/{name}.npy"
-        if not isinstance(self.fs, pyarrow.fs.LocalFileSystem):
-            local = os.path.join(tempfile.gettempdir(), f"{os.path.basename(self.path)}-{name}.npy")
-            if not os.path.exists(local):
-                temp = f"{local}-{os.getpid()}"
-                with self.fs.open_input_stream(path) as src, open(temp, "wb") as dst:
-                    while data := src.read(16 << 20):
-                        dst.write(data)
-                os.replace(temp, local)
-            path = local
-        return np.load(path, mmap_mode="r")
+        return np.load(path, mmap_mode="r") if isinstance(self.fs, pyarrow.fs.LocalFileSystem) else _copied(self.uri, name)
+
+    def put_all(self, name: str, arrays: dict[str, np.ndarray]) -> None:
+        """Several arrays as one file: what they are in front, each from a multiple of 64 bytes on."""
+        arrays = {k: np.ascontiguousarray(a) for k, a in arrays.items()}
+        head = json.dumps([[k, a.dtype.str, len(a)] for k, a in arrays.items()]).encode()
+        blocks = [np.frombuffer(b, np.uint8) for b in (len(head).to_bytes(8, "little"), head, *(a.tobytes() for a in arrays.values()))]
+        sizes = [-(-len(b) // 64) * 64 for b in blocks]
+        whole = np.zeros(sum(sizes), np.uint8)
+        for b, end, n in zip(blocks, np.cumsum(sizes).tolist(), sizes, strict=True):
+            whole[end - n : end - n + len(b)] = b
+        self.put(name, whole)
+
+    def get_all(self, name: str) -> dict[str, np.ndarray]:
+        """What put_all wrote, in one mapping: one handle."""
+        whole = self.get(name)
+        n = int.from_bytes(whole[:8].tobytes(), "little")
+        at, out = 64 + -(-n // 64) * 64, {}
+        for k, kind, size in json.loads(whole[64 : 64 + n].tobytes()):
+            a = whole[at : at + size * np.dtype(kind).itemsize].view(kind)
+            out[k], at = a, at + -(-a.nbytes // 64) * 64
+        return out
+
+
+@lru_cache(maxsize=32)
+def _copied(uri: str, name: str) -> np.ndarray:
+    """A mapped copy of a file of the store with this URI. It is unlinked at once, and gone when nothing maps it any more."""
+    store = Store(uri)
+    with tempfile.NamedTemporaryFile(suffix=".npy") as f:
+        with store.fs.open_input_stream(f"{store.path}/{name}.npy") as src:
+            while data := src.read(16 << 20):
+                f.write(data)
+        f.flush()
+        return np.load(f.name, mmap_mode="r")
 
 
 class RowSet:

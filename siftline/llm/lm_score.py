@@ -31,6 +31,8 @@ PART_BYTES, MOST_PARTS = 16 << 20, 50_000
 #: Rows, about, in which hot first words are looked for, and how many of them are dealt by both words at most. The list
 #: decides only where pairs are counted: any list gives the same model.
 HOT_ROWS, MOST_HOT = 2000, 4096
+#: Parts of words or pairs that a task keeps mapped, each by one handle. A batch's keys are sorted by part.
+OPEN_PARTS = 64
 #: Counted words and pairs that a part adds up at a time.
 MERGE = 4_000_000
 
@@ -213,8 +215,8 @@ def write_pairs(blocks: DataFrame, folder: str, parts: int, hot: np.ndarray) ->
             key = pair_hash(u, v)
             order = np.argsort(key)
             if len(key):
-                for name, a in (("pair", key[order]), *_counts("pair_n", c[order]), ("hist", hist[own]), ("hist_total", sums[0][own]), *((f"hist_n{k}", sums[k][own].astype("<u4")) for k in (1, 2, 3))):
-                    store.put(f"{name}-{part}", a)
+                ends = {"hist": hist[own], "hist_total": sums[0][own], **{f"hist_n{k}": sums[k][own].astype("<u4") for k in (1, 2, 3)}}
+                store.put_all(f"pairs-{part}", {"pair": key[order], **dict(_counts("pair_n", c[order])), **ends})
             rows: dict[int, list[np.ndarray]] = {}
             at = lambda p: rows.setdefault(p, [*(np.zeros(0, t) for t in _NONE), np.zeros(5, "<i8")])  # noqa: B023, E731
             at(part)[:2] = [words, n]
@@ -253,9 +255,7 @@ def write_words(blocks: DataFrame, folder: str) -> DataFrame:
             histories = np.zeros(len(words), np.int64)
             histories[np.searchsorted(words, second)] = m  # each second word was counted as a word
             if len(words):
-                store.put(f"word-{part}", words)
-                store.put(f"word_n-{part}", n)
-                store.put(f"word_m-{part}", histories.astype("<u4"))
+                store.put_all(f"words-{part}", {"word": words, "word_n": n, "word_m": histories.astype("<u4")})
             sums = [part, int(n.sum()), len(words), int(m.sum()), *of_pairs.tolist(), *(int((histories == k).sum()) for k in (1, 2, 3, 4)), int((histories >= 3).sum())]
             each = [[*sums, None, 0, 0, 0, 0], *([None, *[0] * (len(sums) - 1), h, *x] for h, *x in zip(hot.view(np.int64).tolist(), total.tolist(), n1.tolist(), n2.tolist(), n3.tolist(), strict=True))]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*each, strict=True)], SUMS + HOT_SUMS)
@@ -323,20 +323,23 @@ def train(docs: DataFrame) -> Model:
 
 
 class Scorer:
-    """Looks up what a batch needs in mapped arrays."""
+    """Looks up what a batch needs in mapped arrays, of a bounded number of parts at a time."""
 
     def __init__(self, model: Model):
-        self.m, self.store, self.open = model, Store(model.folder), {}
+        self.m, self.store = model, Store(model.folder)
+        self.open: dict[str, dict[str, np.ndarray]] = {}
         self.hashes = WordHashes()
 
     def _array(self, name: str, part: int) -> np.ndarray | None:
         """None where training met nothing of the kind; an array that was written and can't be read is an error."""
         if part not in (self.m.with_words if name.startswith("word") else self.m.with_pairs):
             return None
-        key = f"{name}-{part}"
+        key = f"{'words' if name.startswith('word') else 'pairs'}-{part}"
         if key not in self.open:
-            self.open[key] = self.store.get(key)
-        return self.open[key]
+            if len(self.open) >= OPEN_PARTS:
+                self.open.clear()
+            self.open[key] = self.store.get_all(key)
+        return self.open[key][name]
 
     def _find(self, keys: np.ndarray, home: np.ndarray, index: str, *values: str) -> list[np.ndarray]:
         """For distinct keys and the hashes that tell their parts: the values, 0 where the key isn't there."""

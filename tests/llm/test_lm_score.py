@@ -72,7 +72,7 @@ def test_a_lost_array_is_an_error(spark):
     assert lm_score.score(docs, model).count() == len(TRAIN)
     folder = Store(model.folder).path
     for name in os.listdir(folder):
-        if name.startswith("pair-"):
+        if name.startswith("pairs-"):
             os.remove(f"{folder}/{name}")
     with pytest.raises(Exception, match="No such file"):
         lm_score.score(docs, model).collect()
@@ -87,3 +87,23 @@ def test_parts_and_hot_words_change_nothing(spark, monkeypatch):
     got = lm_score.score(docs, lm_score.train(train)).orderBy("doc_id").collect()
     for g, w in zip(got, brute(TRAIN, TRAIN)[0], strict=True):
         assert (g.n_tokens, g.n_known) == w[:2] and g.score == pytest.approx(w[3], rel=1e-12)
+
+
+def test_few_handles_for_many_parts(spark, monkeypatch):
+    import os
+    import resource
+
+    monkeypatch.setattr(lm_score, "PART_BYTES", 60)
+    monkeypatch.setattr(lm_score, "OPEN_PARTS", 8)
+    texts = [" ".join(f"w{k * j % 900}" for j in range(40)) for k in range(40)]
+    model = lm_score.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert len(model.with_words) > 80
+    soft, hard = resource.getrlimit(resource.RLIMIT_NOFILE)
+    used = len(os.listdir("/proc/self/fd"))
+    resource.setrlimit(resource.RLIMIT_NOFILE, (used + 20, hard))
+    try:
+        got = lm_score.Scorer(model)(texts)
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, (soft, hard))
+    for score, w in zip(got["score"], brute(texts, texts)[0], strict=True):
+        assert score == pytest.approx(w[3], rel=1e-12)
