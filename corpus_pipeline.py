@@ -16,10 +16,6 @@ from siftline.llm.common import Scratch, table
 ENOUGH = 0.5
 
 
-#: Tables that a stage's result is read from; they go when the next stage starts, which is when that result is written.
-_LEFT: list[Scratch] = []
-
-
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter, and those whose best language scores lower than labelled texts of their length do.
 
@@ -30,14 +26,13 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return language_id.keep_known(docs, language_id.fit(language_id.training_rows(docs)), ENOUGH)
 
 
-def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch | None = None) -> DataFrame:
     """Keeps one document of each group of near-duplicates, one with the smallest doc_id, also where ids repeat or are null.
 
     Null and empty texts, and texts without a word, all stay: they are near nothing. Of repeated rows one stays. Tables
-    may be empty and have other columns. Rows are returned unchanged.
+    may be empty and have other columns. Rows are returned unchanged. The result reads tables that it puts into scratch,
+    to be cleared once it is written; without it they last until the driver ends.
     """
-    scratch = Scratch(spark)
-    _LEFT.append(scratch)
     return near_dedup.drop_near_duplicates(docs, scratch=scratch)
 
 
@@ -46,8 +41,6 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Null texts stay null, empty ones empty; equal texts change alike. Other columns stay as they are.
     """
-    while _LEFT:
-        _LEFT.pop().clear()
     return secret_scan.redact(docs)
 
 
@@ -72,8 +65,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written before the next; what a stage leaves behind goes once it is written."""
     docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark)
     for name, stage in STAGES:
-        docs = scratch.write(stage(spark, docs, sf_dir), f"stage-{name}")
+        more = {"scratch": scratch} if stage is one_of_each else {}
+        docs = scratch.write(stage(spark, docs, sf_dir, **more), f"stage-{name}")
         scratch.clear(keep=1)
     return docs
