@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from siftline.schema import FINDING, MATCH, MATCH_FIELDS
+from siftline.schema import FOUND, MATCH, MATCH_FIELDS
 
 #: Matches whose places are summed one after another; sums of such runs are then summed in turn.
 RUN = 64
@@ -91,13 +91,13 @@ def _moved(at: Column, down: Column, on: Column) -> tuple[Column, Column]:
     return at["line"] + down, F.when(down > 0, on).otherwise(at["col"] + on)
 
 
-def located(text: Column, found: Column, line_rules: tuple[Callable[[Column], Column], ...] = (), context: int | None = None) -> Column:
-    """Findings of matches (array<MATCH>): lines from 1, columns in bytes from 0; a match over lines ends beyond its first.
+def located(text: Column, found: Column, line_rules: tuple[Callable[[Column], Column], ...] = ()) -> Column:
+    """Findings of matches (array<FOUND>): lines from 1, columns in bytes from 0; a match over lines ends beyond its first.
 
     found holds the matches of one or several patterns, those of each in order; the first of a pattern is marked. Line
     feeds, and bytes since the last one, are summed up to each match, by runs of matches and then over runs, so that the
     work grows with text and matches alone. A match with a line_rule of k is a finding where the k-th of line_rules holds
-    for its line; lines are judged once. context: adds context_before and context_after, up to so many lines each.
+    for its line; lines are judged once. Findings don't hold their lines: many on a long one would fill the memory.
     """
     fields = ("text", "entity_type", "score", "line_rule")
 
@@ -139,30 +139,32 @@ def located(text: Column, found: Column, line_rules: tuple[Callable[[Column], Co
         both = bind(runs, lambda ws: F.struct(ws.alias("runs"), F.aggregate(ws, nowhere, start, lambda acc: acc["starts"]).alias("starts")))
         return bind(both, lambda b: F.flatten(F.transform(b["runs"], lambda w, k: F.transform(w["out"], lambda r: placed(F.get(b["starts"], k), r)))))
 
-    def full(ls: Column, f: Column) -> Column:
-        at = f["line_num"]
-        out = [at, f["col_start"], (f["col_start"] + F.octet_length(f["text"])).alias("col_end"), f["entity_type"], f["text"], f["score"], F.get(ls, at - 1).alias("line_content")]
-        if context is not None:
-            first = F.greatest(F.lit(1), at - context)
-            on = F.when(at < F.size(ls), F.slice(ls, at + 1, F.lit(context))).otherwise(F.slice(ls, 1, 0))
-            out += [F.slice(ls, first, at - first).alias("context_before"), on.alias("context_after")]
-        return F.struct(*out)
+    def full(f: Column) -> Column:
+        return F.struct(f["line_num"], f["col_start"], (f["col_start"] + F.octet_length(f["text"])).alias("col_end"), f["entity_type"], f["text"], f["score"])
 
-    def judged(ls: Column, fs: Column) -> Column:
+    def judged(fs: Column) -> Column:
         if not line_rules:
             return fs
-        flags = [F.when(F.exists(fs, lambda f: f["line_rule"] == k), F.transform(ls, rule)).alias(f"r{k}") for k, rule in enumerate(line_rules, 1)]  # noqa: B023
+        flags = lambda ls: [F.when(F.exists(fs, lambda f: f["line_rule"] == k), F.transform(ls, rule)).alias(f"r{k}") for k, rule in enumerate(line_rules, 1)]  # noqa: B023, E731
         holds = lambda r, f: reduce(lambda out, k: out.when(f["line_rule"] == k, F.get(r[f"r{k}"], f["line_num"] - 1)), range(2, len(line_rules) + 1), F.when(f["line_rule"] == 1, F.get(r["r1"], f["line_num"] - 1))).otherwise(True)
-        return bind(F.struct(*flags), lambda r: F.filter(fs, lambda f: holds(r, f)))
+        kept = lambda ls: bind(F.struct(*flags(ls)), lambda r: F.filter(fs, lambda f: holds(r, f)))
+        return F.when(F.exists(fs, lambda f: f["line_rule"] > 0), bind(lines(text), kept)).otherwise(fs)
 
-    def lined(fs: Column) -> Column:
-        return bind(lines(text), lambda ls: F.transform(judged(ls, fs), lambda f: full(ls, f)))
+    return bind(found, lambda ms: F.when(F.size(ms) > 0, bind(over(ms), lambda fs: F.transform(judged(fs), full))).otherwise(no_findings()))
 
-    return bind(found, lambda ms: F.when(F.size(ms) > 0, bind(over(ms), lined)).otherwise(no_findings(context)))
 
+def no_findings() -> Column:
+    return F.array().cast(f"array<{FOUND}>")
 
-def no_findings(context: int | None = None) -> Column:
-    return F.array().cast(f"array<{FINDING if context is None else FINDING[:-1] + ',context_before:array<string>,context_after:array<string>>'}>")
+
+def lines_at(text: Column, numbers: Column) -> Column:
+    """The lines of a text up to the last of `numbers` (sorted, each once), null but for these: line n is item n - 1."""
+
+    def from_last(ls: Column, at: Column) -> Column:
+        gap = lambda n, k: F.array_repeat(F.lit(None).cast("string"), n - F.coalesce(F.get(at, k - 1), F.lit(0)) - 1)
+        return F.flatten(F.transform(at, lambda n, k: F.concat(gap(n, k), F.array(F.get(ls, n - 1)))))
+
+    return bind(F.struct(lines(text).alias("lines"), numbers.alias("at")), lambda x: from_last(x["lines"], x["at"]))
 
 
 def lower_ascii(c: Column) -> Column:

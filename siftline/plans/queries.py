@@ -16,7 +16,7 @@ from siftline.sinks import report
 from siftline.streaming import triage
 
 from . import fixtures, oracle
-from .scan import Options, findings, scan
+from .scan import Options, findings, places, scan
 
 COLUMNS = ["file", "line_num", "col_start", "col_end", "entity_type", "text", "score"]
 #: All that SQL can follow: CRYPTO needs numbers of 200 bits.
@@ -240,7 +240,7 @@ def annotations(spark, sf_dir):
     coalesce(array_to_string(string_split(d.text, chr(10))[line_num + 1:line_num + 3], chr(10)), '') AS context_after FROM ({PERSONAL_SQL}) f JOIN ({oracle.docs_sql()}) d ON f.file = d.file""",
 )
 def context_window(spark, sf_dir):
-    rows = findings(scan(with_fixtures(spark, sf_dir), options=options(*PERSONAL, context=report.CONTEXT_LINES)))
+    rows = findings(scan(with_fixtures(spark, sf_dir), options=options(*PERSONAL, context=report.CONTEXT_LINES)), report.CONTEXT_LINES)
     return rows.select("file", "line_num", "col_start", "entity_type", F.array_join("context_before", "\n").alias("context_before"), F.array_join("context_after", "\n").alias("context_after"))
 
 

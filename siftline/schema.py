@@ -23,7 +23,9 @@ FINDING_FIELDS = (
     ("score", "float"),
     ("line_content", "string"),
 )
-FINDING = "struct<" + ",".join(f"{n}:{t}" for n, t in FINDING_FIELDS) + ">"
+#: A finding in its row: without its line, which stands in the row once, however many findings it has.
+FOUND_COLUMNS = [n for n, _ in FINDING_FIELDS[:-1]]
+FOUND = "struct<" + ",".join(f"{n}:{t}" for n, t in FINDING_FIELDS[:-1]) + ">"
 FINDING_COLUMNS = ["file", *(n for n, _ in FINDING_FIELDS)]
 FINDINGS = "file string, " + ", ".join(f"{n} {t}" for n, t in FINDING_FIELDS)
 
