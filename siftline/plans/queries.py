@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftline.operators import recognizers as rec
-from siftline.operators import tagger
+from siftline.operators import rule_table, tagger
+from siftline.operators.overlap import overlapping
 from siftline.operators.suppress import Rule, Rules
 from siftline.shared import shared_folder
 from siftline.sinks import report
@@ -24,15 +26,21 @@ COMPARED = tuple(dict.fromkeys(r.entity for r in rec.DEFAULT if r.tier == rec.ST
 PERSONAL = ("EMAIL_ADDRESS", "CREDIT_CARD", "PHONE_NUMBER", "US_SSN", "IP_ADDRESS", "URL")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; one that comes in fewer splits than there are cores is dealt out first."""
+#: Bytes of a table, as its files are, up to which its rows may be dealt out anew for a costly scan.
+DEALT_BYTES = 64 << 20
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, costly: bool = False) -> DataFrame:
+    """A table. For a costly scan, a small one that comes in fewer splits than there are cores is dealt out first."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
+    if not costly or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > DEALT_BYTES:
+        return df
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file"), "text")
+def documents(spark: SparkSession, sf_dir: str, costly: bool = False) -> DataFrame:
+    return table(spark, sf_dir, "documents", costly).select(F.col("doc_id").cast("string").alias("file"), "text")
 
 
 def with_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +71,7 @@ def _entity_query(entity: str) -> None:
     r = tuple(replace(x, tier=rec.STRICT) if x.tier == rec.BROAD else x for x in r)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return findings(scan(with_fixtures(spark, sf_dir), options=Options(recognizers=r, rules=Rules(flags=flags)))).select(*COLUMNS)
+        return places(scan(with_fixtures(spark, sf_dir), options=Options(recognizers=r, rules=Rules(flags=flags)))).select(*COLUMNS)
 
     sql = None if entity == "CRYPTO" else f"SELECT {', '.join(COLUMNS)} FROM ({oracle.findings_sql((entity,), oracle.docs_sql())})"
     register(f"{entity.lower()}_findings", sql)(run)
@@ -85,52 +93,55 @@ def all_findings(spark, sf_dir):
 @register("documents_by_type", f"SELECT entity_type, count(*) AS n, count(DISTINCT file) AS n_files FROM ({oracle.findings_sql(COMPARED, oracle.docs_sql(False))}) GROUP BY entity_type")
 def documents_by_type(spark, sf_dir):
     """The flagship: the whole default scan but CRYPTO over documents, by type."""
-    found = findings(scan(documents(spark, sf_dir), options=options(*COMPARED)))
+    found = places(scan(documents(spark, sf_dir, True), options=options(*COMPARED)))
     return found.groupBy("entity_type").agg(F.count("*").alias("n"), F.countDistinct("file").alias("n_files"))
 
 
 @register("scan_defaults")
 def scan_defaults(spark, sf_dir):
     """Every default recognizer over documents: counts by type."""
-    return findings(scan(documents(spark, sf_dir), options=Options())).groupBy("entity_type").agg(F.count("*").alias("n"))
+    return places(scan(documents(spark, sf_dir, True), options=Options())).groupBy("entity_type").agg(F.count("*").alias("n"))
 
 
 @register("crypto_candidates", f"SELECT {', '.join(COLUMNS)} FROM ({oracle.entity_sql('CRYPTO', oracle.docs_sql())})")
 def crypto_candidates(spark, sf_dir):
     r = rec.plain("CRYPTO", rec.CRYPTO)
-    return findings(scan(with_fixtures(spark, sf_dir), options=Options(recognizers=(r,)))).select(*COLUMNS)
+    return places(scan(with_fixtures(spark, sf_dir), options=Options(recognizers=(r,)))).select(*COLUMNS)
 
 
-#: Texts of about a megabyte that a backtracking matcher, or work that grows with the square of the matches, would not survive:
-#: name, repeated unit, times, and what stands before and after. `#` in a unit is the number of the repetition.
+#: What a backtracking matcher, or work that grows with the square of the matches, would not survive: unit, times, and what
+#: stands before and after. `#` in a unit is the number of the repetition.
 LONG_TEXTS = (
-    ("labels", "a.", 500_000, "x@", "b"),
-    ("host", "ab.", 333_333, "see: ", "1/ http://a.bc/d"),
-    ("digits", "1x.", 333_333, "at: ab.", " 8.8.8.8/"),
-    ("atoms", "a+", 500_000, "", " y@z.org"),
-    ("dashes", "a-", 500_000, "z: ", ".org/x c@d.org"),
-    ("hosts", "a@b-", 250_000, "", "c.org"),
-    ("keywords", "-secret", 140_000, "", "= abcdefgh"),
-    ("tokens", "eyJ-", 250_000, "", " ey" + "Ja.ey" + "Jb.c"),
-    ("addresses", "user#@example.com\n", 50_000, "", ""),
-    ("one_line", "u#@x.org ", 3_000, "", ""),
-    ("ips", "10.0.0.# 1.2.3.4\n", 40_000, "", ""),
-    ("over_the_limit", "x", 999_993, "a@b.org ", ""),
-)
-_LONG = " UNION ALL ".join(
-    f"SELECT '{name}' AS file, {oracle.literal(first)} || (SELECT string_agg(replace({oracle.literal(unit)}, '#', CAST(i % 250 AS VARCHAR)), '' ORDER BY i) FROM range({n}) r(i)) || {oracle.literal(last)} AS text"
-    for name, unit, n, first, last in LONG_TEXTS
+    ("a.", 50_000, "x@", "b"),
+    ("ab.", 33_333, "see: ", "1/ http://a.bc/d"),
+    ("1x.", 33_333, "at: ab.", " 8.8.8.8/"),
+    ("a+", 50_000, "", " y@z.org"),
+    ("a-", 50_000, "z: ", ".org/x c@d.org"),
+    ("a@b-", 25_000, "", "c.org"),
+    ("-secret", 14_000, "", "= abcdefgh"),
+    ("eyJ-", 25_000, "", " ey" + "Ja.ey" + "Jb.c"),
+    ("user#@example.com\n", 5_000, "", ""),
+    ("10.0.0.# 1.2.3.4\n", 4_000, "", ""),
 )
+#: Documents that stand together on one line, and the addresses that follow them there.
+ON_ONE_LINE, ADDRESSES = 64, 3_000
+_TIMES = "(SELECT string_agg(replace({}, '#', CAST(i % 250 AS VARCHAR)), '' ORDER BY i) FROM range({}) r(i))"
+_UNITS = ", ".join(f"({k}, {oracle.literal(first)} || {_TIMES.format(oracle.literal(unit), n)} || {oracle.literal(last)})" for k, (unit, n, first, last) in enumerate(LONG_TEXTS))
+_LONG = f"""SELECT CAST(g AS VARCHAR) AS file, line || ' ' || (SELECT string_agg('u' || CAST(i % 250 AS VARCHAR) || '@x.org ', '' ORDER BY i) FROM range({ADDRESSES}) r(i)) || chr(10) || unit AS text
+FROM (SELECT doc_id // {ON_ONE_LINE} AS g, string_agg(replace(text, chr(10), ' '), ' ' ORDER BY doc_id, text) AS line FROM documents GROUP BY 1) JOIN (VALUES {_UNITS}) u(k, unit) ON k = g % {len(LONG_TEXTS)}"""
 _LONG_TYPES = ("EMAIL_ADDRESS", "URL", "IP_ADDRESS", "SECRET_JWT", "SECRET_KEYWORD_ASSIGNMENT")
 
 
 @register("long_texts", f"SELECT file, line_num, col_start, col_end, entity_type, length(text) AS chars, score FROM ({oracle.findings_sql(_LONG_TYPES, _LONG)})")
 def long_texts(spark, sf_dir):
-    """Of texts made up here, each of about a megabyte."""
-    made = spark.createDataFrame(LONG_TEXTS, "file string, unit string, n int, first string, last string").repartition(len(LONG_TEXTS), "file")
-    unit = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.replace("unit", F.lit("#"), (i % 250).cast("string")))
-    docs = made.select("file", F.concat("first", F.array_join(unit, ""), "last").alias("text"))
-    return findings(scan(docs, options=options(*_LONG_TYPES))).select("file", "line_num", "col_start", "col_end", "entity_type", F.length("text").cast("long").alias("chars"), "score")
+    """All documents, 64 on a line, with thousands of addresses on the same line and a long run on the next."""
+    laid = table(spark, sf_dir, "documents").groupBy(F.floor(F.col("doc_id") / ON_ONE_LINE).alias("g")).agg(F.sort_array(F.collect_list(F.struct("doc_id", "text"))).alias("docs"))
+    line = F.array_join(F.transform("docs", lambda d: F.replace(d["text"], F.lit("\n"), F.lit(" "))), " ")
+    times = lambda unit, n: F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.replace(unit, F.lit("#"), (i % 250).cast("string"))), "")
+    kinds = F.array(*(F.struct(F.lit(u).alias("unit"), F.lit(n).alias("n"), F.lit(a).alias("first"), F.lit(z).alias("last")) for u, n, a, z in LONG_TEXTS))
+    laid = laid.select(F.col("g").cast("string").alias("file"), line.alias("line"), F.get(kinds, (F.col("g") % len(LONG_TEXTS)).cast("int")).alias("k"))
+    docs = laid.select("file", F.concat("line", F.lit(" "), times(F.lit("u#@x.org "), F.lit(ADDRESSES)), F.lit("\n"), "k.first", times(F.col("k.unit"), F.col("k.n")), "k.last").alias("text"))
+    return places(scan(docs, options=options(*_LONG_TYPES))).select("file", "line_num", "col_start", "col_end", "entity_type", F.length("text").cast("long").alias("chars"), "score")
 
 
 _PAGES = "SELECT CAST(page_id AS VARCHAR) AS file, coalesce(url, '') || chr(10) || coalesce(html, '') AS text FROM pages"
@@ -157,7 +168,7 @@ def dedupe_query(spark, sf_dir):
     """The same recognizers twice: each place and type stays one finding."""
     o = options(*COMPARED)
     twice = replace(o, recognizers=o.recognizers + o.recognizers)
-    return findings(scan(with_fixtures(spark, sf_dir), options=twice)).select("file", "line_num", "col_start", "col_end", "entity_type", "score", F.lit(True).alias("kept"))
+    return places(scan(with_fixtures(spark, sf_dir), options=twice)).select("file", "line_num", "col_start", "col_end", "entity_type", "score", F.lit(True).alias("kept"))
 
 
 FLAGS = {"URL": 0.7, "EMAIL_ADDRESS": False, "CREDIT_CARD": 1.0, "IP_ADDRESS": True}
@@ -165,7 +176,7 @@ FLAGS = {"URL": 0.7, "EMAIL_ADDRESS": False, "CREDIT_CARD": 1.0, "IP_ADDRESS": T
 
 @register("entity_flags", f"SELECT {', '.join(COLUMNS)} FROM ({PERSONAL_SQL}) WHERE entity_type <> 'EMAIL_ADDRESS' AND NOT (entity_type = 'URL' AND score < CAST(0.7 AS FLOAT))")
 def entity_flags(spark, sf_dir):
-    return findings(scan(with_fixtures(spark, sf_dir), options=options(*PERSONAL, rules=Rules(flags=FLAGS)))).select(*COLUMNS)
+    return places(scan(with_fixtures(spark, sf_dir), options=options(*PERSONAL, rules=Rules(flags=FLAGS)))).select(*COLUMNS)
 
 
 @register("named_entities", f"SELECT file, len(list_filter(list(entity_type), lambda x: x = 'US_SSN')) AS n, len(list_filter(list(entity_type), lambda x: x <> 'US_SSN')) AS ignored_count FROM ({PERSONAL_SQL}) GROUP BY file")
@@ -191,7 +202,7 @@ SUPPRESSIONS: dict[str, tuple[tuple[Rule, ...], str]] = {
 
 def _suppression(name: str, rules: tuple[Rule, ...], where: str) -> None:
     def run(spark, sf_dir):
-        return findings(scan(with_fixtures(spark, sf_dir), options=options(*PERSONAL, rules=Rules(rules)))).select(*COLUMNS)
+        return places(scan(with_fixtures(spark, sf_dir), options=options(*PERSONAL, rules=Rules(rules)))).select(*COLUMNS)
 
     register(f"suppress_by_{name}", f"SELECT {', '.join(COLUMNS)} FROM ({PERSONAL_SQL}) WHERE NOT ({where})")(run)
 
@@ -199,6 +210,56 @@ def _suppression(name: str, rules: tuple[Rule, ...], where: str) -> None:
 for _name, (_rules, _where) in SUPPRESSIONS.items():
     _suppression(_name, _rules, _where)
 
+def document_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hundred rules of each document and some more, as a table: lines, files, folders, texts, whole files and patterns."""
+    ids = table(spark, sf_dir, "documents").select("doc_id")
+    path = F.col("doc_id").cast("string")
+    lines = ids.select(F.when(F.col("doc_id") % 2 == 0, "EMAIL_ADDRESS").otherwise("URL").alias("entity_type"), path.alias("path"), F.explode(F.sequence(F.lit(1), F.lit(100))).alias("k"))
+    lines = lines.select("entity_type", "path", (F.col("k") * 3).cast("string").alias("line"))
+    files = ids.filter("doc_id % 5 = 0").select(F.lit("IP_ADDRESS").alias("entity_type"), F.concat(F.lit("./"), path).alias("path"))
+    texts = ids.select(F.concat(F.lit("USER"), path, F.lit("@example.com")).alias("text"))
+    whole = ids.filter("doc_id % 7 = 0").select(F.lit("file").alias("type"), path.alias("path"))
+    few = spark.createDataFrame([("fixtures/**", "US_SSN", None), ("fixtures/7.txt", "URL", "1..900")], "path string, entity_type string, line string")
+    few = few.unionByName(spark.createDataFrame([("^8[.]8",)], "match string"), allowMissingColumns=True)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [lines, files, texts, whole, few])
+
+
+_IS_DOC = "regexp_matches(file, '^[0-9]+$')"
+_BY_RULES = f"""((entity_type = CASE WHEN {_IS_DOC} AND CAST(file AS BIGINT) % 2 = 0 THEN 'EMAIL_ADDRESS' ELSE 'URL' END AND {_IS_DOC} AND line_num % 3 = 0 AND line_num <= 300)
+ OR (entity_type = 'IP_ADDRESS' AND {_IS_DOC} AND CAST(file AS BIGINT) % 5 = 0) OR lower(text) IN (SELECT 'user' || doc_id || '@example.com' FROM documents)
+ OR (entity_type = 'US_SSN' AND starts_with(file, 'fixtures/')) OR (entity_type = 'URL' AND file = 'fixtures/7.txt') OR starts_with(text, '8.8'))"""
+_NOT_WHOLE = f"NOT ({_IS_DOC} AND CAST(file AS BIGINT) % 7 = 0)"
+
+
+@register("suppress_by_rule_table", f"SELECT {', '.join(COLUMNS)} FROM ({PERSONAL_SQL}) WHERE {_NOT_WHOLE.replace('CAST(file', 'TRY_CAST(file')} AND NOT {_BY_RULES.replace('CAST(file', 'TRY_CAST(file')}")
+def suppress_by_rule_table(spark, sf_dir):
+    """Over 100 rules for each document, joined."""
+    rules = document_rules(spark, sf_dir)
+    docs = rule_table.without_skipped(with_fixtures(spark, sf_dir), rules)
+    return rule_table.without_suppressed(places(scan(docs, options=options(*PERSONAL))), rules).select(*COLUMNS)
+
+
+@register("ignored_by_rule_table", f"SELECT file, count(*) FILTER (NOT s) AS kept, count(*) FILTER (s) AS ignored FROM (SELECT file, coalesce({_BY_RULES.replace('CAST(file', 'TRY_CAST(file')}, false) AS s FROM ({PERSONAL_SQL})) GROUP BY file")
+def ignored_by_rule_table(spark, sf_dir):
+    return rule_table.ignored_by_file(places(scan(with_fixtures(spark, sf_dir), options=options(*PERSONAL))), document_rules(spark, sf_dir))
+
+
+_MOVED = "(line_num * 5 + col_start) % 13 - 6"
+
+
+@register(
+    "confirm_by_overlap",
+    f"""SELECT {', '.join(COLUMNS)} FROM ({PERSONAL_SQL}) f WHERE EXISTS (SELECT 1 FROM ({PERSONAL_SQL}) g WHERE g.file = f.file AND g.line_num = f.line_num AND g.entity_type = f.entity_type
+    AND f.col_start < g.col_start + ({_MOVED.replace('line_num', 'g.line_num').replace('col_start', 'g.col_start')}) * 3 + 4 AND g.col_start + ({_MOVED.replace('line_num', 'g.line_num').replace('col_start', 'g.col_start')}) * 3 < f.col_end)""",
+)
+def confirm_by_overlap(spark, sf_dir):
+    """Findings that share a byte with a span of their type: spans of four bytes, near where findings start."""
+    found = places(scan(with_fixtures(spark, sf_dir), options=options(*PERSONAL))).select(*COLUMNS)
+    start = F.col("col_start") + ((F.col("line_num") * 5 + F.col("col_start")) % 13 - 6) * 3
+    spans = found.select("file", "line_num", "entity_type", start.alias("col_start"), (start + 4).alias("col_end"))
+    return overlapping(found, spans, ["file", "line_num", "entity_type"])
+
+
 _IGNORE = Rules((Rule(entity_type="URL"), Rule(entity_type="EMAIL_ADDRESS", text="@example.com")))
 _IS_IGNORED = "(entity_type = 'URL' OR (entity_type = 'EMAIL_ADDRESS' AND text ILIKE '%@example.com'))"
 _COUNTS_SQL = f"""SELECT d.file, CAST(coalesce(n, 0) AS BIGINT) AS n, CAST(coalesce(ignored, 0) AS BIGINT) AS ignored_count, NOT regexp_matches(coalesce(d.text, ''), '\\S') AS skipped
@@ -251,7 +312,7 @@ def context_window(spark, sf_dir):
 )
 def findings_cube(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return report.by_group(findings(scan(docs, "doc_id", options=options(*PERSONAL))), docs, ["lang", "source"])
+    return report.by_group(places(scan(docs, "doc_id", options=options(*PERSONAL))), docs, ["lang", "source"])
 
 
 @register(
@@ -260,12 +321,12 @@ def findings_cube(spark, sf_dir):
     FROM (SELECT entity_type, text, count(*) AS n, count(DISTINCT file) AS n_files FROM ({PERSONAL_SQL}) GROUP BY ALL)) WHERE rank <= 10""",
 )
 def most_frequent_texts(spark, sf_dir):
-    return report.ranked(findings(scan(with_fixtures(spark, sf_dir), options=options(*PERSONAL))))
+    return report.ranked(places(scan(with_fixtures(spark, sf_dir), options=options(*PERSONAL))))
 
 
 @register("new_findings", f"SELECT {', '.join(COLUMNS)} FROM ({PERSONAL_SQL}) WHERE NOT starts_with(file, 'fixtures/1')")
 def new_findings(spark, sf_dir):
-    found = findings(scan(with_fixtures(spark, sf_dir), options=options(*PERSONAL)))
+    found = places(scan(with_fixtures(spark, sf_dir), options=options(*PERSONAL)))
     return report.new_since(found, found.filter(F.col("file").startswith("fixtures/1"))).select(*COLUMNS)
 
 
@@ -280,7 +341,7 @@ _RULE_SQL = {
 
 def _rule_rows(kind: str, columns: str) -> None:
     def run(spark, sf_dir):
-        return report.rule_rows(findings(scan(with_fixtures(spark, sf_dir), options=options(*PERSONAL))), kind)
+        return report.rule_rows(places(scan(with_fixtures(spark, sf_dir), options=options(*PERSONAL))), kind)
 
     where = "entity_type = 'URL'" if kind == "host" else "true"
     register(f"rules_by_{kind}", f"SELECT DISTINCT {columns} FROM ({PERSONAL_SQL}) WHERE {where}")(run)
@@ -305,13 +366,13 @@ _BROAD_SQL = oracle.findings_sql(("US_DRIVER_LICENSE", "US_PASSPORT"), oracle.do
 def tagger_confirms(spark, sf_dir):
     tags = tagger.table_tagger(spark.createDataFrame(TAGS, tagger.TAGS))
     o = options("EMAIL_ADDRESS", "US_DRIVER_LICENSE", "US_PASSPORT", rules=Rules(flags={"US_PASSPORT": 0.5, "US_DRIVER_LICENSE": 0.5}))
-    return findings(scan(with_fixtures(spark, sf_dir), options=o, tagger=tags)).select(*COLUMNS)
+    return places(scan(with_fixtures(spark, sf_dir), options=o, tagger=tags)).select(*COLUMNS)
 
 
 @register("tagger_alone", f"SELECT {', '.join(COLUMNS)} FROM ({oracle.findings_sql(('US_SSN',), oracle.docs_sql())}) UNION ALL SELECT * FROM (VALUES {_TAG_ROWS}) t({', '.join(COLUMNS)})")
 def tagger_alone(spark, sf_dir):
     tags = tagger.table_tagger(spark.createDataFrame(TAGS, tagger.TAGS))
-    return findings(scan(with_fixtures(spark, sf_dir), options=options("US_SSN"), tagger=tags, confirm=False)).select(*COLUMNS)
+    return places(scan(with_fixtures(spark, sf_dir), options=options("US_SSN"), tagger=tags, confirm=False)).select(*COLUMNS)
 
 
 def _streamed(found: DataFrame, spark: SparkSession) -> DataFrame:
@@ -349,5 +410,5 @@ def stream_first_seen(spark, sf_dir):
 def repeated_lines_rank(spark, sf_dir):
     """Each finding's place in its file, and the line of the one before."""
     w = Window.partitionBy("file").orderBy("line_num", "col_start", "col_end", "entity_type")
-    found = findings(scan(with_fixtures(spark, sf_dir), options=options(*PERSONAL)))
+    found = places(scan(with_fixtures(spark, sf_dir), options=options(*PERSONAL)))
     return found.select("file", "line_num", "entity_type", F.row_number().over(w).alias("place"), F.lag("line_num").over(w).alias("previous_line"))
