@@ -110,18 +110,22 @@ def folders(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.when(n == 0, "").otherwise(F.concat(F.array_join(F.slice(parts, F.lit(1), n), "/"), F.lit("/"))))
 
 
-def without_suppressed(found: DataFrame, rules: DataFrame) -> DataFrame:
+def _ready(rules: DataFrame | RuleTable) -> RuleTable:
+    return rules if isinstance(rules, RuleTable) else RuleTable(rules)
+
+
+def without_suppressed(found: DataFrame, rules: DataFrame | RuleTable) -> DataFrame:
     """The findings that no rule of a table suppresses."""
-    return RuleTable(rules).suppressed(found).filter(~F.col("suppressed")).drop("suppressed")
+    return _ready(rules).suppressed(found).filter(~F.col("suppressed")).drop("suppressed")
 
 
-def ignored_by_file(found: DataFrame, rules: DataFrame) -> DataFrame:
+def ignored_by_file(found: DataFrame, rules: DataFrame | RuleTable) -> DataFrame:
     """file, kept and ignored: how many findings stay, and how many rules suppress."""
-    flag = RuleTable(rules).suppressed(found).groupBy("file")
+    flag = _ready(rules).suppressed(found).groupBy("file")
     return flag.agg(F.count_if(~F.col("suppressed")).alias("kept"), F.count_if("suppressed").alias("ignored"))
 
 
-def without_skipped(docs: DataFrame, rules: DataFrame, file_col: str = "file") -> DataFrame:
+def without_skipped(docs: DataFrame, rules: DataFrame | RuleTable, file_col: str = "file") -> DataFrame:
     """docs but for files that whole-file rules name; null names stay."""
-    names = RuleTable(rules).skipped(docs, file_col).withColumnRenamed("file", "__skipped")
+    names = _ready(rules).skipped(docs, file_col).withColumnRenamed("file", "__skipped")
     return docs.join(names, docs[file_col].cast("string") == names["__skipped"], "left_anti")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TAGS = "file string, line_num int, col_start int, col_end int, entity_type string, text string, score float"
+#: A tag, or a line that a model failed on, with what it said: such a row has no type.
+TAGS_OR_ERRORS = TAGS + ", error string"
 BATCH_LINES = 32
 MAX_TOKENS = 512
 # The labels of a nine-class tagger, the types they stand for, and its score.
@@ -52,11 +54,24 @@ def spans_to_tags(line: str, spans: Iterable[tuple[int, int, str]], offsets: lis
     return out
 
 
+def _tagged(predict: Callable[[list[str]], list], rows: list[dict]) -> Iterator[tuple[dict, list, str | None]]:
+    """(row, its tags, error): a batch that fails is halved until the line that it fails on stands alone."""
+    try:
+        yield from ((r, tags, None) for r, tags in zip(rows, predict([r["line_content"] for r in rows]), strict=True))
+    except Exception as e:  # noqa: BLE001  whatever a model raises mustn't end the scan
+        if len(rows) == 1:
+            yield rows[0], [], f"{type(e).__name__}: {e}"[:500]
+        else:
+            yield from _tagged(predict, rows[: len(rows) // 2])
+            yield from _tagged(predict, rows[len(rows) // 2 :])
+
+
 def model_tagger(load: Callable[[], Callable[[list[str]], list[list[tuple[int, int, str, str, float]]]]], batch: int = BATCH_LINES, least: int = 3, most: int | None = None, threshold: float = 0.0) -> Callable[[DataFrame], DataFrame]:
     """A tagger from a function of lines that `load` makes once in each worker's task, with its model.
 
-    Lines of fewer than `least` or more than `most` bytes (without indent) have no tags. A batch that fails is left out;
-    the others count.
+    Lines of fewer than `least` or more than `most` bytes (without indent) have no tags. Lines go into batches by length, so
+    that little is padded. A line on which the model fails comes back as a row with `error`; those batched with it keep
+    their tags.
     """
 
     def tag(lines: DataFrame) -> DataFrame:
@@ -64,21 +79,18 @@ def model_tagger(load: Callable[[], Callable[[list[str]], list[list[tuple[int, i
             predict = None
             for b in batches:
                 rows = [r for r in b.to_pylist() if r["line_content"] and len(r["line_content"].strip().encode()) >= least and (most is None or len(r["line_content"].encode()) <= most)]
+                rows.sort(key=lambda r: len(r["line_content"]))
                 out = []
                 for at in range(0, len(rows), batch):
                     predict = predict or load()
-                    some = rows[at : at + batch]
-                    try:
-                        tags = predict([r["line_content"] for r in some])
-                    except Exception as e:  # a failing batch mustn't end the scan
-                        print(f"tagger: a batch of {len(some)} lines failed: {e}")
-                        continue
-                    for r, ts in zip(some, tags, strict=True):
-                        out += [(r["file"], r["line_num"], a, z, kind, text, score) for a, z, kind, text, score in ts if score >= threshold]
-                kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.float32())
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], [x.split()[0] for x in TAGS.split(", ")])
-
-        return lines.mapInArrow(run, TAGS)
+                    for r, tags, error in _tagged(predict, rows[at : at + batch]):
+                        out += [(r["file"], r["line_num"], a, z, kind, text, score, None) for a, z, kind, text, score in tags if score >= threshold]
+                        if error:
+                            out.append((r["file"], r["line_num"], None, None, None, None, None, error))
+                kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.float32(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], [x.split()[0] for x in TAGS_OR_ERRORS.split(", ")])
+
+        return lines.mapInArrow(run, TAGS_OR_ERRORS)
 
     return tag
 

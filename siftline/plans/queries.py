@@ -15,6 +15,7 @@ from siftline.operators.overlap import overlapping
 from siftline.operators.suppress import Rule, Rules
 from siftline.shared import shared_folder
 from siftline.sinks import report
+from siftline.sources import manifest
 from siftline.streaming import triage
 
 from . import fixtures, oracle
@@ -154,13 +155,16 @@ def page_findings(spark, sf_dir):
     return findings(scan(pages.select(F.col("page_id").cast("string").alias("file"), text.alias("text")), options=options(*PERSONAL)))
 
 
-_CHAT = "SELECT conv_id || ':' || turn AS file, text FROM conversations"
+_CHAT = f"SELECT conv_id || ':' || turn AS file, coalesce(c.text, '') || chr(10) || x AS text FROM conversations c JOIN (VALUES {', '.join(f'({k}, {oracle.literal(x)})' for k, x in enumerate(fixtures.texts()))}) t(k, x) ON k = (conv_id * 5 + turn) % {len(fixtures.texts())}"
 
 
 @register("chat_findings", f"SELECT * FROM ({oracle.findings_sql(COMPARED, _CHAT)})")
 def chat_findings(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations")
-    return findings(scan(rows.select(F.concat_ws(":", "conv_id", "turn").alias("file"), "text"), options=options(*COMPARED)))
+    """Turns of conversations, each with a text below it that holds something to find."""
+    rows, texts = table(spark, sf_dir, "conversations"), F.array(*map(F.lit, fixtures.texts()))
+    more = F.get(texts, ((F.col("conv_id") * 5 + F.col("turn")) % len(fixtures.texts())).cast("int"))
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), more)
+    return findings(scan(rows.select(F.concat_ws(":", "conv_id", "turn").alias("file"), text.alias("text")), options=options(*COMPARED)))
 
 
 @register("first_recognizer_wins_ties", f"SELECT file, line_num, col_start, col_end, entity_type, max(score) AS score, count(*) > 0 AS kept FROM ({ALL_SQL}) GROUP BY ALL")
@@ -234,7 +238,7 @@ _NOT_WHOLE = f"NOT ({_IS_DOC} AND CAST(file AS BIGINT) % 7 = 0)"
 @register("suppress_by_rule_table", f"SELECT {', '.join(COLUMNS)} FROM ({PERSONAL_SQL}) WHERE {_NOT_WHOLE.replace('CAST(file', 'TRY_CAST(file')} AND NOT {_BY_RULES.replace('CAST(file', 'TRY_CAST(file')}")
 def suppress_by_rule_table(spark, sf_dir):
     """Over 100 rules for each document, joined."""
-    rules = document_rules(spark, sf_dir)
+    rules = rule_table.RuleTable(document_rules(spark, sf_dir))
     docs = rule_table.without_skipped(with_fixtures(spark, sf_dir), rules)
     return rule_table.without_suppressed(places(scan(docs, options=options(*PERSONAL))), rules).select(*COLUMNS)
 
@@ -402,6 +406,87 @@ def stream_first_seen(spark, sf_dir):
     return _streamed(triage.first_seen(found).select("file", "entity_type", "text"), spark)
 
 
+def sightings(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """Each event of a user is a sighting of what the user's document holds: file, entity_type, text, ts (milliseconds)."""
+    events = table(spark, sf_dir, "events") if events is None else events
+    found = places(scan(documents(spark, sf_dir), options=options(*PERSONAL))).select("file", "entity_type", "text")
+    return events.select(F.col("user_id").cast("string").alias("file"), F.date_trunc("millisecond", F.col("ts").cast("timestamp")).alias("ts")).join(found, "file").select("file", "entity_type", "text", "ts")
+
+
+_SIGHTINGS_SQL = f"""SELECT f.file, f.entity_type, f.text, date_trunc('milliseconds', e.ts) AS ts FROM events e JOIN ({_STREAM_SQL}) f ON f.file = CAST(e.user_id AS VARCHAR)"""
+
+
+@register(
+    "finding_sessions",
+    f"""SELECT file, entity_type, min(ts) AS started, max(ts) + INTERVAL 6 HOUR AS ended, count(*) AS n FROM (
+    SELECT *, sum(new) OVER (PARTITION BY file, entity_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM (
+      SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY file, entity_type ORDER BY ts) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM ({_SIGHTINGS_SQL}))) GROUP BY file, entity_type, session""",
+)
+def finding_sessions(spark, sf_dir):
+    out = triage.sessions(sightings(spark, sf_dir), "ts", "6 hours")
+    return out.select("file", "entity_type", F.col("started").cast("timestamp_ntz").alias("started"), F.col("ended").cast("timestamp_ntz").alias("ended"), "n")
+
+
+@register(
+    "stream_first_in_a_while",
+    f"""SELECT file, entity_type, text, ts FROM (SELECT *, lag(ts) OVER (PARTITION BY file, entity_type, text ORDER BY ts) AS before FROM (SELECT DISTINCT * FROM ({_SIGHTINGS_SQL})))
+    WHERE before IS NULL OR ts - before > INTERVAL 2 DAY""",
+)
+def stream_first_in_a_while(spark, sf_dir):
+    """A stream of events, its state in the RocksDB store, bounded by two days of event time."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, triage.ROCKSDB)
+    try:
+        events = triage.table_stream(spark, f"{sf_dir}/event[s].parquet", spark.read.parquet(f"{sf_dir}/events.parquet").schema)
+        seen = triage.first_in_a_while(sightings(spark, sf_dir, events), "ts", 2 * 86_400)
+        return _streamed(seen, spark).select("file", "entity_type", "text", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
+@register("stream_to_rule_log", f"SELECT DISTINCT entity_type, file AS path, text FROM ({_STREAM_SQL})")
+def stream_to_rule_log(spark, sf_dir):
+    """All findings of a stream of documents become rules of a log."""
+    out = shared_folder(spark, "rule-log")
+    log = triage.RuleLog(spark, f"{out}/log")
+    triage.triage_to_log(_document_stream(spark, sf_dir), f"{out}/state", log, accept=True, options=options(*PERSONAL)).awaitTermination()
+    return log.rules().select("entity_type", "path", "text")
+
+
+_PATHS_SQL = "SELECT source || '/' || doc_id % 7 || '/' || doc_id || '.txt' AS file, doc_id, text FROM documents"
+
+
+@register(
+    "changed_since",
+    f"""SELECT file, CASE WHEN doc_id % 101 = 3 THEN 'added' ELSE 'changed' END AS change FROM ({_PATHS_SQL}) WHERE doc_id % 101 = 3 OR (doc_id % 97 = 5 AND text IS NOT NULL)
+    UNION ALL SELECT 'gone/' || doc_id, 'removed' FROM documents WHERE doc_id % 103 = 0""",
+)
+def changed_since(spark, sf_dir):
+    """documents as files of folders, against a manifest in which some texts differ, some are missing and some are more."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", (F.col("doc_id") % 7).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    files = docs.select(path.alias("file"), "doc_id", "text")
+    old = files.filter("doc_id % 101 <> 3").select("file", F.when(F.col("doc_id") % 97 == 5, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"))
+    gone = docs.filter("doc_id % 103 = 0").select(F.concat(F.lit("gone/"), F.col("doc_id").cast("string")).alias("file"), "text")
+    return manifest.changed_since(manifest.manifest(files), manifest.manifest(old.unionByName(gone)))
+
+
+@register(
+    "sketched_report",
+    f"""SELECT entity_type, count(*) AS n, true AS texts_agree, true AS median_agrees FROM ({oracle.findings_sql(PERSONAL, oracle.docs_sql(False))}) GROUP BY entity_type""",
+)
+def sketched_report(spark, sf_dir):
+    """Sketches by type and source, merged over sources; whether they agree with exact figures within their stated error."""
+    found = places(scan(documents(spark, sf_dir), options=options(*PERSONAL)))
+    sources = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file"), "source")
+    got = report.merged_sketches(report.sketched(found.join(sources, "file"), "source"), "entity_type")
+    size = F.length("text").cast("long")
+    exact = found.groupBy("entity_type").agg(F.countDistinct("text").alias("texts"), F.percentile_approx(size, 0.47, 1_000_000).alias("low"), F.percentile_approx(size, 0.53, 1_000_000).alias("high"))
+    close = F.abs(F.col("n_texts") - F.col("texts")) <= F.greatest(F.lit(1.0), 0.05 * F.col("texts"))
+    return got.join(exact, "entity_type").select("entity_type", "n", close.alias("texts_agree"), F.col("median_length").between(F.col("low"), F.col("high")).alias("median_agrees"))
+
+
 @register(
     "repeated_lines_rank",
     f"""SELECT file, line_num, entity_type, CAST(row_number() OVER (PARTITION BY file ORDER BY line_num, col_start, col_end, entity_type) AS INT) AS place,

@@ -97,13 +97,13 @@ def readable(text: Column, max_bytes: int | None = None) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str = "file", text_col: str = "text", options: Options | None = None, tagger: Callable[[DataFrame], DataFrame] | None = None, confirm: bool = True) -> DataFrame:
-    """Outcomes: file, findings (array), lines, ignored_count, skipped; a row for each row of docs.
+    """Outcomes: file, findings (array), lines, ignored_count, skipped, failed_lines; a row for each row of docs.
 
     lines holds the lines of findings, line n as item n - 1, and nulls in between; `findings` puts both together.
     Without a tagger only strict (and asked-for opt-in) recognizers run. A tagger maps lines (file, line_num,
     line_content) to tags (file, line_num, col_start, col_end, entity_type, text, score). With confirm, it sees only
     lines with candidates, and a broad candidate stays where a tag of its type overlaps it; without, it sees all lines and
-    its tags are findings. Ids are taken to be unique where a tagger is given. Null, blank and too long texts are skipped,
+    its tags are findings. A tag with an `error` is a line that the model failed on; failed_lines counts them. Ids are taken to be unique where a tagger is given. Null, blank and too long texts are skipped,
     as are files that a rule names. Other columns of docs play no part.
     """
     o = options or Options()
@@ -130,6 +130,12 @@ def scan(docs: DataFrame, id_col: str = "file", text_col: str = "text", options:
     else:
         lines = found.filter(~F.col("skipped")).select("file", F.posexplode(F.split("text", "\n")).alias("i", "line_content"))
     tags = tagger(lines.select("file", (F.col("i") + 1).alias("line_num"), "line_content"))
+    if "error" in tags.columns:
+        tags = written(tags, "tags")
+        failed = tags.filter(F.col("error").isNotNull()).groupBy("file").agg(F.count("*").alias("failed_lines"))
+        tags = tags.filter(F.col("error").isNull())
+    else:
+        failed = None
     tags = tags.select("file", F.struct(*(F.col(c) for c in FOUND_COLUMNS)).cast(FOUND).alias("tag")).filter(passes_flags(F.col("tag"), o.flags))
     tags = tags.withColumn("silenced", is_suppressed(F.col("file"), F.col("tag"), o.rules) if o.rules.matchers else F.lit(False))
     new = tags.filter(~F.col("silenced")).select("file", "tag.*")
@@ -138,8 +144,9 @@ def scan(docs: DataFrame, id_col: str = "file", text_col: str = "text", options:
     by_file = new.groupBy("file").agg(F.collect_list(F.struct(*FOUND_COLUMNS)).alias("new"))
     silenced = tags.filter("silenced").groupBy("file").agg(F.count("*").alias("silenced"))
     joined = found.join(by_file, "file", "left").join(silenced, "file", "left")
+    joined = joined.withColumn("failed_lines", F.lit(0)) if failed is None else joined.join(failed, "file", "left")
     ignored = F.col("strict_ignored") + F.col("broad_ignored") + F.coalesce("silenced", F.lit(0))
-    return _finish(joined.select(*found.columns, F.concat("strict", F.coalesce("new", none)).alias("all"), ignored.alias("ignored")), o)
+    return _finish(joined.select(*found.columns, "failed_lines", F.concat("strict", F.coalesce("new", none)).alias("all"), ignored.alias("ignored")), o)
 
 
 def trace(docs: DataFrame, id_col: str = "file", text_col: str = "text", options: Options | None = None) -> DataFrame:
@@ -176,7 +183,8 @@ def _finish(df: DataFrame, o: Options) -> DataFrame:
         numbers = F.array_distinct(F.transform("findings", lambda f: f["line_num"]))
         lines = F.split("text", "\n") if o.context is not None else t.lines_at(F.col("text"), numbers)
         df = df.withColumn("lines", F.when(F.size("findings") > 0, lines))
-    return df.select("file", "findings", "lines", F.col("ignored").alias("ignored_count"), "skipped")
+    failed = F.coalesce("failed_lines", F.lit(0)).cast("long") if "failed_lines" in df.columns else F.lit(0).cast("long")
+    return df.select("file", "findings", "lines", F.col("ignored").alias("ignored_count"), "skipped", failed.alias("failed_lines"))
 
 
 def findings(outcomes: DataFrame, context: int | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from siftline.functions.text import url_host
@@ -55,6 +55,38 @@ def totals(outcomes: DataFrame) -> DataFrame:
     )
 
 
+def observed(outcomes: DataFrame, name: str = "scan") -> tuple[DataFrame, Observation | None]:
+    """outcomes, and an observation that holds `totals` once they have been through an action: no second scan for them.
+
+    Of a stream, the same numbers come with each batch's progress (None is returned).
+    """
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
+    metrics = [count(~F.col("skipped")).alias("files_scanned"), count(F.col("skipped")).alias("files_skipped"), F.sum(F.size("findings")).cast("long").alias("findings"), F.sum("ignored_count").cast("long").alias("ignored")]
+    if outcomes.isStreaming:
+        return outcomes.observe(name, *metrics), None
+    seen = Observation(name)
+    return outcomes.observe(seen, *metrics), seen
+
+
+def diagnostics(found: DataFrame) -> DataFrame:
+    """For each finding (with context_before and context_after) a picture of its place: lines around, a mark below its middle.
+
+    Columns file, line_num, col_start and value (several lines). Lines lose their indent; the mark counts bytes, as columns do.
+    """
+    bare = lambda c: F.regexp_replace(c, r"^(?U:\s)+", "")
+    width = F.length((F.col("line_num") + F.size("context_after")).cast("string"))
+    pad = F.repeat(F.lit(" "), width + 1)
+    numbered = lambda n, body: F.concat(F.lpad(n.cast("string"), width, F.lit(" ")), F.lit(" │ "), body)
+    indent = F.octet_length("line_content") - F.octet_length(bare(F.col("line_content")))
+    middle = F.greatest(F.lit(0), F.col("col_start") - indent) + F.floor(F.greatest(F.lit(1), F.col("col_end") - F.col("col_start")) / 2).cast("int")
+    mark = F.concat(pad, F.lit("· "), F.repeat(F.lit(" "), middle))
+    above = F.transform("context_before", lambda x, i: numbered(F.col("line_num") - F.size("context_before") + i, bare(x)))
+    below = F.transform("context_after", lambda x, i: numbered(F.col("line_num") + 1 + i, bare(x)))
+    head = F.concat(pad, F.format_string("┌─ %s:%d:%d", "file", "line_num", F.col("col_start") + 1))
+    here = F.array(numbered(F.col("line_num"), bare(F.col("line_content"))), F.concat(mark, F.lit("▲")), F.concat(mark, F.format_string("└── %s (σ %.1f)", "entity_type", F.col("score").cast("double"))))
+    return found.select("file", "line_num", "col_start", F.array_join(F.concat(F.array(head), above, here, below), "\n").alias("value"))
+
+
 def exit_code(outcomes: DataFrame) -> int:
     """1 if there is a finding, else 0; stops at the first."""
     return 0 if outcomes.filter(F.size("findings") > 0).limit(1).isEmpty() else 1
@@ -92,6 +124,20 @@ def rule_rows(findings: DataFrame, kind: str = "file") -> DataFrame:
     return findings.select(*(c.alias(n) for n, c in texts.items())).distinct()
 
 
+def custom_rule(entity_type: str, written: str, is_pattern: bool = False) -> Rule:
+    """A rule for one type from what somebody wrote: a text (wildcards count) or a pattern; everywhere, in any case."""
+    if not written:
+        raise ValueError("nothing written")
+    return Rule(entity_type=entity_type, match=written) if is_pattern else Rule(entity_type=entity_type, text=written)
+
+
+def accepted_rules(findings: DataFrame) -> DataFrame:
+    """The rules of accept_all as a table, for any number of findings."""
+    rows = rule_rows(findings, "file")
+    wild = F.when(F.col("text").rlike(r"[*?\[]"), False)
+    return rows.select("entity_type", F.regexp_replace("path", r"([*?\[])", "[$1]").alias("path"), "text", wild.alias("textglob"))
+
+
 def accept_all(findings: DataFrame) -> list[Rule]:
     """A rule for each file, type and text, for a rules file; texts count as they are, not as wildcards.
 
@@ -118,3 +164,23 @@ def ranked(findings: DataFrame, per_type: int = 10) -> DataFrame:
 def new_since(findings: DataFrame, baseline: DataFrame) -> DataFrame:
     """Findings whose file, type and text the baseline doesn't hold, wherever they stand."""
     return findings.join(baseline.select("file", "entity_type", "text").distinct(), ["file", "entity_type", "text"], "left_anti")
+
+
+#: Of a sketch of distinct texts and of one of lengths: the relative standard error is about 1.6 % and 1 %.
+HLL_BITS, KLL_SIZE = 12, 200
+
+
+def sketched(findings: DataFrame, *keys: str) -> DataFrame:
+    """keys, entity_type, n, and sketches of distinct texts and of their lengths: rows to be stored, and merged later."""
+    return findings.groupBy(*keys, "entity_type").agg(
+        F.count("*").alias("n"),
+        F.hll_sketch_agg(F.concat_ws("\0", "entity_type", "text"), HLL_BITS).alias("texts"),
+        F.kll_sketch_agg_bigint(F.length("text").cast("long"), KLL_SIZE).alias("lengths"),
+    )
+
+
+def merged_sketches(sketches: DataFrame, *keys: str) -> DataFrame:
+    """keys, n, n_texts (about), median_length and p99_length (about) of stored sketches, over any of their keys: no finding is read."""
+    got = sketches.groupBy(*keys).agg(F.sum("n").alias("n"), F.hll_sketch_estimate(F.hll_union_agg("texts")).alias("n_texts"), F.kll_merge_agg_bigint("lengths").alias("lengths"))
+    at = lambda q: F.kll_sketch_get_quantile_bigint("lengths", F.lit(q))
+    return got.select(*keys, "n", "n_texts", at(0.5).alias("median_length"), at(0.99).alias("p99_length"))

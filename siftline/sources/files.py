@@ -35,12 +35,12 @@ def is_scannable(path: Column) -> Column:
     return ~ext.isin(*SKIPPED_EXTENSIONS) & ~F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, SKIPPED_FOLDERS)))
 
 
-def _plain_scannable(path: str) -> bool:
+def is_plain_scannable(path: str) -> bool:
     m = re.search(r"[^/.][^/]*\.([^./]+)$", path)
     return not (m and m[1].lower() in SKIPPED_EXTENSIONS) and not set(path.split("/")) & set(SKIPPED_FOLDERS)
 
 
-class _Ignore:
+class Ignored:
     """Rules of one ignore file, for paths below its folder."""
 
     def __init__(self, folder: str, lines: Iterable[str]):
@@ -93,36 +93,56 @@ def walk(roots: Iterable[str] = (), include_hidden: bool = True) -> list[str]:
     out = []
     for root in [str(r) for r in roots] or ["."]:
         if os.path.isfile(root):
-            out += [root] if _plain_scannable(root) else []
+            out += [root] if is_plain_scannable(root) else []
             continue
-        _walk(root, [], include_hidden, out)
+        _walk(root, (), include_hidden, out)
     return out
 
 
-def _walk(folder: str, above: list[_Ignore], include_hidden: bool, out: list[str]) -> None:
+def _walk(folder: str, above: tuple[Ignored, ...], include_hidden: bool, out: list[str]) -> None:
+    below, names, rules = entries(folder, above, include_hidden)
+    out += names
+    for f in below:
+        _walk(f, rules, include_hidden, out)
+
+
+def entries(folder: str, above: tuple[Ignored, ...], include_hidden: bool = True) -> tuple[list[str], list[str], tuple[Ignored, ...]]:
+    """Folders and files right in a folder, by name, that ignore files and skip lists leave; and the rules that hold below it."""
     rules = list(above)
     for name in (".gitignore", ".ignore", ".git/info/exclude"):
         try:
             with open(os.path.join(folder, name), encoding="utf-8", errors="replace") as f:
-                rules.append(_Ignore(folder, f))
+                rules.append(Ignored(folder, f))
         except OSError:
             pass
+    folders: list[str] = []
+    files: list[str] = []
     try:
-        entries = sorted(os.scandir(folder), key=lambda e: e.name)
+        found = sorted(os.scandir(folder), key=lambda e: e.name)
     except OSError:
-        return
-    for e in entries:
+        return folders, files, tuple(rules)
+    for e in found:
         path = os.path.join(folder, e.name)
         if e.name in SKIPPED_FOLDERS or (not include_hidden and e.name.startswith(".")):
             continue
         is_folder = e.is_dir(follow_symlinks=False)
-        verdict = next((v for r in reversed(rules) if (v := r.verdict(path, is_folder)) is not None), False)
-        if verdict:
+        if next((v for r in reversed(rules) if (v := r.verdict(path, is_folder)) is not None), False):
             continue
         if is_folder:
-            _walk(path, rules, include_hidden, out)
-        elif e.is_file(follow_symlinks=False) and _plain_scannable(path):
-            out.append(path)
+            folders.append(path)
+        elif e.is_file(follow_symlinks=False) and is_plain_scannable(path):
+            files.append(path)
+    return folders, files, tuple(rules)
+
+
+def read_text(path: str, max_bytes: int = MAX_BYTES) -> str | None:
+    """Null where a file is empty, too large or unreadable. Bytes that aren't UTF-8 become U+FFFD."""
+    try:
+        if 0 < os.stat(path).st_size <= max_bytes:
+            return Path(path).read_bytes().decode("utf-8", "replace")
+    except OSError:
+        pass
+    return None
 
 
 def read_files(spark: SparkSession, paths: Iterable[str], rules: Rules | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
@@ -134,15 +154,7 @@ def read_files(spark: SparkSession, paths: Iterable[str], rules: Rules | None =
 
     def run(batches):
         for b in batches:
-            texts = []
-            for path, read in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                data = None
-                try:
-                    if read and 0 < os.stat(path).st_size <= max_bytes:
-                        data = Path(path).read_bytes().decode("utf-8", "replace")
-                except OSError:
-                    pass
-                texts.append(data)
+            texts = [read_text(path, max_bytes) if read else None for path, read in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["file", "text"])
 
     return names.mapInArrow(run, "file string, text string")
