@@ -205,7 +205,7 @@ def shannon_entropy(c: Column) -> Column:
 
     def bits(s: Column) -> Column:
         share = lambda x: (F.length(s) - F.length(F.replace(s, x, F.lit("")))) / F.length(s)
-        return F.aggregate(F.array_distinct(characters(s)), F.lit(0.0), lambda acc, x: acc - share(x) * F.log2(share(x)))
+        return F.aggregate(F.array_distinct(characters(s)), F.lit(0).cast("double"), lambda acc, x: acc - share(x) * F.log2(share(x)))
 
     return bind(c, bits)
 

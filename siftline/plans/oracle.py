@@ -60,6 +60,25 @@ COUNTRY = (
 )
 PLACEHOLDER = f"(regexp_matches(m, '^(?:[xX]*|[*]*|0*)$') OR {_words('m', rec.PLACEHOLDER_WORDS)} OR contains(m, '${{') OR contains(m, '{{{{') OR contains(m, '%('))"
 
+# Base58Check in limbs of 96 bits: digits go in one by one, each limb hands on what is beyond it.
+_LIMB = "79228162514264337593543950336::HUGEINT"
+_T0 = "(acc[1] * 58 + x[1])"
+_T1 = f"(acc[2] * 58 + {_T0} // {_LIMB})"
+_T2 = f"(acc[3] * 58 + {_T1} // {_LIMB})"
+_NONE = "0::HUGEINT, 0::HUGEINT, 0::HUGEINT"
+_DIGIT = "strpos('123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz', c) - 1"
+_LIMBS = f"list_reduce(list_prepend([0::HUGEINT, {_NONE}], list_transform(string_split(m, ''), lambda c: [CAST({_DIGIT} AS HUGEINT), {_NONE}])), lambda acc, x: [{_T0} % {_LIMB}, {_T1} % {_LIMB}, {_T2} % {_LIMB}, acc[4] * 58 + {_T2} // {_LIMB}])"
+_BYTES = "repeat('00', length(regexp_extract(m, '^1*'))) || regexp_replace(" + " || ".join(f"lpad(to_hex(limbs[{k}]), 24, '0')" for k in (4, 3, 2, 1)) + ", '^(00)+', '')"
+_CHECKED = "length(bytes) >= 10 AND substr(sha256(unhex(sha256(unhex(left(bytes, length(bytes) - 8))))), 1, 8) = lower(right(bytes, 8))"
+
+
+def _crypto_sql(docs: str) -> str:
+    found = _spans(docs, rec.CRYPTO, 0, 0)
+    spelt = "NOT regexp_matches(m, '[0l]')"
+    checked = f"SELECT * FROM (SELECT *, {_BYTES} AS bytes FROM (SELECT *, {_LIMBS} AS limbs FROM ({found}) WHERE NOT starts_with(m, 'bc1') AND {spelt})) WHERE {_CHECKED}"
+    return _row("'CRYPTO'", "0.5", "starts_with(m, 'bc1')", found) + " UNION ALL " + _row("'CRYPTO'", "1.0", "true", checked)
+
+
 #: (entity, patterns, group, characters after the group, condition, type, score)
 _CHECKS: dict[str, tuple] = {
     "EMAIL_ADDRESS": (EMAIL, 0, 0, "regexp_matches(regexp_extract(m, '[^.@]*$'), '[A-Za-z]') AND NOT regexp_matches(regexp_extract(m, '^(.*)@', 1), '[{}]')", 1.0),
@@ -107,6 +126,8 @@ def entity_sql(entity: str, docs: str) -> str:
         return " UNION ALL ".join(_row("'MAC_ADDRESS'", "1.0", "true", _spans(docs, p, 0, 0)) for p in (rec.MAC, rec.MAC_DOTTED))
     if entity == "IP_ADDRESS":
         return " UNION ALL ".join(_row("'IP_ADDRESS'", "1.0", _CHECKS[v][3], _spans(docs, *_CHECKS[v][:3])) for v in ("IPV4", "IPV6"))
+    if entity == "CRYPTO_CHECKED":
+        return _crypto_sql(docs)
     if entity == "SECRET_KEYWORD_ASSIGNMENT":
         return _keyword_sql(docs)
     pattern, group, tail, where, score = _CHECKS[entity]

@@ -19,10 +19,10 @@ from siftline.sources import manifest
 from siftline.streaming import triage
 
 from . import fixtures, oracle
-from .scan import Options, findings, places, scan
+from .scan import Options, findings, places, scan, scan_function
 
 COLUMNS = ["file", "line_num", "col_start", "col_end", "entity_type", "text", "score"]
-#: All that SQL can follow: CRYPTO needs numbers of 200 bits.
+#: All that runs by default but CRYPTO, which has queries of its own.
 COMPARED = tuple(dict.fromkeys(r.entity for r in rec.DEFAULT if r.tier == rec.STRICT and r.entity != "CRYPTO"))
 PERSONAL = ("EMAIL_ADDRESS", "CREDIT_CARD", "PHONE_NUMBER", "US_SSN", "IP_ADDRESS", "URL")
 
@@ -74,7 +74,7 @@ def _entity_query(entity: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return places(scan(with_fixtures(spark, sf_dir), options=Options(recognizers=r, rules=Rules(flags=flags)))).select(*COLUMNS)
 
-    sql = None if entity == "CRYPTO" else f"SELECT {', '.join(COLUMNS)} FROM ({oracle.findings_sql((entity,), oracle.docs_sql())})"
+    sql = f"SELECT {', '.join(COLUMNS)} FROM ({oracle.findings_sql(('CRYPTO_CHECKED' if entity == 'CRYPTO' else entity,), oracle.docs_sql())})"
     register(f"{entity.lower()}_findings", sql)(run)
 
 
@@ -98,7 +98,7 @@ def documents_by_type(spark, sf_dir):
     return found.groupBy("entity_type").agg(F.count("*").alias("n"), F.countDistinct("file").alias("n_files"))
 
 
-@register("scan_defaults")
+@register("scan_defaults", f"SELECT entity_type, count(*) AS n FROM ({oracle.findings_sql((*COMPARED, 'CRYPTO_CHECKED'), oracle.docs_sql(False))}) GROUP BY entity_type")
 def scan_defaults(spark, sf_dir):
     """Every default recognizer over documents: counts by type."""
     return places(scan(documents(spark, sf_dir, True), options=Options())).groupBy("entity_type").agg(F.count("*").alias("n"))
@@ -110,6 +110,14 @@ def crypto_candidates(spark, sf_dir):
     return places(scan(with_fixtures(spark, sf_dir), options=Options(recognizers=(r,)))).select(*COLUMNS)
 
 
+@register("lateral_scan", f"SELECT d.doc_id, {', '.join('f.' + c for c in COLUMNS[1:])} FROM documents d JOIN ({oracle.findings_sql(COMPARED, oracle.docs_sql(False))}) f ON f.file = CAST(d.doc_id AS VARCHAR)")
+def lateral_scan(spark, sf_dir):
+    """The scan as a table function, in a query that SQL users write."""
+    scan_function(spark, "siftline_scan", options(*COMPARED))
+    table(spark, sf_dir, "documents").createOrReplaceTempView("siftline_documents")
+    return spark.sql("SELECT d.doc_id, f.* FROM siftline_documents d, LATERAL siftline_scan(d.text) f")
+
+
 #: What a backtracking matcher, or work that grows with the square of the matches, would not survive: unit, times, and what
 #: stands before and after. `#` in a unit is the number of the repetition.
 LONG_TEXTS = (

@@ -5,6 +5,7 @@ Everything that depends on one text alone stays in its row, so a scan without a
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -16,7 +17,7 @@ from siftline.functions import text as t
 from siftline.operators import recognizers as rec
 from siftline.operators.overlap import overlapping
 from siftline.operators.suppress import Rules, is_file_skipped, is_suppressed
-from siftline.schema import FINDING_COLUMNS, FOUND, FOUND_COLUMNS
+from siftline.schema import FINDING_COLUMNS, FINDING_FIELDS, FOUND, FOUND_COLUMNS
 from siftline.shared import written
 
 
@@ -221,3 +222,25 @@ def places(outcomes: DataFrame) -> DataFrame:
 def findings_view(spark: SparkSession, name: str, source: str, id_col: str = "file", text_col: str = "text", options: Options | None = None) -> None:
     """Makes the findings of a table or view available to SQL as a temporary view; a query on it is the native scan."""
     findings(scan(spark.table(source), id_col, text_col, options)).createOrReplaceTempView(name)
+
+
+#: What a column's SQL text has as calls by bare operators; SQL takes them between backquotes.
+_OPERATORS = re.compile(r"('(?:[^'\\]|\\.)*')|(?<![\w`'])(<=>|<=|>=|<|>|=|\+|-|\*|/|%|!|and|or|in|not)\(")
+
+
+def scan_function(spark: SparkSession, name: str, options: Options | None = None) -> None:
+    """Makes the scan of a text a table function of SQL: SELECT .. FROM docs, LATERAL name(docs.text).
+
+    It returns line_num, col_start, col_end, entity_type, text and score of strict (and asked-for opt-in) recognizers, with
+    the flags and the rules that need no file name. The body is the native expression, so plans are those of `scan`. A null
+    or blank text has no rows.
+    """
+    o = options or Options()
+    chosen = o.enabled(rec.STRICT) + o.enabled(rec.OPT_IN)
+    text, file = F.col("t"), F.lit("")
+    kept = F.filter(candidates(text, chosen), lambda f: passes_flags(f, o.flags) & ~is_suppressed(file, f, o.rules))
+    body = F.when(readable(text, o.max_bytes), dedupe(kept))._jc.node().sql()
+    body = _OPERATORS.sub(lambda m: m[1] or f"`{m[2]}`(", body)
+    columns = ", ".join(f"f.{c}" for c in FOUND_COLUMNS)
+    kinds = ", ".join(f"{n} {k}" for n, k in FINDING_FIELDS[:-1])
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(t STRING) RETURNS TABLE({kinds}) RETURN SELECT {columns} FROM (SELECT explode({body}) AS f)")

@@ -9,12 +9,12 @@ from siftline.plans import queries
 def test_names_and_sql():
     q, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(q) and len(queries.QUERIES) > 50
-    assert set(queries.QUERIES) - set(queries.ORACLE_SQL) == {"crypto_findings", "scan_defaults"}
+    assert set(queries.QUERIES) == set(queries.ORACLE_SQL)
 
 
-@pytest.mark.parametrize("name", ["all_findings", "ignored_counts", "tagger_confirms", "findings_cube", "stream_first_seen"])
+@pytest.mark.parametrize("name", ["all_findings", "ignored_counts", "tagger_confirms", "findings_cube", "stream_first_seen", "lateral_scan", "crypto_findings", "suppress_by_rule_table", "confirm_by_overlap"])
 def test_against_sql(spark, name, tmp_path):
-    rows = [(1, "mail a@b.org 8.8.8.8\nssn 123-45-6789", "en", "s"), (2, None, "de", "s"), (3, "clean", None, "t"), (4, "http://a.example.com/x a@b.org", "en", "t")]
+    rows = [(1, "mail a@b.org 8.8.8.8\nssn 123-45-6789", "en", "s"), (2, None, "de", "s"), (3, "clean", None, "t"), (4, "http://a.example.com/x a@b.org 17VZNX1SN5NtKa8UQFxwQbFeFc3iqRYhem 17VZNX1SN5NtKa8UQFxwQbFeFc3iqRYhen", "en", "t")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     df.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     con = duckdb.connect()

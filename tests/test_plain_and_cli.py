@@ -36,6 +36,18 @@ def test_view_for_sql(spark):
     assert [(r.id, r.line_num, r.col_start, r.entity_type) for r in got] == [(1, 1, 2, "EMAIL_ADDRESS"), (1, 2, 0, "IP_ADDRESS")]
 
 
+def test_table_function_for_sql(spark):
+    from siftline.plans.scan import scan_function
+
+    texts = fixtures.texts()
+    spark.createDataFrame([(str(k), x) for k, x in enumerate(texts)] + [("none", None), ("blank", " ")], "file string, body string").createOrReplaceTempView("bodies")
+    for o in (Options(), Options(rules=Rules((Rule(entity_type="URL"), Rule(match="^a")), {"EMAIL_ADDRESS": False, "SECRET_HEX_HIGH_ENTROPY": True}))):
+        scan_function(spark, "found_in", o)
+        got = spark.sql("SELECT file, f.* FROM bodies, LATERAL found_in(body) f").collect()
+        want = findings(scan(spark.table("bodies"), "file", "body", o)).drop("line_content").collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) > 30
+
+
 def test_trace(spark):
     docs = spark.createDataFrame([("f", "a@b.org c@b.org http://x.org/ AB1234567")], "file string, text string")
     o = Options(recognizers=rec.by_entity("EMAIL_ADDRESS", "URL", "US_DRIVER_LICENSE"), rules=Rules((Rule(text="a@b.org"),), {"URL": 0.9}))
@@ -70,3 +82,16 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     (tmp_path / "bad.toml").write_text("[[ignored]]\nx = 1\n")
     assert main(["--baselines", "bad.toml", "a.txt"], spark) == 2
     assert main(["--model", "tagger", "a.txt"], spark) == 2
+
+
+def test_pictures_and_counts_on_the_command_line(spark, tmp_path, capsys, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    (tmp_path / "a.txt").write_text("one\nmail a@b.org\nthree")
+    assert main(["--format", "tui", "--debug", "a.txt"], spark) == 1
+    said = capsys.readouterr()
+    assert "│ mail a@b.org" in said.out and "└── EMAIL_ADDRESS (σ 1.0)" in said.out and "files_scanned: 1" in said.err
+    (tmp_path / "my_model.py").write_text("def load():\n    return lambda lines, labels: [[(0, 4, 'person', 0.6)] for _ in lines]\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    for least, n in (("0.5", 1), ("0.7", 0)):
+        assert main(["--model", "tagger", "--zero-shot", "my_model:load", "--threshold", least, "--format", "github", "a.txt"], spark) == n
+    assert main(["--model", "tagger", "--zero-shot", "no_such:load", "a.txt"], spark) == 2
