@@ -36,7 +36,7 @@ CELL_BITS, ROWS, WORDS_A_CELL = 23, 2, 4
 FLUSH_KEYS, FLUSH_WORDS = 3_000_000, 400_000
 #: Bytes of phrases for each automaton, and frequent words for each file of them.
 AUTOMATON_BYTES, WORDS_A_FILE = 6 << 20, 4_000_000
-#: Splits of a table that one task of the candidate pass reads: each task sends what passes once.
+#: Splits of a table that one task of the later passes reads: each task sends a phrase, or its count, once.
 SPLITS_A_TASK = 8
 #: Words whose hashes a task keeps.
 KEPT_WORDS = 300_000
@@ -267,6 +267,12 @@ def longer_keys(keys: Keys, pairs: Sketch):
     return make
 
 
+def in_few_tasks(docs: DataFrame) -> DataFrame:
+    """docs, several splits to a task but a task for each core: for passes whose tasks each send most phrases there are."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.coalesce(max(cores, -(-docs.rdd.getNumPartitions() // SPLITS_A_TASK)))
+
+
 def candidates(docs: DataFrame, keys: Keys, pairs: Sketch, longer: Sketch) -> DataFrame:
     """lang, phrase: all that may be frequent, each once."""
     most, kept = 2 * FLUSH_WORDS, KEPT_WORDS
@@ -292,8 +298,7 @@ def candidates(docs: DataFrame, keys: Keys, pairs: Sketch, longer: Sketch) -> Da
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(out), pa.string()), pa.array(out, pa.binary()).cast(pa.string())], ["lang", "phrase"])
         release()
 
-    splits, cores = docs.rdd.getNumPartitions(), docs.sparkSession.sparkContext.defaultParallelism
-    return docs.coalesce(max(cores, -(-splits // SPLITS_A_TASK))).mapInArrow(run, "lang string, phrase string").distinct()
+    return in_few_tasks(docs).mapInArrow(run, "lang string, phrase string").distinct()
 
 
 def compiled(found: DataFrame, folder: str, scratch: Scratch) -> tuple[DataFrame, int]:
@@ -356,7 +361,7 @@ def matched(docs: DataFrame, folder: str, file: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(at | (file << 32)), pa.array(counts[at])], ["id", "n"])
         release()
 
-    return docs.mapInArrow(run, "id long, n long")
+    return in_few_tasks(docs).mapInArrow(run, "id long, n long")
 
 
 def phrase_counts(docs: DataFrame, least: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
