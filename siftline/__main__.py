@@ -50,14 +50,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 2
 
 
-def _tagger(a: argparse.Namespace):
+def _tagger(a: argparse.Namespace, spark: SparkSession):
     if not a.zero_shot:
         return onnx_tagger(*a.tagger)
     module, _, function = a.zero_shot.partition(":")
     try:
-        load = getattr(importlib.import_module(module), function)
+        found = importlib.import_module(module)
+        load = getattr(found, function)
     except (ImportError, AttributeError, ValueError) as e:
         raise RuleError(f"--zero-shot {a.zero_shot}: {e}") from e
+    if getattr(found, "__file__", None) and not hasattr(found, "__path__") and "." not in module:
+        spark.sparkContext.addPyFile(found.__file__)  # a single file goes along to the workers
     return zero_shot_tagger(load, threshold=ZERO_SHOT_THRESHOLD if a.threshold is None else a.threshold)
 
 
@@ -78,9 +81,8 @@ def _scan(a: argparse.Namespace, spark: SparkSession | None) -> int:
             print(f"[{r['tier']}] {r['file']}:{r['line_num']} {r['entity_type']} {r['text']!r}: {r['decision']}", file=sys.stderr)
     if a.model != "regex" and not (a.tagger or a.zero_shot):
         raise RuleError(f"--model {a.model} needs --tagger or --zero-shot")
-    tagger = _tagger(a) if a.model != "regex" else None
-    outcomes, totals = report.observed(scan(docs, options=options, tagger=tagger, confirm=a.model == "regex+tagger"))
-    outcomes = outcomes.persist()  # scanned once: totals, too, are those of the pass that fills it
+    tagger = _tagger(a, spark) if a.model != "regex" else None
+    outcomes = scan(docs, options=options, tagger=tagger, confirm=a.model == "regex+tagger").persist()  # scanned once
     lines = {"plain": report.plain_lines, "github": report.annotations, "tui": lambda f: report.diagnostics(f).select("value")}[a.format]
     if a.format != "github":
         for r in report.status_lines(outcomes, a.only_issues).orderBy("value").toLocalIterator():
@@ -88,7 +90,8 @@ def _scan(a: argparse.Namespace, spark: SparkSession | None) -> int:
     for r in lines(findings(outcomes, context).orderBy("file", "line_num", "col_start", "col_end", "entity_type")).toLocalIterator():
         print(r["value"] + ("\n" if a.format == "tui" else ""))
     if a.debug:
-        print(", ".join(f"{k}: {v}" for k, v in totals.get.items()), file=sys.stderr)
+        failed = outcomes.agg({"failed_lines": "sum"}).first()[0] or 0
+        print(", ".join(f"{k}: {v}" for k, v in {**report.totals(outcomes).first().asDict(), "failed_lines": failed}.items()), file=sys.stderr)
     if a.fix_accept_all and (new := report.accept_all(findings(outcomes))):
         rules_io.save_rules(rules_io.merged(rules, new), path)
         print(f"ignored {len(new)} findings", file=sys.stderr)

@@ -58,7 +58,8 @@ def totals(outcomes: DataFrame) -> DataFrame:
 def observed(outcomes: DataFrame, name: str = "scan") -> tuple[DataFrame, Observation | None]:
     """outcomes, and an observation that holds `totals` once they have been through an action: no second scan for them.
 
-    Of a stream, the same numbers come with each batch's progress (None is returned).
+    Of a stream, the same numbers come with each batch's progress (None is returned). `get` waits until an action such as
+    a write or collect has run; toLocalIterator isn't one.
     """
     count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
     metrics = [count(~F.col("skipped")).alias("files_scanned"), count(F.col("skipped")).alias("files_skipped"), F.sum(F.size("findings")).cast("long").alias("findings"), F.sum("ignored_count").cast("long").alias("ignored")]
