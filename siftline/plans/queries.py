@@ -44,8 +44,8 @@ def documents(spark: SparkSession, sf_dir: str, costly: bool = False) -> DataFra
     return table(spark, sf_dir, "documents", costly).select(F.col("doc_id").cast("string").alias("file"), "text")
 
 
-def with_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).unionByName(spark.createDataFrame(fixtures.rows(), "file string, text string"))
+def with_fixtures(spark: SparkSession, sf_dir: str, costly: bool = False) -> DataFrame:
+    return documents(spark, sf_dir, costly).unionByName(spark.createDataFrame(fixtures.rows(), "file string, text string"))
 
 
 def options(*entities: str, **more) -> Options:
@@ -158,7 +158,7 @@ _PAGES = "SELECT CAST(page_id AS VARCHAR) AS file, coalesce(url, '') || chr(10)
 
 @register("page_findings", f"SELECT * FROM ({oracle.findings_sql(PERSONAL, _PAGES)})")
 def page_findings(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
+    pages = table(spark, sf_dir, "pages", True)
     text = F.concat(F.coalesce("url", F.lit("")), F.lit("\n"), F.coalesce("html", F.lit("")))
     return findings(scan(pages.select(F.col("page_id").cast("string").alias("file"), text.alias("text")), options=options(*PERSONAL)))
 
@@ -280,7 +280,7 @@ FROM ({oracle.docs_sql()}) d LEFT JOIN (SELECT file, count(*) FILTER (NOT {_IS_I
 
 @register("ignored_counts", _COUNTS_SQL)
 def ignored_counts(spark, sf_dir):
-    out = scan(with_fixtures(spark, sf_dir), options=options(*PERSONAL, rules=_IGNORE))
+    out = scan(with_fixtures(spark, sf_dir, True), options=options(*PERSONAL, rules=_IGNORE))
     return out.select("file", F.size("findings").cast("long").alias("n"), "ignored_count", "skipped")
 
 
@@ -323,7 +323,7 @@ def context_window(spark, sf_dir):
     JOIN documents d ON f.file = CAST(d.doc_id AS VARCHAR) GROUP BY CUBE (entity_type, lang, source)""",
 )
 def findings_cube(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", True)
     return report.by_group(places(scan(docs, "doc_id", options=options(*PERSONAL))), docs, ["lang", "source"])
 
 
