@@ -163,14 +163,14 @@ def page_findings(spark, sf_dir):
     return findings(scan(pages.select(F.col("page_id").cast("string").alias("file"), text.alias("text")), options=options(*PERSONAL)))
 
 
-_CHAT = f"SELECT conv_id || ':' || turn AS file, coalesce(c.text, '') || chr(10) || x AS text FROM conversations c JOIN (VALUES {', '.join(f'({k}, {oracle.literal(x)})' for k, x in enumerate(fixtures.texts()))}) t(k, x) ON k = (conv_id * 5 + turn) % {len(fixtures.texts())}"
+_CHAT = f"SELECT conv_id || ':' || turn AS file, coalesce(c.text, '') || chr(10) || x AS text FROM conversations c JOIN (VALUES {', '.join(f'({k}, {oracle.literal(x)})' for k, x in enumerate(fixtures.texts()))}) t(k, x) ON k = (turn * 5 + length(coalesce(c.text, ''))) % {len(fixtures.texts())}"
 
 
 @register("chat_findings", f"SELECT * FROM ({oracle.findings_sql(COMPARED, _CHAT)})")
 def chat_findings(spark, sf_dir):
     """Turns of conversations, each with a text below it that holds something to find."""
     rows, texts = table(spark, sf_dir, "conversations"), F.array(*map(F.lit, fixtures.texts()))
-    more = F.get(texts, ((F.col("conv_id") * 5 + F.col("turn")) % len(fixtures.texts())).cast("int"))
+    more = F.get(texts, ((F.col("turn") * 5 + F.length(F.coalesce("text", F.lit("")))) % len(fixtures.texts())).cast("int"))
     text = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), more)
     return findings(scan(rows.select(F.concat_ws(":", "conv_id", "turn").alias("file"), text.alias("text")), options=options(*COMPARED)))
 

