@@ -1,7 +1,8 @@
 """BPE encoding and decoding with a byte-level vocabulary.
 
-Text is split into pieces as the vocabulary's pre-tokenizer splits it. A long piece has no split, and is encoded as a tree: its parts in parallel, then at each join a window that grows until
-its tokens agree with those on both sides. Two tokens that stand side by side in the encoding of some text are a valid
+Text is split into pieces as the vocabulary's pre-tokenizer splits it. A long piece has no split, and is encoded as a
+tree: its halves (of very long ones, more parts) in parallel, then at each join a window that grows until its tokens agree
+with those on both sides. Two tokens that stand side by side in the encoding of some text are a valid
 pair, and a sequence of valid pairs is the encoding of its text; so agreement on one token at either end is enough.
 """
 
@@ -21,14 +22,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import gather, map_texts, table
 
-#: Characters of a piece from which it is encoded as a tree, and of a leaf of that tree.
-LONG, LEAF = 2048, 1024
+#: Bytes of a piece beyond which it is encoded as a tree, and of the largest leaf of that tree.
+LONG, LEAF = 16, 1024
 #: Tokens on either side of a join that the first window holds.
 WINDOW = 4
 #: Parts of one text encoded at a time.
 THREADS = 2
 #: The pre-tokenizer of byte-level vocabularies.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space, as PIECES understands it.
+SPACES = " \t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 
 
@@ -74,7 +77,12 @@ class Codec:
         self.core = tiktoken.Encoding("vocabulary", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
         self.one_piece = self.core._core_bpe.encode_single_piece
         self.long, self.leaf, self.window = long, leaf, window
-        self.unsplit = re.compile(rf"[^ \n]{{{long},}}|\s{{{long},}}").search
+        # Stretches that may hold a piece of more than `long` bytes: words of so many characters or with some of several
+        # bytes, and runs of white space. They begin and end where pieces do, so the text between is encoded as it is.
+        word, run = rf"[^{SPACES}]{{{long + 1},}}", rf"(?<![{SPACES}])[{SPACES}]{{{long + 1},}}(?:(?=[{SPACES}][^{SPACES}])|\Z)"
+        wide = rf"{word}|[^{SPACES}\x80-\U0010ffff]{{0,{long}}}[^{SPACES}\x00-\x7f][^{SPACES}]*"
+        self.stretches = {plain: re.compile(rf"(?:\A|[{SPACES}])(?:{w})|{run}").finditer for plain, w in ((True, word), (False, wide))}
+        self.tree_pieces = 0
         self.special_split = re.compile("(" + "|".join(re.escape(x) for x in sorted(added, key=len, reverse=True)) + ")") if added else None
         self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self.token_len = np.array([len(t) for t in tokens], np.int64)
@@ -82,20 +90,24 @@ class Codec:
         self.pool = None
 
     def encode(self, text: str) -> list[int]:
+        """Token ids of a text; tree_pieces counts the pieces encoded as trees."""
         runs = self.special_split.split(text) if self.special and any(s in text for s in self.special) else [text]
-        if len(runs) == 1 and not self.unsplit(text):
-            return self.core.encode_ordinary(text)
+        if len(runs) == 1:
+            return self._encode_run(text)
+        return [i for run in runs for i in ([self.special[run]] if run in self.special else self._encode_run(run))]
+
+    def _encode_run(self, run: str) -> list[int]:
         out: list[int] = []
-        for run in runs:
-            if run in self.special:
-                out.append(self.special[run])
-            elif not self.unsplit(run):
-                out += self.core.encode_ordinary(run)
-            else:
-                for piece in regex.findall(PIECES, run):
-                    data = piece.encode("utf-8", "replace")
-                    out += self.encode_long(data) if len(data) > self.long else self.one_piece(data)
-        return out
+        end = 0
+        for m in self.stretches[run.isascii()](run):
+            pieces = [p.encode("utf-8", "replace") for p in regex.findall(PIECES, m[0])]
+            if not any(len(p) > self.long for p in pieces):
+                continue
+            out += self.core.encode_ordinary(run[end : m.start()])
+            for p in pieces:
+                out += self.encode_long(p) if len(p) > self.long else self.one_piece(p)
+            end = m.end()
+        return out + self.core.encode_ordinary(run[end:])
 
     def encode_parts(self, parts: list[bytes]) -> list[list[int]]:
         """Each part as a piece of its own, in parallel: the core works without the interpreter's lock."""
@@ -106,7 +118,9 @@ class Codec:
 
     def encode_long(self, piece: bytes) -> list[int]:
         """Tree concatenation."""
-        level = self.encode_parts([piece[i : i + self.leaf] for i in range(0, len(piece), self.leaf)])
+        self.tree_pieces += 1
+        leaf = min(self.leaf, -(-len(piece) // 2))
+        level = self.encode_parts([piece[i : i + leaf] for i in range(0, len(piece), leaf)])
         while len(level) > 1:
             level = self._join_level(level)
         return level[0]
@@ -175,9 +189,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         numerals = [str(i) for i in range(len(codec.tokens))].__getitem__
 
         def run(texts: list[str]) -> dict:
-            out: dict[str, list] = {k: [] for k in ("n_tokens", "ids_sha256", "decoded_sha256")}
+            out: dict[str, list] = {k: [] for k in ("n_tokens", "ids_sha256", "decoded_sha256", "n_tree_pieces")}
             for text in texts:
+                before = codec.tree_pieces
                 ids = codec.encode(text)
+                out["n_tree_pieces"].append(codec.tree_pieces - before)
                 out["n_tokens"].append(len(ids))
                 out["ids_sha256"].append(hashlib.sha256(",".join(map(numerals, ids)).encode()).hexdigest())
                 data = codec.decode_bytes(np.array(ids, np.int64))
@@ -186,4 +202,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
         return run
 
-    return map_texts(table(spark, sf_dir, "documents"), make, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_texts(table(spark, sf_dir, "documents"), make, "n_tokens long, ids_sha256 string, decoded_sha256 string, n_tree_pieces long")

@@ -38,6 +38,22 @@ def test_long_unsplit_text(byte_level):
         assert codec.encode(t) == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_words_of_some_length_are_trees(byte_level):
+    path, tok = byte_level
+    rng = random.Random(4)
+    codec = bpe.Codec(path)
+    spaces = [" ", " ", " ", "  ", "\n", " \n", "\t", "\u3000", " \u3000", "\u3000 ", "\x1c", " " * 17, " " * 18, "\n" * 40, " " * 19 + "\n", "\u3000" * 20]
+    for k in range(600):
+        letters = ["abcdefghijklmnop", "ab", "aé日", "a=-1'"][k % 4]
+        t = "".join("".join(rng.choices(letters, k=rng.choice([1, 5, 15, 16, 17, 18, 33, 60]))) + rng.choice(spaces) for _ in range(12))
+        t = rng.choice(["", " ", "\n", " " * 30]) + t
+        before = codec.tree_pieces
+        assert codec.encode(t) == tok.encode(t, add_special_tokens=False).ids
+        if k % 4 == 0:
+            assert codec.tree_pieces - before >= sum(len(w) > 16 for w in t.replace("\x1c", " ").split())
+    assert codec.tree_pieces > 3000
+
+
 def test_every_code_point(byte_level):
     path, tok = byte_level
     codec = bpe.Codec(path)
@@ -56,6 +72,7 @@ def test_query(spark, tmp_path, byte_level):
         ids = tok.encode(rows[r.doc_id] or "", add_special_tokens=False).ids
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r.n_tree_pieces <= r.n_tokens
         assert r.decoded_sha256 == hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
