@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import gather, map_texts, table
 
-#: Bytes of a piece beyond which it is encoded as a tree, and of the largest leaf of that tree.
+#: Characters of a piece beyond which it is encoded as a tree, and bytes of the largest leaf of that tree.
 LONG, LEAF = 16, 1024
 #: Tokens on either side of a join that the first window holds.
 WINDOW = 4
@@ -77,11 +77,9 @@ class Codec:
         self.core = tiktoken.Encoding("vocabulary", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
         self.one_piece = self.core._core_bpe.encode_single_piece
         self.long, self.leaf, self.window = long, leaf, window
-        # Stretches that may hold a piece of more than `long` bytes: words of so many characters or with some of several
-        # bytes, and runs of white space. They begin and end where pieces do, so the text between is encoded as it is.
-        word, run = rf"[^{SPACES}]{{{long + 1},}}", rf"(?<![{SPACES}])[{SPACES}]{{{long + 1},}}(?:(?=[{SPACES}][^{SPACES}])|\Z)"
-        wide = rf"{word}|[^{SPACES}\x80-\U0010ffff]{{0,{long}}}[^{SPACES}\x00-\x7f][^{SPACES}]*"
-        self.stretches = {plain: re.compile(rf"(?:\A|[{SPACES}])(?:{w})|{run}").finditer for plain, w in ((True, word), (False, wide))}
+        # Stretches that may hold a piece of more than `long` characters: such words and runs of white space, the character
+        # before them included. They begin and end where pieces do, so the text between is encoded as it is.
+        self.stretches = re.compile(rf"[{SPACES}](?:[^{SPACES}]{{{long + 1},}}|[{SPACES}]{{{long},}}(?:(?=[{SPACES}][^{SPACES}])|\Z))").finditer
         self.tree_pieces = 0
         self.special_split = re.compile("(" + "|".join(re.escape(x) for x in sorted(added, key=len, reverse=True)) + ")") if added else None
         self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
@@ -99,14 +97,15 @@ class Codec:
     def _encode_run(self, run: str) -> list[int]:
         out: list[int] = []
         end = 0
-        for m in self.stretches[run.isascii()](run):
-            pieces = [p.encode("utf-8", "replace") for p in regex.findall(PIECES, m[0])]
-            if not any(len(p) > self.long for p in pieces):
+        for m in self.stretches(" " + run):  # so that the first word has a blank before it, too
+            start, stop = max(m.start() - 1, 0), m.end() - 1
+            pieces = regex.findall(PIECES, run[start:stop])
+            if max(map(len, pieces), default=0) <= self.long:
                 continue
-            out += self.core.encode_ordinary(run[end : m.start()])
+            out += self.core.encode_ordinary(run[end:start])
             for p in pieces:
-                out += self.encode_long(p) if len(p) > self.long else self.one_piece(p)
-            end = m.end()
+                out += (self.encode_long if len(p) > self.long else self.one_piece)(p.encode("utf-8", "replace"))
+            end = stop
         return out + self.core.encode_ordinary(run[end:])
 
     def encode_parts(self, parts: list[bytes]) -> list[list[int]]:
