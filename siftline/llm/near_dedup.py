@@ -13,6 +13,8 @@ its links, never all its pairs; large ones are cut into blocks that meet two by
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -36,10 +38,17 @@ TOGETHER = 1 << 19
 #: Members of a block of a large bucket, and of a large group of candidates.
 BUCKET_BLOCK, GROUP_BLOCK = 4000, 1000
 
+#: Letters of scripts that set no blanks between words (Thai to Khmer, kana, Han): each is a word of its own.
+_ALONE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+
+
+def words_of(text: str) -> list[bytes]:
+    return letters_lower(text if text.isascii() else _ALONE.sub(r" \g<0> ", text)).split()
+
 
 def shingles(texts: list[str], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, hash, count) of distinct shingles, by text and hash. A text of fewer words is one shingle; of none, none."""
-    words = [letters_lower(t).split() for t in texts]
+    words = [words_of(t) for t in texts]
     n = np.array([len(w) for w in words], np.int64)
     h = hashes([w for x in words for w in x])
     size = np.where(n >= SHINGLE, n - SHINGLE + 1, np.minimum(n, 1))
@@ -204,7 +213,8 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, id_col: str = "do
 
     class_id is the smallest doc_id of the class; `kept` is true for one row of each class, one with that id. Texts
     without a word (null, empty) link with nothing and are classes of their own. Texts of one to four words are one
-    shingle, and so link with equal ones only. Repeated rows, with equal ids or not, are rows of one class. An empty table
+    shingle, and so link with equal ones only. Words stand between ASCII white space; letters of scripts without blanks are
+    words by themselves. Repeated rows, with equal ids or not, are rows of one class. An empty table
     gives an empty result. The ids come back as doc_id.
     """
     scratch = Scratch(docs.sparkSession)

@@ -59,7 +59,9 @@ def brute_labels(text, index):
             if all(at):
                 starts = {*g, *(x[0] - a for x, (a, _) in zip(at, t.keys, strict=True))}
                 hit = [any(0 <= s + i < len(w) and w[s + i] == x for s in starts) for i, x in enumerate(ws)]
-                out.append((t.label, sum(index.idf[x] for x, h in zip(t.words, hit, strict=True) if h) / sum(index.idf[x] for x in t.words)))
+                score = sum(index.idf[x] for x, h in zip(t.words, hit, strict=True) if h) / sum(index.idf[x] for x in t.words)
+                if score >= ls.LEAST:
+                    out.append((t.label, score))
     return ",".join(sorted({x for x, _ in out})), max((s for _, s in out), default=0.0)
 
 
@@ -93,6 +95,26 @@ def test_edits_outside_the_key_phrases(spark):
     assert long and not [m for m in got[1].matches if m.label == "mit"]
 
 
+def test_openings_and_bare_mentions(spark):
+    rows = {
+        "": ["unlike the mozilla public license it is fine", "we read the GNU Lesser General Public License and the Eclipse Public License", "the zlib license, the artistic license", "cc by hand"],
+        "gpl-3": ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc."],
+        "lgpl": ["GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999", "GNU Lesser General Public License, version 3"],
+        "mpl-2": ["Mozilla Public License Version 2.0 1. Definitions"],
+        "cc-by": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "(licensed under CC-BY 4.0)"],
+        "cc-by-sa": ["licensed under CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0"],
+        "boost-1": ["// Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt)"],
+        "zlib": [ls._ZLIB, ls._ZLIB.replace("an acknowledgment in the product documentation would be appreciated", "thanks would be nice")],
+        "bsd": [ls._BSD.format(ls._ENDORSE), ls._BSD.format("").replace("COPYRIGHT HOLDERS AND CONTRIBUTORS", "REGENTS AND CONTRIBUTORS")],
+    }
+    flat = [(label, text) for label, texts in rows.items() for text in texts]
+    filler = [(1000 + i, "the software is under this license of the public and the work") for i in range(40)]
+    got = ls.scan_licenses(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(flat)] + filler, "doc_id long, text string"))
+    labels = {r.doc_id: ",".join(sorted({m.label for m in r.matches})) for r in got.collect()}
+    assert [(labels[i], t) for i, (_, t) in enumerate(flat)] == flat
+    assert len({t.label for t in ls.TEMPLATES}) >= 20
+
+
 def test_document_frequency_counts_rows(spark):
     df = spark.createDataFrame([("mit mit",), ("MIT!",), (None,), ("x",)], "text string")
     assert ls.document_frequency(df, {"mit", "gnu"}) == (4, {"mit": 2})

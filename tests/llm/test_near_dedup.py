@@ -115,6 +115,16 @@ def test_shingles_of_short_and_long_texts():
     assert count[row == 3].tolist() == [5] and items[0] == items[-1]
 
 
+def test_scripts_without_blanks(spark):
+    rng = random.Random(8)
+    text = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(2000))
+    thai = "".join(chr(rng.randrange(0x0E01, 0x0E2E)) for _ in range(300))
+    other = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(2000))
+    rows = [(1, text), (2, text[:900] + "X" + text[901:]), (3, "é " + text[:1000] + " " + text[1000:]), (4, other), (5, thai), (6, thai[:150] + "ก" + thai[151:]), (7, "é è ê ë à"), (8, "é è ê ë á")]
+    got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5, 7: 7, 8: 8}
+
+
 def test_components_of_long_paths(spark):
     edges = [(i, i + 1) for i in range(100)] + [(200, 201), (203, 201), (300, 300)]
     got = dict(connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect())
