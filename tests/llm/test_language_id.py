@@ -94,3 +94,42 @@ def test_query_leaves_the_held_out_fold_out(spark, tmp_path):
     import zlib
 
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got) and len(got) == 120
+
+
+def test_query_matches_a_plain_loop_over_windows(spark, tmp_path):
+    """Windows one by one, filters by sums, each text's mean weighted by letters: lang_pred and score of the query."""
+    data = [(i, t, x) for i, (t, x) in enumerate(rows(80, 6))] + [(100, None, "en"), (101, "12", None), (102, "Ça où déjà! " * 40, None), (103, "the", "en")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    net = li.fit(li.training_rows(docs))
+    embed, out, bias = (p.astype(np.float64) for p in (net.params[0], net.params[-2], net.params[-1]))
+
+    def of_window(codes):
+        features = []
+        for k, width in enumerate(li.WIDTHS):
+            kernel = net.params[1 + 2 * k].astype(np.float64).reshape(width, li.EMBED, li.FILTERS)
+            tops = [sum(embed[codes[at + j]] @ kernel[j] for j in range(width)) for at in range(li.WINDOW - width + 1)]
+            features.append(np.maximum(np.max(tops, axis=0) + net.params[2 + 2 * k], 0))
+        z = np.exp(np.concatenate(features) @ out + bias)
+        return z / z.sum()
+
+    def plain(text):
+        codes = [c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in (text or "").encode()]
+        if not any(c.isalpha() for c in text or ""):
+            return "und", 0.0
+        total, weight, at = 0, 0, 0
+        while True:
+            window = (codes[at : at + li.WINDOW] + [32] * li.WINDOW)[: li.WINDOW]
+            letters = sum(c != 32 for c in window)
+            total, weight = total + letters * of_window(window), weight + letters
+            if at + li.WINDOW >= len(codes):
+                break
+            at += li.WINDOW - max(li.WIDTHS) + 1
+        p = total / weight
+        return net.classes[int(p.argmax())], float(p.max())
+
+    got = {r.doc_id: (r.lang_pred, r.score) for r in li.query(spark, str(tmp_path)).collect()}
+    assert len(got) == len(data)
+    for doc_id, text, _ in data:
+        lang, score = plain(text)
+        assert got[doc_id][0] == lang and got[doc_id][1] == pytest.approx(score, abs=1e-4)
