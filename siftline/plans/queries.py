@@ -13,7 +13,7 @@ from siftline.operators import recognizers as rec
 from siftline.operators import rule_table, tagger
 from siftline.operators.overlap import overlapping
 from siftline.operators.suppress import Rule, Rules
-from siftline.shared import shared_folder
+from siftline.shared import shared_folder, written
 from siftline.sinks import report
 from siftline.sources import manifest
 from siftline.streaming import triage
@@ -247,8 +247,9 @@ _NOT_WHOLE = f"NOT ({_IS_DOC} AND CAST(file AS BIGINT) % 7 = 0)"
 def suppress_by_rule_table(spark, sf_dir):
     """Over 100 rules for each document, joined."""
     rules = rule_table.RuleTable(document_rules(spark, sf_dir))
-    docs = rule_table.without_skipped(with_fixtures(spark, sf_dir), rules)
-    return rule_table.without_suppressed(places(scan(docs, options=options(*PERSONAL))), rules).select(*COLUMNS)
+    # Whole-file rules meet what is found, not the texts, which would be shuffled for that.
+    found = written(places(scan(with_fixtures(spark, sf_dir), options=options(*PERSONAL))), "found")
+    return rule_table.without_suppressed(rule_table.without_skipped(found, rules), rules).select(*COLUMNS)
 
 
 @register("ignored_by_rule_table", f"SELECT file, count(*) FILTER (NOT s) AS kept, count(*) FILTER (s) AS ignored FROM (SELECT file, coalesce({_BY_RULES.replace('CAST(file', 'TRY_CAST(file')}, false) AS s FROM ({PERSONAL_SQL})) GROUP BY file")
