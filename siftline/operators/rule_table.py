@@ -121,10 +121,11 @@ class RuleTable:
         self.keys = compact.filter("kind NOT IN ('file', 'rest')").select("key", "bits")
 
     def suppressed(self, found: DataFrame) -> DataFrame:
-        """found (file and the columns of findings) with `suppressed`."""
+        """found (file and the columns of findings) with `suppressed`; found is written, as it is needed twice."""
         by_plan = is_suppressed(F.col("file"), F.struct(*(F.col(c) for c in FOUND_COLUMNS)), self.rest) if self.rest.matchers else F.lit(False)
         if not self.kinds:
             return found.withColumn("suppressed", by_plan)
+        found = written(found, "found")
         place = ["file", "line_num", "col_start", "col_end", "entity_type", "text"]
         path, nothing, number = _path(F.col("file")), F.lit(""), F.col("line_num").cast("long")
         texts = {"none": nothing, "folded": t.lower_ascii(F.col("text")), "exact": F.col("text")}

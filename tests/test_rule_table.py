@@ -79,6 +79,13 @@ def test_lines_that_share_a_key(spark):
     assert made.keys.count() == 2 * 7 + 3
 
 
+def test_findings_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    df = found(spark)
+    counted = df.rdd.map(lambda r: (seen.add(1), r)[1]).toDF(df.schema)
+    assert without_suppressed(counted, table(spark, RULE_SETS[0])).count() and seen.value == df.count()
+
+
 def test_overlaps_against_loops(spark):
     rng = random.Random(1)
     make = lambda n, wide: [(f"f{rng.randrange(2)}", rng.randrange(3), s, s + rng.randrange(wide), rng.choice("AB"), k) for k, s in enumerate(rng.randrange(400) for _ in range(n))]
