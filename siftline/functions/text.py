@@ -12,6 +12,8 @@ from siftline.schema import FOUND, MATCH, MATCH_FIELDS
 
 #: Matches whose places are summed one after another; sums of such runs are then summed in turn.
 RUN = 64
+#: Marks around a match and between its groups.
+EDGE, INNER = "\x01", "\x02"
 
 
 def bind(value: Column, f) -> Column:
@@ -27,8 +29,20 @@ def matches(text: Column, pattern: str | Column, row: Callable[[dict[str, Column
     finding), tail (characters of the match after the text) and line_rule.
     """
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    parts = {"gaps": F.split(text, pattern, F.lit(-1)), "ms": F.regexp_extract_all(text, pattern, F.lit(0))}
-    parts |= {f"g{k}": F.regexp_extract_all(text, pattern, F.lit(k)) for k in range(1, groups + 1)}
+    names = ["gaps", "ms", *(f"g{k}" for k in range(1, groups + 1))]
+    each = [F.split(text, pattern, F.lit(-1)), *(F.regexp_extract_all(text, pattern, F.lit(k)) for k in range(groups + 1))]
+    # One run of the pattern marks matches and groups; a text that holds a mark itself is matched once for each of them.
+    marked = F.regexp_replace(text, pattern, F.lit(EDGE + INNER.join(f"${k}" for k in range(groups + 1)) + EDGE))
+
+    def unmarked(pieces: Column) -> Column:
+        odd = F.filter(pieces, lambda x, i: i % 2 == 1)
+        gaps = F.filter(pieces, lambda x, i: i % 2 == 0)
+        if not groups:
+            return F.struct(gaps.alias("gaps"), odd.alias("ms"))
+        return bind(F.transform(odd, lambda x: F.split(x, INNER, -1)), lambda fs: F.struct(gaps.alias("gaps"), *(F.transform(fs, lambda f: F.get(f, F.lit(k))).alias(n) for k, n in enumerate(names[1:]))))  # noqa: B023
+
+    clean = ~F.contains(text, F.lit(EDGE)) & ~F.contains(text, F.lit(INNER))
+    parts = F.when(clean, bind(F.split(marked, EDGE, -1), unmarked)).otherwise(F.struct(*(c.alias(n) for c, n in zip(each, names, strict=True))))
 
     def match(p: Column, m: Column, i: Column) -> Column:
         x = {"m": m} | {f"g{k}": F.get(p[f"g{k}"], i) for k in range(1, groups + 1)}
@@ -47,7 +61,7 @@ def matches(text: Column, pattern: str | Column, row: Callable[[dict[str, Column
         fields = (first, head, rest, got.get("text", x["m"]), got["entity_type"], got["score"].cast("float"), got.get("line_rule", F.lit(0)))
         return F.struct(*(c.alias(n) for c, (n, _) in zip(fields, MATCH_FIELDS, strict=True)))
 
-    return bind(F.struct(*(c.alias(n) for n, c in parts.items())), lambda p: F.transform(p["ms"], lambda m, i: match(p, m, i)))
+    return bind(parts, lambda p: F.transform(p["ms"], lambda m, i: match(p, m, i)))
 
 
 def matches_of(text: Column, patterns: list[tuple[str, str, float, tuple[str, ...]]]) -> Column:
@@ -116,13 +130,20 @@ def located(text: Column, found: Column, line_rules: tuple[Callable[[Column], Co
 
             def done(at: Column) -> Column:
                 line, col = _moved(at, x["down2"], x["on2"])
-                row = F.struct(fixed.alias("fixed"), at["line"], at["col"], *(x[n] for n in fields))
-                return F.struct(line.alias("line"), col.alias("col"), fixed.alias("fixed"), F.when(x["text"] != "", F.concat(acc["out"], F.array(row))).otherwise(acc["out"]).alias("out"))
+                row = F.struct(fixed.alias("fixed"), at["line"], at["col"])
+                return F.struct(line.alias("line"), col.alias("col"), fixed.alias("fixed"), F.concat(acc["out"], F.array(row)).alias("out"))
 
             return bind(bind(origin, there), done)
 
-        none = F.transform(F.slice(run, 1, 0), lambda x: F.struct(F.lit(False).alias("fixed"), F.lit(0).alias("line"), F.lit(0).alias("col"), *(x[n] for n in fields)))
-        return F.aggregate(run, F.struct(F.lit(0).alias("line"), F.lit(0).alias("col"), F.lit(False).alias("fixed"), none.alias("out")), step)
+        # Each step copies what it has so far, so that this is numbers alone; texts join them afterwards.
+        none = F.array().cast("array<struct<fixed:boolean,line:int,col:int>>")
+        sums = F.aggregate(run, F.struct(F.lit(0).alias("line"), F.lit(0).alias("col"), F.lit(False).alias("fixed"), none.alias("out")), step)
+
+        def with_texts(acc: Column) -> Column:
+            rows = F.transform(run, lambda x, i: bind(F.get(acc["out"], i), lambda at: F.struct(at["fixed"], at["line"], at["col"], *(x[n] for n in fields))))
+            return F.struct(acc["line"], acc["col"], acc["fixed"], F.filter(rows, lambda r: r["text"] != "").alias("out"))
+
+        return bind(sums, with_texts)
 
     def start(acc: Column, w: Column) -> Column:
         line, col = _moved(acc, w["line"], w["col"])
@@ -134,7 +155,7 @@ def located(text: Column, found: Column, line_rules: tuple[Callable[[Column], Co
         return F.struct(F.when(r["fixed"], r["line"]).otherwise(line).alias("line_num"), F.when(r["fixed"], r["col"]).otherwise(col).alias("col_start"), *(r[n] for n in fields))
 
     def over(ms: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(0), ((F.size(ms) - 1) / RUN).cast("int")), lambda k: walk(F.transform(F.slice(ms, k * RUN + 1, F.lit(RUN)), sized)))
+        runs = F.transform(F.sequence(F.lit(0), ((F.size(ms) - 1) / RUN).cast("int")), lambda k: bind(F.transform(F.slice(ms, k * RUN + 1, F.lit(RUN)), sized), walk))
         nowhere = F.struct(F.lit(1).alias("line"), F.lit(0).alias("col"), F.array().cast("array<struct<line:int,col:int>>").alias("starts"))
         both = bind(runs, lambda ws: F.struct(ws.alias("runs"), F.aggregate(ws, nowhere, start, lambda acc: acc["starts"]).alias("starts")))
         return bind(both, lambda b: F.flatten(F.transform(b["runs"], lambda w, k: F.transform(w["out"], lambda r: placed(F.get(b["starts"], k), r)))))

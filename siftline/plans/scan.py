@@ -82,7 +82,7 @@ def candidates(text: Column, chosen: list[rec.Recognizer]) -> Column:
 def dedupe(findings: Column) -> Column:
     """One finding for each place and type, that of the highest score; sorted by line, columns and type."""
     key = lambda f: F.struct(f["line_num"].alias("a"), f["col_start"].alias("b"), f["col_end"].alias("c"), f["entity_type"].alias("d"), (-f["score"]).alias("e"), f.alias("f"))
-    ordered = F.transform(F.array_sort(F.transform(findings, key)), lambda x: x["f"])
+    ordered = F.transform(F.sort_array(F.transform(findings, key)), lambda x: x["f"])
 
     def first_of_its_kind(fs: Column) -> Column:
         same = lambda a, b: (a["line_num"] == b["line_num"]) & (a["col_start"] == b["col_start"]) & (a["col_end"] == b["col_end"]) & (a["entity_type"] == b["entity_type"])

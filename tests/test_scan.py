@@ -6,7 +6,7 @@ from siftline.operators import recognizers as rec
 from siftline.operators import tagger
 from siftline.operators.suppress import Rule, Rules
 from siftline.plans import fixtures
-from siftline.plans.scan import Options, findings, scan
+from siftline.plans.scan import Options, findings, places, scan
 
 MAIL = rec.by_entity("EMAIL_ADDRESS", "URL")
 
@@ -149,3 +149,15 @@ def test_fixtures_hold_no_credential_literal():
 def test_unknown_entities_are_refused(name):
     with pytest.raises(ValueError):
         rec.by_entity(name)
+
+
+def test_texts_that_hold_the_marks_of_matches(spark):
+    """A pattern runs once on a text and marks its matches there; texts that hold such marks have the same findings."""
+    texts = ["a@b.org\nx http://h.org/p 8.8.8.8 c@d.org", "a@b.org \x01c@d.org\x01 \n\x01password = \"hunter2real\"", "\x02key: 1::8\x02 secret: abcdefgh http://h.org/\x02a", "password=abcd1234, secret: 'it\nis'\x01"]
+    docs = spark.createDataFrame([(str(k), x) for k, x in enumerate(texts)] + [(f"{k}, other", x.replace("\x01", "\x03").replace("\x02", "\x04")) for k, x in enumerate(texts)], "file string, text string")
+    out = places(scan(docs))
+    rows = sorted((r.file, r.line_num, r.col_start, r.col_end, r.entity_type, r.score, r.text.replace("\x03", "\x01").replace("\x04", "\x02")) for r in out.collect())
+    plain, other = [r for r in rows if "," not in r[0]], [(r[0].split(",")[0], *r[1:]) for r in rows if "," in r[0]]
+    assert plain == other and len(plain) >= 10
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "regexp_replace" in plan and "array_sort" not in plan
